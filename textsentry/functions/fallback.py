@@ -1,0 +1,74 @@
+"""Arrow-batched matching for patterns Java cannot compile and for capture history.
+
+Used only by rules that need it; everything else stays on the JVM.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+try:
+    import regex
+except ImportError:  # optional
+    regex = None
+
+# Fixed value: seconds one text may take before a rule gives up on the rest of it.
+TIMEOUT_SECONDS = 5.0
+
+
+def _compiled(pattern: str):
+    if regex is None:
+        raise RuntimeError("the 'regex' module is needed for this pattern")
+    return regex.compile(pattern, regex.V0 | regex.MULTILINE | regex.IGNORECASE)
+
+
+def compiles(pattern: str) -> bool:
+    if regex is None:
+        return False
+    try:
+        _compiled(pattern)
+    except regex.error:
+        return False
+    return True
+
+
+def _matches(matcher, text: str | None, timeout: float, take: Callable) -> list:
+    """What ``take`` makes of each match; a timeout keeps what was found before it."""
+    found: list = []
+    if text is None:
+        return found
+    try:
+        for m in matcher.finditer(text, timeout=timeout):
+            found.append(take(m))
+    except TimeoutError:
+        pass
+    return found
+
+
+def extract_all(text: Column, pattern: str, timeout: float = TIMEOUT_SECONDS) -> Column:
+    """All matches of ``pattern`` as ``array<string>``."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        matcher = _compiled(pattern)
+        return pd.Series([_matches(matcher, t, timeout, lambda m: m.group()) for t in texts])
+
+    return run(text)
+
+
+def capture_history(text: Column, pattern: str, timeout: float = TIMEOUT_SECONDS) -> Column:
+    """Per match and group, every capture of that group: ``array<array<array<string>>>``."""
+
+    def history(m) -> list[list[str]]:
+        return [[m.group()], *(m.captures(i) for i in range(1, m.re.groups + 1))]
+
+    @F.pandas_udf("array<array<array<string>>>")
+    def run(texts: pd.Series) -> pd.Series:
+        matcher = _compiled(pattern)
+        return pd.Series([_matches(matcher, t, timeout, history) for t in texts])
+
+    return run(text)
