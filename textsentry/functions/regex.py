@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textsentry.functions.text import sql_string
+
 # Every pattern is multi-line and case-insensitive, and only "\n" ends a line.
 # Rules of the backtracking engine get Unicode classes, rules of the linear one
 # ASCII classes.
@@ -38,14 +40,14 @@ POSIX_CLASSES = {
 NEVER = "(?!)"
 
 
-def to_java(pattern: Column) -> Column:
-    """Rewrite group and class spellings Java does not know to the ones it does."""
-    out = F.replace(pattern, F.lit("(?P<"), F.lit("(?<"))
-    out = F.regexp_replace(out, r"\(\?P=(\w+)\)", r"\\k<$1>")
-    out = F.regexp_replace(out, r"\\k'(\w+)'", r"\\k<$1>")
+def to_java(column: str) -> Column:
+    """The pattern in ``column`` with group and class spellings Java does not know rewritten."""
+    out = f"replace(`{column}`, '(?P<', '(?<')"
+    for pattern, spelled in ((r"\(\?P=(\w+)\)", r"\\k<$1>"), (r"\\k'(\w+)'", r"\\k<$1>")):
+        out = f"regexp_replace({out}, {sql_string(pattern)}, {sql_string(spelled)})"
     for posix, java in POSIX_CLASSES.items():
-        out = F.replace(out, F.lit(f"[:{posix}:]"), F.lit(f"\\p{{{java}}}"))
-    return out
+        out = f"replace({out}, '[:{posix}:]', {sql_string(f'\\p{{{java}}}')})"
+    return F.expr(out)
 
 
 def compiled_or_null(pattern: Column) -> Column:
@@ -75,8 +77,8 @@ def match_any(text: Column, pattern: Column) -> Column:
 
 
 def match_first(text: Column, pattern: Column) -> Column:
-    """First match, or null when there is none."""
-    return F.regexp_substr(text, pattern)
+    """First match; empty when there is none, so ask :func:`match_any` first."""
+    return F.regexp_extract(text, pattern, 0)
 
 
 def match_all(text: Column, pattern: Column, n: int = 0) -> Column:

@@ -124,7 +124,7 @@ def compile_rules(rules: DataFrame, gates: dict[str, list[str]] | None = None) -
         .withColumn(
             "pattern",
             regex.with_flags(
-                F.col("engine_resolved"), F.coalesce(body, regex.to_java(F.col("f_regex")))
+                F.col("engine_resolved"), F.coalesce(body, regex.to_java("f_regex"))
             ),
         )
         .withColumn("compile_ok", regex.compiled_or_null(F.col("pattern")).isNotNull())

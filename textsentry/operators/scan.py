@@ -98,15 +98,10 @@ def scan(
 
 
 def _no_matches(base: DataFrame) -> DataFrame:
-    return base.where("false").select(
-        "*",
-        F.lit("").alias("match"),
-        F.lit("").alias("group"),
-        F.lit("").alias("rule_name"),
-        F.lit(0).alias("__left"),
-        F.lit(0).alias("__right"),
-        F.lit(False).alias("sensitive"),
-    )
+    types = dict.fromkeys(("match", "group", "rule_name"), "string")
+    types |= {"__left": "int", "__right": "int", "sensitive": "boolean"}
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in types.items()]
+    return base.where("false").select("*", *empty)
 
 
 def _with_case_columns(base: DataFrame, text_col: str) -> DataFrame:

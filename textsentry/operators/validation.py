@@ -18,7 +18,7 @@ def _probe(rules: DataFrame) -> DataFrame:
     """Loaded rules with ``raw`` (the compiled pattern or null) and ``hits`` (sample matches)."""
     linear = regex.resolve_engine(F.lit(""), F.col("f_regex")) == "go"
     flags = F.when(linear, "(?d)").otherwise("(?dU)")
-    raw = regex.compiled_or_null(F.concat(flags, regex.to_java(F.col("f_regex"))))
+    raw = regex.compiled_or_null(F.concat(flags, regex.to_java("f_regex")))
     hits = F.when(
         F.col("raw").isNotNull() & (F.col("sample_code") != ""),
         F.rlike(F.col("sample_code"), F.coalesce("raw", F.lit(regex.NEVER))),

@@ -182,6 +182,14 @@ def _union() -> str:
       UNION ALL SELECT 'conversations', conv_id || '/' || turn, text FROM conversations"""
 
 
+_PHONE = {
+    "group": "Contact Numbers",
+    "name": "Phone",
+    "f_regex": q.UNCONDITIONAL,
+    "engine": "",
+    "width": 0,
+    "sensitive": False,
+}
 _EXT = "lower(regexp_extract({c}, '(\\.[^./]+)$', 1))"
 _EMAIL = s("(?mi)" + q.CAPTURE_EMAIL)
 _TRIMMED = f"strlen(trim(match, {s(WHITE_SPACE)})) > 5"
@@ -234,6 +242,7 @@ def statements() -> dict[str, str]:
         ),
         "scan_sensitive": _scan(_DOCS, ["doc_id"], _rules(None, False, True)),
         "scan_joined": _doc_core(),
+        "scan_fallback": _scan(_DOCS, ["doc_id"], [_PHONE]),
         "scan_union": _scan(_union(), ["source", "id"], _rules(None)),
         "chunked_scan": _chunked(),
         "match_any": f"SELECT doc_id, regexp_matches(text, {_EMAIL}) AS hit FROM documents",
@@ -246,6 +255,10 @@ def statements() -> dict[str, str]:
         "match_groups": "SELECT doc_id, "
         + ", ".join(f"unnest(regexp_extract_all(text, {_EMAIL}, {i})) AS g{i}" for i in range(4))
         + " FROM documents",
+        "match_history": f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text,
+              {s('(?mi)' + q.DOMAIN)})) AS match FROM documents),
+            l AS (SELECT *, string_split(substr(match, 2), '.') AS parts FROM m)
+          SELECT doc_id, match, array_to_string(parts[1:len(parts) - 1], ',') AS labels FROM l""",
         "findings_min_len": f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text,
               '(?mi)[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]\\p{{Nd}}+[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]')) AS match
               FROM documents)
@@ -300,7 +313,10 @@ def statements() -> dict[str, str]:
               WHEN valid > compile_error + no_sample THEN 'mostly passed' ELSE 'failed' END AS verdict
           FROM n""",
         "file_scan": _scan(
-            "SELECT page_id, html || chr(10) AS txt FROM pages", ["page_id"], _rules(q.CORE_NAMES)
+            f"""SELECT page_id // {q.PAGES_PER_FILE} AS folder,
+              string_agg(html || chr(10), '' ORDER BY page_id) AS txt FROM pages GROUP BY 1""",
+            ["folder"],
+            _rules(q.CORE_NAMES),
         ),
         "decode_text": """SELECT doc_id, CASE WHEN lang = 'en' OR strlen(text) = length(text)
           THEN 'UTF-8' ELSE 'GB18030' END AS charset, md5(text) AS md5 FROM documents""",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textsentry.functions import regex, text
+from textsentry.functions import fallback, regex, text
 from textsentry.operators import findings as post
 from textsentry.operators import rules as ruleops
 from textsentry.operators import sinks, stats, validation
@@ -19,8 +19,8 @@ from textsentry.plans.pipeline import scan_table, scan_tree
 from textsentry.schemas import FINDING_COLUMNS, FINDING_FIELDS
 from textsentry.session import materialise, spread, work_path
 from textsentry.sources import chunks, files
-from textsentry.sources.catalogue import flatten_catalogue
-from textsentry.sources.packs import EMAIL, default_rules
+from textsentry.sources.catalogue import catalogue_frame, flatten_catalogue
+from textsentry.sources.packs import default_rules
 from textsentry.streaming.incremental import read_stream_output, resume_scan, stream_scan
 
 # Detectors of the queries that are not about the pack itself.
@@ -31,9 +31,15 @@ GROUP_WORDS = [" Brand#1 ", "#25", "  "]
 NAME_WORDS = ["SMALL", " ring"]
 DIGITS = r"\s\d+\s"
 CAPTURE_EMAIL = r"([a-z0-9._]+)@([a-z0-9-]+)\.([a-z.]+)"
+DOMAIN = r"@(?:([a-z0-9-]+)\.)+[a-z]{2,5}"
+# A conditional group, which Java does not have, and the same without it.
+CONDITIONAL = r"(\()?[0-9]{3}(?(1)\)|-) ?[0-9]{3}-[0-9]{4}"
+UNCONDITIONAL = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}- ?[0-9]{3}-[0-9]{4}"
 SIZE_LIMIT_MB = 0.002
 CHUNK_THRESHOLD_MB = 4 / 1024
 CHUNK_BYTES = 2048
+PAGES_PER_FILE = 25
+FILE_THRESHOLD_MB = 5
 EXCLUDED_EXTENSIONS = ["html", ".PHP"]
 EXCLUDED_PATHS = ["/en/", "blog."]
 FIRST_N = 2
@@ -95,6 +101,16 @@ def scan_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(texts, core_pack(spark), ["doc_id"], plan="join")
 
 
+def scan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule only the fallback engine accepts."""
+    rule = {"name": "Phone", "f_regex": CONDITIONAL, "loaded": True, "engine": "java"}
+    document = {"rules": [{"group": "Contact Numbers", "rule": [rule]}]}
+    compiled = ruleops.compile_rules(
+        flatten_catalogue(catalogue_frame(spark, document)), gates={CONDITIONAL: ["-"]}
+    )
+    return scan_table(documents(spark, sf_dir), compiled, ["doc_id"])
+
+
 def scan_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three tables in one pass, told apart by ``source``."""
 
@@ -141,8 +157,12 @@ def _documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(documents(spark, sf_dir).select("doc_id", "text"))
 
 
-def _email() -> F.Column:
-    return F.lit(regex.JAVA_FLAGS + CAPTURE_EMAIL)
+def _email_pattern() -> str:
+    return regex.JAVA_FLAGS + CAPTURE_EMAIL
+
+
+def _email() -> Column:
+    return F.lit(_email_pattern())
 
 
 def match_any(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,12 +171,12 @@ def match_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents_text(spark, sf_dir)
-    first = regex.match_first(F.col("text"), _email())
-    start = text.byte_position(text.before_first(F.col("text"), F.col("match")))
+    body = F.col("text")
+    start = text.byte_position(text.before_first(body, F.col("match")))
     return (
-        docs.withColumn("match", first)
-        .where("match IS NOT NULL")
+        _documents_text(spark, sf_dir)
+        .where(regex.match_any(body, _email()))
+        .withColumn("match", regex.match_first(body, _email_pattern()))
         .select("doc_id", "match", start.alias("position"))
     )
 
@@ -171,15 +191,26 @@ def match_all_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without a match are dropped first: every group costs a pass of its own."""
     found = regex.match_groups(F.col("text"), _email(), 3)
     return (
         _documents_text(spark, sf_dir)
+        .where(regex.match_any(F.col("text"), _email()))
         .select("doc_id", F.explode_outer(found).alias("g"))
-        .where("g IS NOT NULL")
         .select("doc_id", "g.*")
     )
 
 
+def match_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All captures of a repeated group: the labels of mail domains."""
+    body = F.when(F.contains("text", F.lit("@")), F.col("text"))
+    return (
+        _documents_text(spark, sf_dir)
+        .select("doc_id", F.explode(fallback.capture_history(body, DOMAIN)).alias("m"))
+        .select("doc_id", F.col("m")[0][0].alias("match"), F.concat_ws(",", F.col("m")[1]).alias("labels"))
+    )
+
+
 def findings_min_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = regex.match_all(F.col("text"), F.lit(regex.JAVA_FLAGS + DIGITS))
     return (
@@ -286,14 +317,26 @@ def rules_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as a tree of files, one per page, then scanned as files."""
+    """Pages written as a tree of text files, many to a file in order, then scanned as files.
+
+    Files above the chunk threshold are scanned in pieces.
+    """
     tree = work_path(spark, "tree")
-    spread(pages(spark, sf_dir).select("page_id", "html")).write.partitionBy("page_id").text(tree)
+    folder = F.expr(f"page_id DIV {PAGES_PER_FILE}").alias("folder")
+    (
+        pages(spark, sf_dir)
+        .select("page_id", "html", folder)
+        .repartition("folder")
+        .sortWithinPartitions("folder", "page_id")
+        .select("html", "folder")
+        .write.partitionBy("folder")
+        .text(tree)
+    )
     found, _ = scan_tree(
-        spark, tree, ruleops.select_rules(default_rules(spark, True), names=CORE_NAMES), limit_mb=0
+        spark, tree, core_pack(spark), limit_mb=0, chunk_threshold_mb=FILE_THRESHOLD_MB
     )
-    page = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("long")
-    return found.select(page.alias("page_id"), *FINDING_COLUMNS)
+    place = F.regexp_extract("path", r"folder=(\d+)/", 1).cast("long")
+    return found.select(place.alias("folder"), *FINDING_COLUMNS)
 
 
 def _stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,7 +467,7 @@ def files_with_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first run that saw the labelled documents, then the rest of them."""
     store = work_path(spark, "store")
-    rules = ruleops.select_rules(default_rules(spark, True), names=CORE_NAMES)
+    rules = core_pack(spark)
     docs = _documents_text(spark, sf_dir)
     labelled = table(spark, sf_dir, "labels").select("doc_id")
     resume_scan(docs.join(labelled, "doc_id", "left_semi"), rules, store, ["doc_id"])
@@ -471,12 +514,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_conversations": scan_conversations,
     "scan_sensitive": scan_sensitive,
     "scan_joined": scan_joined,
+    "scan_fallback": scan_fallback,
     "scan_union": scan_union,
     "chunked_scan": chunked_scan,
     "match_any": match_any,
     "match_first": match_first,
     "match_all_n": match_all_n,
     "match_groups": match_groups,
+    "match_history": match_history,
     "findings_min_len": findings_min_len,
     "rules_flatten": rules_flatten,
     "rules_default": rules_default,

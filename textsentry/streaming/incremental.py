@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from textsentry.operators.rules import compile_rules, select_rules
-from textsentry.operators.scan import scan
+from textsentry.operators.scan import prepare, scan
 from textsentry.schemas import FINDING_FIELDS
 from textsentry.session import BROADCAST_BYTES, estimated_bytes, materialise
 
@@ -26,15 +27,10 @@ _RULE_IDENTITY = (
 )
 
 
-def rules_hash(rules: DataFrame) -> str:
+def rules_hash(pack: list[dict]) -> str:
     """One hash for a whole pack, whatever the order of its rules."""
-    identity = F.sha2(F.to_json(F.struct(*_RULE_IDENTITY)), 256)
-    row = rules.agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64(identity).cast("decimal(38,0)")).alias("a"),
-        F.sum(F.xxhash64(identity, F.lit(1)).cast("decimal(38,0)")).alias("b"),
-    ).first()
-    return f"{row['n']}:{row['a']}:{row['b']}"
+    rules = sorted(json.dumps([rule[f] for f in _RULE_IDENTITY]) for rule in pack)
+    return hashlib.sha256("\n".join(rules).encode()).hexdigest()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -99,7 +95,7 @@ def _keep(texts: DataFrame, keys: DataFrame, on: list[str], how: str, limit: int
 
 def resume_scan(
     texts: DataFrame,
-    rules: DataFrame,
+    rules: DataFrame | list[dict],
     store_path: str,
     id_cols: list[str],
     text_col: str = "text",
@@ -109,34 +105,32 @@ def resume_scan(
     """Findings of all ``texts``; only texts the store does not know yet are scanned.
 
     A text counts as known when its id, its content and the rule pack are all
-    unchanged. What is left to do is settled on narrow (id, hash) rows and
-    written down first, so that whole texts are shuffled only if both the done
-    and the open list are too large to broadcast.
+    unchanged. What is left to do is settled on narrow (id, hash) rows that are
+    written down first. Whole texts are shuffled only if both the done and the
+    open list are too large to broadcast.
     """
     spark = texts.sparkSession
-    compiled = compile_rules(select_rules(rules))
-    pack_hash = rules_hash(compiled)
+    pack = rules if isinstance(rules, list) else prepare(rules)
+    pack_hash = rules_hash(pack)
     store = ScanStore(spark, store_path, texts, id_cols)
     key = [*id_cols, "text_sha2"]
     stamped = texts.select(*id_cols, text_col).withColumn("text_sha2", _fingerprint(text_col))
+    # Whole texts are read twice at most: here for their keys, below to be scanned.
+    current = materialise(stamped.select(*key).distinct(), "keys")
     done = store.manifest(pack_hash).select(*key)
     if done.isEmpty():
-        open_texts, todo = stamped, stamped.select(*key)
+        todo, open_texts = current, stamped
     else:
-        todo = materialise(
-            _keep(stamped.select(*key), done, key, "left_anti", broadcast_limit), "todo"
-        )
-        small_done = estimated_bytes(done) <= broadcast_limit
-        if small_done and estimated_bytes(todo) > broadcast_limit:
+        todo = materialise(current.join(done, key, "left_anti"), "todo")
+        if estimated_bytes(done) < estimated_bytes(todo):
             open_texts = _keep(stamped, done, key, "left_anti", broadcast_limit)
         else:
             open_texts = _keep(stamped, todo, key, "left_semi", broadcast_limit)
     pack_column = F.lit(pack_hash).alias("rules_hash")
     # The finding carries the hash of the very text it was found in.
-    fresh = scan(open_texts, compiled, key, text_col).select("*", pack_column)
+    fresh = scan(open_texts, pack, key, text_col).select("*", pack_column)
     store.append(todo.select(*key, pack_column), fresh)
     known = store.findings(pack_hash)
-    current = stamped.select(*key).distinct()
     return _keep(known, current, key, "left_semi", broadcast_limit).select(
         *id_cols, *FINDING_FIELDS.fieldNames()
     )
@@ -144,7 +138,7 @@ def resume_scan(
 
 def stream_scan(
     stream: DataFrame,
-    rules: DataFrame,
+    rules: DataFrame | list[dict],
     out_path: str,
     checkpoint: str,
     id_cols: list[str],
