@@ -136,6 +136,29 @@ def test_fallback_rule_and_timeout(one_rule, texts):
     assert time.time() - start < 60
 
 
+def test_timed_scan_agrees_and_isolates_hard_texts(spark, make_rules, texts):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = ["email", "api key", "us phone", "long digit"]
+    pack = prepare(default_rules(spark, extended=True), names=names)
+    timed = scan(docs, pack, ["doc_id"], timed=True)
+    assert sorted(timed.collect()) == sorted(scan(docs, pack, ["doc_id"]).collect())
+    slow = {"name": "slow", "f_regex": "secret1|(?:x+x+)+y", "loaded": True}
+    quick = {"name": "quick", "f_regex": r"secret\d", "loaded": True}
+    df = scan(
+        texts("secret1 " + "x" * 4000 + " secret2", "secret3"),
+        make_rules(("G", [slow, quick])),
+        ["id"],
+        timed=True,
+        timeout=0.5,
+    )
+    assert found(df, "rule_name", "match") == [
+        ("quick", "secret1"),
+        ("quick", "secret2"),
+        ("quick", "secret3"),
+        ("slow", "secret1"),
+    ]
+
+
 def test_match_primitives(spark):
     df = spark.createDataFrame([("a1b22c333",)], "t string")
     p = F.lit(r"(?dmiU)([a-z])(\d+)")
@@ -148,6 +171,7 @@ def test_match_primitives(spark):
         fallback.capture_history(F.col("t"), r"(?:([a-z])(\d+))+").alias("history"),
     ).first()
     assert row["any"] and row["first"] == "22"
+    assert df.select(regex.match_first(F.col("t"), "(?dmiU)z")).first()[0] is None
     assert row["all"] == ["a1", "b22", "c333"] and row["two"] == ["a1", "b22"]
     assert tuple(row["groups"][1]) == ("b22", "b", "22")
     assert row["history"] == [[["a1b22c333"], ["a", "b", "c"], ["1", "22", "333"]]]

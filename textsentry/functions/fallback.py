@@ -20,10 +20,11 @@ except ImportError:  # optional
 TIMEOUT_SECONDS = 5.0
 
 
-def _compiled(pattern: str):
+def _compiled(pattern: str, ascii_classes: bool = False):
     if regex is None:
         raise RuntimeError("the 'regex' module is needed for this pattern")
-    return regex.compile(pattern, regex.V0 | regex.MULTILINE | regex.IGNORECASE)
+    flags = regex.V0 | regex.MULTILINE | regex.IGNORECASE
+    return regex.compile(pattern, flags | regex.ASCII if ascii_classes else flags)
 
 
 def compiles(pattern: str) -> bool:
@@ -49,12 +50,17 @@ def _matches(matcher, text: str | None, timeout: float, take: Callable) -> list:
     return found
 
 
-def extract_all(text: Column, pattern: str, timeout: float = TIMEOUT_SECONDS) -> Column:
+def extract_all(
+    text: Column,
+    pattern: str,
+    timeout: float = TIMEOUT_SECONDS,
+    ascii_classes: bool = False,
+) -> Column:
     """All matches of ``pattern`` as ``array<string>``."""
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        matcher = _compiled(pattern)
+        matcher = _compiled(pattern, ascii_classes)
         return pd.Series([_matches(matcher, t, timeout, lambda m: m.group()) for t in texts])
 
     return run(text)

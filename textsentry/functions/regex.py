@@ -76,9 +76,10 @@ def match_any(text: Column, pattern: Column) -> Column:
     return F.rlike(text, pattern)
 
 
-def match_first(text: Column, pattern: Column) -> Column:
-    """First match; empty when there is none, so ask :func:`match_any` first."""
-    return F.regexp_extract(text, pattern, 0)
+def match_first(text: Column, pattern: str) -> Column:
+    """First match, or null when there is none."""
+    hit = match_any(text, F.lit(pattern))
+    return F.when(hit, F.regexp_extract(text, pattern, 0))
 
 
 def match_all(text: Column, pattern: Column, n: int = 0) -> Column:
@@ -88,8 +89,12 @@ def match_all(text: Column, pattern: Column, n: int = 0) -> Column:
 
 
 def match_groups(text: Column, pattern: Column, groups: int) -> Column:
-    """One struct per match: ``g0`` is the match, ``g1`` ... ``gN`` the last capture of each group."""
-    names = [f"g{i}" for i in range(groups + 1)]
+    """One struct per match: ``g0`` is the match, ``g1`` ... ``gN`` the last capture of each group.
+
+    Null for a text without a match: every group costs a pass of its own, so
+    those texts get one pass only.
+    """
+    fields = ",".join(f"g{i}:string" for i in range(groups + 1))
     parts = [F.regexp_extract_all(text, pattern, F.lit(i)) for i in range(groups + 1)]
-    zipped = F.arrays_zip(*parts)
-    return zipped.cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ">>")
+    zipped = F.arrays_zip(*parts).cast(f"array<struct<{fields}>>")
+    return F.when(match_any(text, pattern), zipped)

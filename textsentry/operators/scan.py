@@ -71,6 +71,7 @@ def scan(
     offset_col: str | None = None,
     line_col: str | None = None,
     plan: str = "auto",
+    timed: bool = False,
     timeout: float = fallback.TIMEOUT_SECONDS,
 ) -> DataFrame:
     """Findings of ``rules`` in ``texts``: the id columns, then the finding columns.
@@ -80,8 +81,14 @@ def scan(
     goes through ``select_rules`` and ``compile_rules`` first. ``offset_col`` and ``line_col`` name the byte offset
     and first line of each text inside a larger one. ``plan`` is ``unrolled``,
     ``join`` or ``auto``, which picks by the number of rules.
+
+    Spark's regex knows no time limit. ``timed`` moves every rule the fallback
+    engine accepts there; a rule then keeps what it found in a text within
+    ``timeout`` seconds. It is meant for packs of unknown quality.
     """
     pack = rules if isinstance(rules, list) else prepare(rules)
+    if timed:
+        pack = [{**rule, "fallback": fallback.compiles(rule["f_regex"])} for rule in pack]
     if plan == "auto":
         plan = "unrolled" if len(pack) <= MAX_UNROLLED else "join"
     keep = list(dict.fromkeys(c for c in (*id_cols, text_col, offset_col, line_col) if c))
@@ -141,7 +148,10 @@ def _with_fallback_columns(
             text = F.col(text_col)
             if rule["keyword_gate"]:
                 text = F.when(F.expr(_gate_sql(rule["keyword_gate"])), text)
-            columns[f"__py{i}"] = fallback.extract_all(text, rule["f_regex"], timeout)
+            ascii_classes = rule["engine_resolved"] == "go"
+            columns[f"__py{i}"] = fallback.extract_all(
+                text, rule["f_regex"], timeout, ascii_classes
+            )
     return base.withColumns(columns) if columns else base
 
 

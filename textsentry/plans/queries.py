@@ -172,11 +172,13 @@ def match_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.col("text")
+    first = F.array(regex.match_first(body, _email_pattern()))
     start = text.byte_position(text.before_first(body, F.col("match")))
     return (
         _documents_text(spark, sf_dir)
-        .where(regex.match_any(body, _email()))
-        .withColumn("match", regex.match_first(body, _email_pattern()))
+        # Exploded, so that the null test below cannot move the regex into a filter.
+        .select("doc_id", "text", F.explode_outer(first).alias("match"))
+        .where("match IS NOT NULL")
         .select("doc_id", "match", start.alias("position"))
     )
 
@@ -191,12 +193,11 @@ def match_all_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without a match are dropped first: every group costs a pass of its own."""
     found = regex.match_groups(F.col("text"), _email(), 3)
     return (
         _documents_text(spark, sf_dir)
-        .where(regex.match_any(F.col("text"), _email()))
         .select("doc_id", F.explode_outer(found).alias("g"))
+        .where("g IS NOT NULL")
         .select("doc_id", "g.*")
     )
 
@@ -308,7 +309,7 @@ def rules_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         default_rules(spark)
         .select("group", "name", "f_regex", "sensitive")
-        .join(F.broadcast(hits), ["group", "name"], "left")
+        .join(hits, ["group", "name"], "left")
         .fillna(0, ["n"])
     )
 
@@ -482,7 +483,10 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     )
     out, checkpoint = work_path(spark, "stream"), work_path(spark, "stream-checkpoint")
-    stream_scan(stream, core_pack(spark), out, checkpoint, ["doc_id"]).awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    stream_scan(
+        stream, core_pack(spark), out, checkpoint, ["doc_id"], partitions=cores
+    ).awaitTermination()
     return read_stream_output(
         spark, out, T.StructType([schema.fields[0], *FINDING_FIELDS.fields])
     )

@@ -64,10 +64,10 @@ class ScanStore:
         return self._read("manifest", self.manifest_schema).where(F.col("rules_hash") == pack_hash)
 
     def findings(self, pack_hash: str) -> DataFrame:
-        """Findings of finished runs. Run ids are few, one per run."""
+        """Findings of finished runs."""
         finished = self.manifest(pack_hash).select("run").distinct()
         stored = self._read("findings", self.finding_schema).where(F.col("rules_hash") == pack_hash)
-        return stored.join(F.broadcast(finished), "run", "left_semi")
+        return stored.join(finished, "run", "left_semi")
 
     def append(self, keys: DataFrame, findings: DataFrame) -> None:
         run = uuid.uuid4().hex
@@ -143,15 +143,20 @@ def stream_scan(
     checkpoint: str,
     id_cols: list[str],
     text_col: str = "text",
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Scan a stream of texts into a parquet table, processing what is available now.
 
-    The checkpoint remembers which input files are done, at most once each, so
-    calling this again scans only what arrived in between. The scan has no
-    state: every micro-batch runs the batch plan.
+    The checkpoint remembers which input files are done, so calling this again
+    scans only what arrived in between. The scan has no state: every micro-batch
+    runs the batch plan. ``partitions`` spreads each micro-batch, for sources
+    whose few files would leave most of the cluster idle.
     """
+    texts = stream.select(*id_cols, text_col)
+    if partitions:
+        texts = texts.repartition(partitions)
     return (
-        scan(stream, rules, id_cols, text_col)
+        scan(texts, rules, id_cols, text_col)
         .writeStream.format("parquet")
         .option("path", out_path)
         .option("checkpointLocation", checkpoint)
