@@ -219,6 +219,14 @@ def test_hostile_texts_finish(spark, texts):
     assert time.time() - start < 120
 
 
+def test_group_loops_cannot_exhaust_the_stack(one_rule, texts):
+    rules = one_rule(r"(?:[a-z]+[-.])+[a-z]+!")
+    pack = prepare(rules)
+    assert pack[0]["fallback"] and not prepare(one_rule(r"(?:[a-z]{1,9}[-.]){1,9}!"))[0]["fallback"]
+    df = scan(texts("aa-bb.cc!", "a-" * 60_000 + "a!", "x" * 9), pack, ["id"])
+    assert [(r["id"], len(r["match"])) for r in df.orderBy("id").collect()] == [(0, 9), (1, 120_002)]
+
+
 def test_secrets_file(spark, texts):
     """One line per detector of the default pack, all values invented."""
     body = "\n".join(

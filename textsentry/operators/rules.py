@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ MAX_UNROLLED = 256
 MAX_RULES = 20_000
 
 
+# An unbounded, non-possessive repeat of a group. Java's regex recurses once per
+# round, and a stack overflow ends the whole executor.
+_GROUP_LOOP = re.compile(r"\)(?:[*+]|\{\d+,\})(?!\+)")
+
+
 class RuleError(ValueError):
     """A rule that cannot be used."""
 
@@ -135,8 +142,8 @@ def rule_pack(compiled: DataFrame) -> list:
     """The compiled rules as driver-side rows, checked.
 
     A pack is configuration, so it is small by nature; the bound is enforced.
-    The first unusable rule raises. A pattern only the fallback engine accepts
-    is marked for it.
+    The first unusable rule raises. Patterns Java does not accept and patterns
+    that could exhaust its stack are marked for the fallback engine.
     """
     rows = compiled.orderBy("group_ord", "rule_ord").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
@@ -148,8 +155,10 @@ def rule_pack(compiled: DataFrame) -> list:
             raise RuleError(f"unsupported regex engine {row['engine']!r} {where}")
         rule = row.asDict()
         rule["filter"] = FILTERS.get(row["f_regex"])
-        rule["fallback"] = not row["compile_ok"]
-        if rule["fallback"] and not fallback.compiles(row["f_regex"]):
+        other = fallback.compiles(row["f_regex"])
+        if not row["compile_ok"] and not other:
             raise RuleError(f"the pattern does not compile {where}")
+        loops = row["f_regex"] not in SAFE_FORMS and _GROUP_LOOP.search(row["f_regex"])
+        rule["fallback"] = not row["compile_ok"] or bool(loops and other)
         pack.append(rule)
     return pack
