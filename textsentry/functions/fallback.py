@@ -5,9 +5,11 @@ Used only by rules that need it; everything else stays on the JVM.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +80,7 @@ def capture_history(text: Column, pattern: str, timeout: float = TIMEOUT_SECONDS
         return pd.Series([_matches(matcher, t, timeout, history) for t in texts])
 
     return run(text)
+
+
+# Executors get the functions themselves, so they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textsentry.functions import fallback
+from textsentry.functions.dense import places
 from textsentry.functions.regex import JAVA_FLAGS
 from textsentry.functions.text import (
     before_first,
@@ -105,7 +106,7 @@ def scan(
 
 
 def _no_matches(base: DataFrame) -> DataFrame:
-    types = dict.fromkeys(("match", "group", "rule_name"), "string")
+    types = {"__matches": "array<string>", "group": "string", "rule_name": "string"}
     types |= {"__left": "int", "__right": "int", "sensitive": "boolean"}
     empty = [F.lit(None).cast(kind).alias(name) for name, kind in types.items()]
     return base.where("false").select("*", *empty)
@@ -167,20 +168,18 @@ def _unrolled(base: DataFrame, pack: list[dict], text_col: str, timeout: float)
         for i in range(0, len(per_rule), _BLOCK)
     ]
     hits = F.expr(blocks[0] if len(blocks) == 1 else f"concat({', '.join(blocks)})")
-    exploded = (
-        _with_fallback_columns(_with_case_columns(base, text_col), pack, text_col, timeout)
-        .select(*base.columns, hits.alias("__hits"))
-        .select(*base.columns, F.posexplode_outer("__hits").alias("__rule", "__matches"))
-        .select(*base.columns, "__rule", F.explode_outer("__matches").alias("match"))
-        .where(F.col("match").isNotNull() & long_enough(F.col("match")))
-    )
     attributes = F.from_json(
         F.lit(json.dumps([{new: rule[old] for old, new in _ATTRIBUTES.items()} for rule in pack])),
         "array<struct<`group`:string,rule_name:string,__left:int,__right:int,sensitive:boolean>>",
     )
-    return exploded.select(
-        *base.columns, "match", attributes[F.col("__rule")].alias("__attributes")
-    ).select(*base.columns, "match", "__attributes.*")
+    return (
+        _with_fallback_columns(_with_case_columns(base, text_col), pack, text_col, timeout)
+        .select(*base.columns, hits.alias("__hits"))
+        .select(*base.columns, F.posexplode_outer("__hits").alias("__rule", "__matches"))
+        .where(F.size("__matches") > 0)
+        .select(*base.columns, "__matches", attributes[F.col("__rule")].alias("__attributes"))
+        .select(*base.columns, "__matches", "__attributes.*")
+    )
 
 
 def _joined(base: DataFrame, pack: list[dict], text_col: str, timeout: float) -> DataFrame:
@@ -203,19 +202,21 @@ def _joined(base: DataFrame, pack: list[dict], text_col: str, timeout: float) ->
         | F.col("__odd")
         | F.exists("__gate", lambda word: F.contains(F.col("__lower"), word))
     )
+    # The one-element explode keeps the size test from moving the regex into a filter.
+    matches = F.array(F.regexp_extract_all(text, F.col("__pattern"), F.lit(0)))
     found = (
         _with_case_columns(base, text_col)
         .join(table, gate)
         .select(
             *base.columns,
-            F.explode_outer(F.regexp_extract_all(text, F.col("__pattern"), F.lit(0))).alias("match"),
+            F.explode_outer(matches).alias("__matches"),
             "group",
             "rule_name",
             "__left",
             "__right",
             "sensitive",
         )
-        .where(F.col("match").isNotNull() & long_enough(F.col("match")))
+        .where(F.size("__matches") > 0)
     )
     return found.unionByName(_unrolled(base, rest, text_col, timeout)) if rest else found
 
@@ -228,17 +229,28 @@ def _locate(
     line_col: str | None,
 ) -> DataFrame:
     """Byte position, line and context, all taken at the first occurrence of the match text."""
-    text, match = F.col(text_col), F.col("match")
+    text, match, place = F.col(text_col), F.col("match"), F.col("__place")
     offset = F.col(offset_col) if offset_col else F.lit(0).cast("long")
     line = F.col(line_col) if line_col else F.lit(1).cast("long")
-    start, left, right = F.col("__start"), F.col("__left"), F.col("__right")
+    before, start = F.col("__before"), F.col("__start")
+    left, right = F.col("__left"), F.col("__right")
     begin = F.greatest(F.lit(0), start - F.greatest(left, F.lit(0)))
     end = F.least(
         F.octet_length(text), start + F.octet_length(match) + F.greatest(right, F.lit(0))
     )
-    context = F.when((left <= 0) & (right <= 0), match).otherwise(byte_slice(text, begin, end))
-    located = matches.withColumn("__before", before_first(text, match)).withColumn(
-        "__start", byte_position(F.col("__before"))
+    context = (
+        F.when((left <= 0) & (right <= 0), match)
+        .when(place.isNotNull(), place["context"])
+        .otherwise(byte_slice(text, begin, end))
+    )
+    carried = [c for c in matches.columns if c != "__matches"]
+    located = (
+        matches.withColumn("__places", places(text, F.col("__matches"), left, right))
+        .select(*carried, "__places", F.posexplode_outer("__matches").alias("__n", "match"))
+        .where(match.isNotNull() & long_enough(match))
+        .withColumn("__place", F.col("__places")[F.col("__n")])
+        .withColumn("__before", F.when(place.isNull(), before_first(text, match)))
+        .withColumn("__start", F.coalesce(place["start"], byte_position(before)))
     )
     return located.select(
         *id_cols,
@@ -247,6 +259,6 @@ def _locate(
         "match",
         context.alias("context"),
         (offset + start).alias("position"),
-        (line + count_newlines(F.col("__before"))).alias("line_number"),
+        (line + F.coalesce(place["newlines"], count_newlines(before))).alias("line_number"),
         "sensitive",
     ).select(*id_cols, *FINDING_COLUMNS)
