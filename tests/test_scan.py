@@ -83,9 +83,16 @@ def test_empty_pack_gives_empty_findings_with_schema(one_rule, texts):
 
 
 def test_gate_respects_unicode_case_folding(one_rule, texts):
-    compiled = compile_rules(select_rules(one_rule("password\\d")), {"password\\d": ["pass"]})
-    df = scan(texts("PASSWORD1", "paſſword1", "pa ss", "pASSword2"), compiled, ["id"])
-    assert found(df, "id") == [(0,), (1,), (3,)]
+    pattern = "pass(?:word|key)\\d"
+    compiled = compile_rules(select_rules(one_rule(pattern)), {pattern: ["word", "key"]})
+    df = scan(
+        texts("PASSWORD1", "paſſword1", "pa ss", "pASSword2", "pass\u212aEY3"), compiled, ["id"]
+    )
+    assert found(df, "id") == [(0,), (1,), (3,), (4,)]
+    ungated = scan(texts("pass\u212aEY3"), one_rule(pattern), ["id"])
+    assert ungated.count() == 1
+    with pytest.raises(ValueError, match="ASCII"):
+        compile_rules(one_rule(pattern), {pattern: ["é"]})
 
 
 def test_join_plan_equals_unrolled_plan(spark):

@@ -106,8 +106,9 @@ def test_chunk_edges_and_overlap(texts, one_rule):
     pack = prepare(one_rule(r"secret\d\d"))
 
     def run(overlap):
+        size = {"threshold_mb": 0.0001, "chunk_bytes": 100}
         pieces = chunks.chunk_texts(
-            texts(body), ["id"], threshold_mb=0.0001, chunk_bytes=100, overlap=overlap, spread_chunks=True
+            texts(body), ["id"], **size, overlap=overlap, spread_chunks=True
         )
         rows = scan(pieces, pack, ["id"], offset_col="start_offset", line_col="start_line").collect()
         return sorted((r["match"], r["position"], r["line_number"]) for r in rows)

@@ -118,8 +118,11 @@ def compile_rules(rules: DataFrame, gates: dict[str, list[str]] | None = None) -
     """Add ``engine_resolved``, ``pattern``, ``keyword_gate`` and ``compile_ok``.
 
     ``gates`` adds words to look for before a pattern is tried: every match of
-    the pattern must hold one of them in some letter case.
+    the pattern must hold one of them in some letter case. They must be ASCII,
+    for which the test knows all letters that fold to them.
     """
+    if not all(word.isascii() for ws in (gates or {}).values() for word in ws):
+        raise RuleError("gate words must be ASCII")
     words = {**GATES, **{p: [w.lower() for w in ws] for p, ws in (gates or {}).items()}}
     safe = _lookup({p: F.lit(s) for p, s in SAFE_FORMS.items()}, F.col("f_regex"))
     gate = _lookup({p: F.array(*map(F.lit, ws)) for p, ws in words.items()}, F.col("f_regex"))

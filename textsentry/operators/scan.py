@@ -79,9 +79,10 @@ def scan(
 
     ``rules`` is a rules table or what ``rule_pack`` made of one, which saves
     preparing the same pack for every table. A table that is not compiled yet
-    goes through ``select_rules`` and ``compile_rules`` first. ``offset_col`` and ``line_col`` name the byte offset
-    and first line of each text inside a larger one. ``plan`` is ``unrolled``,
-    ``join`` or ``auto``, which picks by the number of rules.
+    goes through ``select_rules`` and ``compile_rules`` first. ``offset_col`` and
+    ``line_col`` name the byte offset and first line of each text inside a larger
+    one. ``plan`` is ``unrolled``, ``join`` or ``auto``, which picks by the number
+    of rules.
 
     Spark's regex knows no time limit. ``timed`` moves every rule the fallback
     engine accepts there; a rule then keeps what it found in a text within
@@ -185,7 +186,7 @@ def _unrolled(base: DataFrame, pack: list[dict], text_col: str, timeout: float)
 def _joined(base: DataFrame, pack: list[dict], text_col: str, timeout: float) -> DataFrame:
     spark = base.sparkSession
     rows = [
-        (r["pattern"], r["keyword_gate"], r["group"], r["name"], r["context_left"], r["context_right"], r["sensitive"])
+        (r["pattern"], r["keyword_gate"], *(r[field] for field in _ATTRIBUTES))
         for r in pack
         if not r["fallback"]
     ]

@@ -17,7 +17,7 @@ from textsentry.operators.scan import long_enough, prepare, scan
 from textsentry.plans.catalogue import nested_catalogue, part_catalogue
 from textsentry.plans.pipeline import scan_table, scan_tree
 from textsentry.schemas import FINDING_COLUMNS, FINDING_FIELDS
-from textsentry.session import materialise, spread, work_path
+from textsentry.session import spread, work_path
 from textsentry.sources import chunks, files
 from textsentry.sources.catalogue import catalogue_frame, flatten_catalogue
 from textsentry.sources.packs import default_rules

@@ -100,7 +100,7 @@ def decode_text(
         for i, name in enumerate(charsets):
             out = out.withColumn(
                 f"__text{i}",
-                F.when(F.coalesce(text, F.lit(None)).isNull(), F.decode(F.col(content_col), name)),
+                F.when(text.isNull(), F.decode(F.col(content_col), name)),
             )
             decoded = F.when(~F.contains(f"__text{i}", F.lit(_REPLACEMENT)), F.col(f"__text{i}"))
             charset = F.coalesce(charset, F.when(decoded.isNotNull(), name))
