@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -109,9 +110,9 @@ def count_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def _lookup(table: dict[str, Column], key: Column) -> Column:
-    pairs = [c for pattern, value in table.items() for c in (F.lit(pattern), value)]
-    return F.create_map(*pairs)[key]
+def _lookup(table: dict, kind: str, key: str) -> Column:
+    """The entry of a literal map, or null; folded to a constant by the optimizer."""
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>")[F.col(key)]
 
 
 def compile_rules(rules: DataFrame, gates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -124,8 +125,8 @@ def compile_rules(rules: DataFrame, gates: dict[str, list[str]] | None = None) -
     if not all(word.isascii() for ws in (gates or {}).values() for word in ws):
         raise RuleError("gate words must be ASCII")
     words = {**GATES, **{p: [w.lower() for w in ws] for p, ws in (gates or {}).items()}}
-    safe = _lookup({p: F.lit(s) for p, s in SAFE_FORMS.items()}, F.col("f_regex"))
-    gate = _lookup({p: F.array(*map(F.lit, ws)) for p, ws in words.items()}, F.col("f_regex"))
+    safe = _lookup(SAFE_FORMS, "string", "f_regex")
+    gate = _lookup(words, "array<string>", "f_regex")
     engine = regex.resolve_engine(F.col("engine"), F.col("f_regex"))
     body = F.when(engine == "java", safe)
     return (
