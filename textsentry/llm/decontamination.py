@@ -106,11 +106,11 @@ def window_hits(
         same = F.when(F.col("_ascii"), lowered == F.col("_window")).otherwise(
             (lowered == F.lower("_window")) & (exact == F.col("_window"))
         )
+        fits = (F.col("_start") >= 0) & (F.col("_start") + F.col("_len") <= F.size("_dw"))
         pairs = (
             _join(there, prefixes, small, "left")
             .withColumn("_start", start)
-            .withColumn("_fits", (F.col("_start") >= 0) & (F.col("_start") + F.col("_len") <= F.size("_dw")))
-            .withColumn("_hit", F.col("_fits") & same)
+            .withColumn("_hit", F.coalesce(fits, F.lit(False)) & same)
             # The first position stands for the document itself.
             .where("_hit OR _pos = 0 OR _pos IS NULL")
             .select(
