@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsentry.llm import decontamination, mixing, sharding, tokens
+from textsentry.llm import decontamination, mixing, sharding, substrings, suffixes, tokens
 from textsentry.llm.common import table
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.dedup_bytes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontamination.hits_by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.transform("items", lambda x: x.cast("string"))
@@ -53,9 +58,16 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.dedup_substrings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_shard": op3_shard,
     "op4_token_counts": op4_token_counts,
     "op6_mix": op6_mix,
+    "op7_substring_dedup": op7_substring_dedup,
 }
