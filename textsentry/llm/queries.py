@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsentry.llm import decontamination, mixing, sharding, substrings, suffixes, tokens
+from textsentry.llm import decontamination, mixing, sharding, substrings, suffixes, tokens, warc
 from textsentry.llm.common import table
+from textsentry.session import work_path
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -63,6 +64,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    path = work_path(spark, "warc")
+    warc.write_archives(warc.records(pages, "page_id", "url", "html"), path, size)
+    back = warc.resolve(warc.reassemble(warc.read_records(spark, path)))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -70,4 +80,5 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op6_mix": op6_mix,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_warc": op9_warc,
 }
