@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsentry.llm import decontamination, mixing, sharding, substrings, suffixes, tokens, warc
+from textsentry.llm import decontamination, mixing, neighbours, sharding, substrings, suffixes, tokens, warc
 from textsentry.llm.common import table
 from textsentry.session import work_path
 
@@ -73,6 +73,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -81,4 +85,5 @@ QUERIES = {
     "op6_mix": op6_mix,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_warc": op9_warc,
+    "op10_neighbours": op10_neighbours,
 }
