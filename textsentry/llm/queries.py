@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsentry.llm import decontamination, mixing, neighbours, sharding, substrings, suffixes, tokens, warc
+from textsentry.llm import decontamination, minhash, mixing, neighbours, sharding, substrings, suffixes, tokens, warc
 from textsentry.llm.common import table
 from textsentry.session import work_path
 
@@ -59,6 +59,17 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", size=2)
+    key = "_key.id" if found.schema["_key"].dataType.typeName() == "struct" else "_key"
+    return found.select(
+        F.col(key).alias("doc_id"),
+        "n_shingles",
+        F.col(key.replace("_key", "component")).alias("component_id"),
+        (F.col("_key") == F.col("component")).alias("kept"),
+    )
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.dedup_substrings(table(spark, sf_dir, "documents"), "doc_id", "text")
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -82,6 +93,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_shard": op3_shard,
     "op4_token_counts": op4_token_counts,
+    "op5_near_dedup": op5_near_dedup,
     "op6_mix": op6_mix,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_warc": op9_warc,
