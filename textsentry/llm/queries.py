@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsentry.llm import decontamination, minhash, mixing, neighbours, sharding, substrings, suffixes, tokens, warc
+from textsentry.llm import (
+    decontamination,
+    minhash,
+    mixing,
+    neighbours,
+    sharding,
+    substrings,
+    suffixes,
+    tokens,
+    toxicity,
+    warc,
+)
 from textsentry.llm.common import table
 from textsentry.session import work_path
 
@@ -75,6 +86,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.tag_documents(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("toxic_spans").alias("n_spans"),
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
@@ -96,6 +119,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_mix": op6_mix,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_neighbours": op10_neighbours,
 }
