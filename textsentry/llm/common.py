@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows a bucket of a running total holds on average.
+# Rows a bucket of a running total holds on average; a stratum with few rows fills its buckets less.
 BUCKET_ROWS = 4096
+STRATUM_ROWS = 1024
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,8 @@ def seeded_key(seed: str, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *text))
 
 
-def bucket_count(rows: int) -> int:
-    return max(16, -(-rows // BUCKET_ROWS))
+def bucket_count(rows: int, each: int = BUCKET_ROWS) -> int:
+    return max(16, -(-rows // each))
 
 
 def hex_bucket(key: Column, buckets: int) -> Column:

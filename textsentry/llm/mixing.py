@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsentry.llm.common import bucket_count, hex_bucket, seeded_key
+from textsentry.llm.common import STRATUM_ROWS, bucket_count, hex_bucket, seeded_key
 
 TREE = ("domain", "lang", "source")
 SEED = "mix"
@@ -129,7 +129,7 @@ def mix(
     any share of the rows: they are ranked in buckets.
     """
     tree = list(tree)
-    buckets = bucket_count(rows.count())
+    buckets = bucket_count(rows.count(), STRATUM_ROWS)
     rows = rows.select(F.col(id_col).alias("_id"), *tree, F.coalesce(F.col(tokens), F.lit(0)).alias("_tokens"))
     keyed = (
         rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
@@ -172,3 +172,12 @@ def mix_documents(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, s
         token_count(F.col("text")).alias("n_tokens"),
     )
     return mix(rows, "doc_id", "n_tokens", share=share, epochs=epochs, seed=seed)
+
+
+def take_mix(docs: DataFrame, share: float = SHARE, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix_documents` takes in one epoch, columns as they are.
+
+    Rows that share an id, or have none, are taken together if one of them is.
+    """
+    taken = mix_documents(docs, share, 1, seed).select(F.col("doc_id").alias("_taken"))
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]), "left_semi")

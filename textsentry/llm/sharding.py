@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.llm.common import bucket_count, hex_bucket, running_total, seeded_key
+from textsentry.llm.common import STRATUM_ROWS, bucket_count, hex_bucket, running_total, seeded_key
 
 SHARDS = 16
 SEED = "shard"
@@ -35,7 +35,7 @@ def interleave(rows: DataFrame, stratum: str, id_col: str, seed: str = SEED, sha
     keyed = (
         rows.withColumn("_one", F.lit(1).cast("long"))
         .withColumn("_key", seeded_key(seed, F.col(id_col)))
-        .withColumn("_kb", hex_bucket(F.col("_key"), buckets))
+        .withColumn("_kb", hex_bucket(F.col("_key"), bucket_count(total, STRATUM_ROWS)))
     )
     sizes = rows.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_size"))
     ranked = running_total(keyed, [stratum], "_kb", ["_key", id_col, *ties], "_one", "_rank")

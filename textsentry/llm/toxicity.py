@@ -8,9 +8,10 @@ after the same words, which tells it from terms of abuse.) The field has two
 states; its emissions are sums of feature weights, fitted with the transitions
 by gradient ascent on the likelihood of labelled segments.
 
-A document's score is the largest forward-backward marginal of the toxic state
-among its words; runs of words with a marginal of ``THRESHOLD`` or more are the
-offending spans. The model is fitted on a bounded sample of labelled rows
+A document's score is a logistic function of its two largest forward-backward
+marginals of the toxic state and of their sum, fitted on the same sample, as one
+doubtful word may occur in clean documents too; runs of words with a marginal of
+``THRESHOLD`` or more are the offending spans. The model is fitted on a bounded sample of labelled rows
 (``SAMPLE`` toxic and twice as many clean ones, by hash, of at most
 ``SAMPLE_CHARS`` characters each); texts are scored whole.
 """
@@ -57,11 +58,12 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class Field:
-    """Weights by feature, and the log-potentials of bias, start and transitions."""
+    """Weights by feature, log-potentials of bias and transitions, and weights of the document score."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -40.0
     stay: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)  # 00, 01, 10, 11
+    document: tuple[float, ...] = (-40.0, 0.0, 0.0, 0.0)
 
     def emission(self, word: str) -> float:
         get = self.weights.get
@@ -197,7 +199,27 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = ROUNDS) -> Field:
         theta += 0.25 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.98**k)) + 1e-6)
         theta[-4:] = np.clip(theta[-4:], -3, 3)
     kept = {f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 0.01}
-    return Field(kept, float(theta[-5]), tuple(theta[-4:].tolist()))
+    model = Field(kept, float(theta[-5]), tuple(theta[-4:].tolist()))
+    model.document = _logistic(np.array([evidence(p) for p in Tagger(model).probabilities(texts)]), bad)
+    return model
+
+
+def evidence(p: np.ndarray) -> tuple[float, float, float, float]:
+    """What a document's score depends on: one, its largest and second marginal, the logarithm of their sum."""
+    if not len(p):
+        return 1.0, 0.0, 0.0, 0.0
+    top = np.partition(p, -2)[-2:] if len(p) > 1 else np.array([0.0, p[0]])
+    return 1.0, float(top[1]), float(top[0]), float(np.log1p(p[p >= 0.05].sum()))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[float, ...]:
+    """Weights by Newton's rounds with a small penalty."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.1 * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (y - p) - 0.1 * w)
+    return tuple(w.tolist())
 
 
 class Tagger:
@@ -243,9 +265,10 @@ class Tagger:
         """Scores, and the spans (character offsets, largest marginal) of toxic words."""
         scores, spans = [], []
         for text, p in zip(texts, self.probabilities(texts), strict=True):
-            score = float(p.max()) if len(p) else 0.0
+            x = sum(w * e for w, e in zip(self.model.document, evidence(p), strict=True))
+            score = float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0))))
             found: list[dict] = []
-            if score >= threshold:
+            if len(p) and p.max() >= threshold:
                 last = -2
                 for k, match in enumerate(_WORD.finditer(text)):
                     if p[k] >= threshold:
@@ -286,7 +309,7 @@ def tag_documents(docs: DataFrame, model: Field, text_col: str = "text", thresho
     """``docs`` with ``toxic_score`` and ``toxic_spans`` in place of columns of these names.
 
     All rows and other columns stay as they are; null, empty and wordless texts
-    score 0 and have no spans.
+    have the least evidence and no spans.
     """
     docs = docs.drop("toxic_score", "toxic_spans")
     spread = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
