@@ -15,7 +15,6 @@ from textsentry.sources.equivalents import FILTERS, GATES, SAFE_FORMS
 
 PIECES = {
     "EMAIL": "a,b1,cd,efghijk,@,@a,x@b.,.,.,_,-,|, ,\n,com,.cn,X,community,É",
-    "EMAIL_NOT_ASSET": "a,b1,@,@a,x@b.,.,.,_,-,|, ,\n,com,.js,.jsx,.png,community,É",
     "PASSWORD": "pass,password,pwd,passwd,=,==,!=,:,',\",\\, ,a,bc,).val(,.,),\n,user,!,(,0123456789",
     "WINDOWS_PATH": "C:,\\,\\,a,b.c,/,<,|, ,\n,d:,:,x,.",
     "ID_CARD": "11010119,900101,1234,19900101,X, ,\n,1101011990010112,199,12,31,0,123456,a",

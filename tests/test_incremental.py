@@ -74,3 +74,32 @@ def test_stream_picks_up_new_files_once(spark, tmp_path, texts, one_rule):
     texts("none", "secret2").write.mode("append").parquet(source)
     assert [r[3] for r in run()] == ["secret1", "secret2"]
     assert [r[3] for r in run()] == ["secret1", "secret2"]
+
+
+def test_streams_one_file_and_a_folder_alike(spark, tmp_path, texts, one_rule):
+    from textsentry.streaming.incremental import stream_table
+
+    pack = prepare(one_rule(r"secret\d+"))
+    docs = texts(*[f"secret{i}" for i in range(40)])
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    single = tmp_path / "single" / "docs.parquet"
+    single.parent.mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(single)
+    docs.repartition(4).write.parquet(str(tmp_path / "docs.parquet"))
+    got = []
+    for k, path in enumerate((single, tmp_path / "docs.parquet")):
+        out = str(tmp_path / f"out{k}")
+        stream_scan(stream_table(spark, str(path), docs.schema), pack, out, str(tmp_path / f"cp{k}"), ["id"]).awaitTermination()
+        got.append(rows(read_stream_output(spark, out, scan(docs, pack, ["id"]).schema)))
+    assert got[0] == got[1] and len(got[0]) == 40
+
+
+def test_few_findings_make_few_files(spark, tmp_path, texts, one_rule):
+    from textsentry.operators import sinks
+
+    docs = texts(*[f"secret{i}" if i % 8 == 0 else "none" for i in range(200)]).repartition(64)
+    found = scan(docs, prepare(one_rule(r"secret\d+")), ["id"])
+    for split in (False, True):
+        path = sinks.write(found, str(tmp_path / f"out{split}"), sinks.JSON, split)
+        files = spark.read.json(path).select("_metadata.file_path").distinct().count()
+        assert files <= 4 and spark.read.json(path).count() == 25

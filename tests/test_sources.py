@@ -28,7 +28,9 @@ def test_tree_filters_and_guards(spark, tmp_path, one_rule):
     assert errors == []
     assert matches(exclude_ext=["txt", ".MD"])[0] == ["secret03"]
     assert matches(exclude_path=["sub", "skip"])[0] == ["secret01", "secret05"]
-    assert matches(limit_mb=1)[0] == [f"secret0{i}" for i in range(1, 5)]
+    kept, errors = matches(limit_mb=1)
+    assert kept == [f"secret0{i}" for i in range(1, 5)]
+    assert [(r["path"].rsplit("/", 1)[1], r["error"]) for r in errors] == [("big.txt", "is above the size limit")]
     assert matches(limit_mb=0)[0] == every
     found, _ = scan_tree(spark, str(tmp_path / "sub"), rules, exclude_ext=["js"])
     row = found.first()
@@ -39,7 +41,7 @@ def test_tree_filters_and_guards(spark, tmp_path, one_rule):
 
 def test_size_limit_reaches_the_listing(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
-    plan = files.read_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    plan = files.read_files(spark, str(tmp_path), limit_mb=5)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,5242880)" in plan
 
 
@@ -51,6 +53,9 @@ def test_charsets(spark):
             ("latin", "é secret3".encode("latin-1")),
             ("bad", b"\xff\xff\xff"),
             ("empty", b""),
+            ("mark8", b"\xef\xbb\xbf" + "é secret4".encode()),
+            ("mark16le", b"\xff\xfe" + "é secret5".encode("utf-16-le")),
+            ("mark16be", b"\xfe\xff" + "é secret6".encode("utf-16-be")),
         ],
         "path string, content binary",
     )

@@ -3,27 +3,26 @@
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.functions import fallback, regex
+from textsentry.functions import regex
 from textsentry.functions.text import elide, keywords
 from textsentry.session import broadcast_if_small
 from textsentry.sources.equivalents import FILTERS, GATES, SAFE_FORMS
 
 DEFAULT_CONTEXT = 50
 
-# Most rules one scan expression unrolls; more go through the join plan.
-MAX_UNROLLED = 256
-# Most rules a scan accepts. Both plans hold the pack in memory.
+# Most rules a scan accepts: the pack is held in memory.
 MAX_RULES = 20_000
 
-
-# An unbounded, non-possessive repeat of a group. Java's regex recurses once per
-# round, and a stack overflow ends the whole executor.
-_GROUP_LOOP = re.compile(r"\)(?:[*+]|\{\d+,\})(?!\+)")
+# Rounds a repeated group may be asked for. Java's regex recurses once per round,
+# and a stack overflow ends the whole executor.
+SAFE_ROUNDS = 64
+# A group that is repeated without bound or oftener, unless possessively.
+_LOOP = r"\)(?:[*+]|\{\d+,\}|\{(?:\d+,)?(?:\d{3,}|6[5-9]|[7-9]\d)\})(?!\+)"
+LOOP_HINT = "repeats a group without a small bound; make the repeat possessive, as in (...)*+"
 
 
 class RuleError(ValueError):
@@ -115,17 +114,29 @@ def _lookup(table: dict, kind: str, key: str) -> Column:
     return F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>")[F.col(key)]
 
 
-def compile_rules(rules: DataFrame, gates: dict[str, list[str]] | None = None) -> DataFrame:
-    """Add ``engine_resolved``, ``pattern``, ``keyword_gate`` and ``compile_ok``.
+def loops(pattern: Column) -> Column:
+    """Whether a pattern repeats a group so often that Java might run out of stack; escapes and classes don't count."""
+    plain = F.regexp_replace(pattern, F.lit(r"\\."), F.lit("x"))
+    return F.rlike(F.regexp_replace(plain, F.lit(r"\[\^?\]?[^\]]*\]"), F.lit("x")), F.lit(_LOOP))
+
+
+def compile_rules(
+    rules: DataFrame,
+    gates: dict[str, list[str]] | None = None,
+    forms: dict[str, str] | None = None,
+) -> DataFrame:
+    """Add ``engine_resolved``, ``pattern``, ``keyword_gate``, ``unsafe`` and ``compile_ok``.
 
     ``gates`` adds words to look for before a pattern is tried: every match of
     the pattern must hold one of them in some letter case. They must be ASCII,
-    for which the test knows all letters that fold to them.
+    for which the test knows all letters that fold to them. ``forms`` adds other
+    spellings of patterns of the backtracking engine, for syntax Java does not
+    have or loops it should not run; they must find the same matches.
     """
     if not all(word.isascii() for ws in (gates or {}).values() for word in ws):
         raise RuleError("gate words must be ASCII")
     words = {**GATES, **{p: [w.lower() for w in ws] for p, ws in (gates or {}).items()}}
-    safe = _lookup(SAFE_FORMS, "string", "f_regex")
+    safe = _lookup({**SAFE_FORMS, **(forms or {})}, "string", "f_regex")
     gate = _lookup(words, "array<string>", "f_regex")
     engine = regex.resolve_engine(F.col("engine"), F.col("f_regex"))
     body = F.when(engine == "java", safe)
@@ -138,31 +149,41 @@ def compile_rules(rules: DataFrame, gates: dict[str, list[str]] | None = None) -
                 F.col("engine_resolved"), F.coalesce(body, regex.to_java("f_regex"))
             ),
         )
+        .withColumn("unsafe", body.isNull() & loops(F.col("f_regex")))
         .withColumn("compile_ok", regex.compiled_or_null(F.col("pattern")).isNotNull())
     )
 
 
+def verdict() -> Column:
+    """What a scan makes of a compiled rule: ``ok`` or why it refuses it."""
+    return (
+        F.when(F.col("engine_resolved").isNull(), "unsupported engine")
+        .when(~F.col("compile_ok"), "does not compile")
+        .when(F.col("unsafe"), "unsafe loop")
+        .otherwise("ok")
+    )
+
+
 def rule_pack(compiled: DataFrame) -> list:
     """The compiled rules as driver-side rows, checked.
 
     A pack is configuration, so it is small by nature; the bound is enforced.
-    The first unusable rule raises. Patterns Java does not accept and patterns
-    that could exhaust its stack are marked for the fallback engine.
+    Rules that cannot be used, or could end an executor, are refused by name.
     """
-    rows = compiled.orderBy("group_ord", "rule_ord").limit(MAX_RULES + 1).collect()
+    rows = (
+        compiled.withColumn("verdict", verdict())
+        .orderBy("group_ord", "rule_ord")
+        .limit(MAX_RULES + 1)
+        .collect()
+    )
     if len(rows) > MAX_RULES:
         raise RuleError(f"a scan takes at most {MAX_RULES} rules")
-    pack = []
-    for row in rows:
-        where = f"[{row['group']}:{row['name']}]"
-        if row["engine_resolved"] is None:
-            raise RuleError(f"unsupported regex engine {row['engine']!r} {where}")
-        rule = row.asDict()
-        rule["filter"] = FILTERS.get(row["f_regex"])
-        other = fallback.compiles(row["f_regex"])
-        if not row["compile_ok"] and not other:
-            raise RuleError(f"the pattern does not compile {where}")
-        loops = row["f_regex"] not in SAFE_FORMS and _GROUP_LOOP.search(row["f_regex"])
-        rule["fallback"] = not row["compile_ok"] or bool(loops and other)
-        pack.append(rule)
-    return pack
+    why = {
+        "unsupported engine": lambda r: f"unsupported regex engine {r['engine']!r}",
+        "does not compile": lambda r: "the pattern does not compile",
+        "unsafe loop": lambda r: f"the pattern {LOOP_HINT}",
+    }
+    bad = [f"{why[r['verdict']](r)} [{r['group']}:{r['name']}]" for r in rows if r["verdict"] != "ok"]
+    if bad:
+        raise RuleError("; ".join(bad))
+    return [{**r.asDict(), "filter": FILTERS.get(r["f_regex"])} for r in rows]

@@ -3,8 +3,9 @@
 The unrolled plan is one projection over the texts: an array with one
 ``regexp_extract_all`` per rule, exploded into matches. It needs no shuffle and
 no join, reads each text once and keeps every pattern a literal, compiled once.
-The join plan keeps the rules as rows of a broadcast table; it serves packs too
-large to unroll.
+Packs of more than ``MAX_UNROLLED`` rules are unrolled block by block, and their
+findings put together. The join plan, which keeps the rules as rows of a
+broadcast table, is only used when asked for.
 
 Explodes are the *outer* kind on purpose: an inner one makes the optimizer test
 the array's size below the projection, which runs every regex twice.
@@ -13,11 +14,11 @@ the array's size below the projection, which runs every regex twice.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.functions import fallback
 from textsentry.functions.dense import places
 from textsentry.functions.regex import JAVA_FLAGS
 from textsentry.functions.text import (
@@ -29,7 +30,7 @@ from textsentry.functions.text import (
     sql_string,
     trim_space,
 )
-from textsentry.operators.rules import MAX_UNROLLED, compile_rules, rule_pack, select_rules
+from textsentry.operators.rules import compile_rules, rule_pack, select_rules
 from textsentry.schemas import FINDING_COLUMNS
 
 # Matches of at most this many bytes, blanks at the ends aside, are dropped.
@@ -39,8 +40,9 @@ MIN_MATCH_BYTES = 5
 # not turn into it. Texts holding one skip the keyword gate.
 ODD_CASE_LETTERS = ["ſ", "ı", "İ"]
 
-# Rules per array in the unrolled plan.
+# Rules per array, and per projection, in the unrolled plan.
 _BLOCK = 64
+MAX_UNROLLED = 256
 
 # Rule fields a finding needs, and their names on the way there.
 _ATTRIBUTES = {
@@ -71,9 +73,7 @@ def scan(
     *,
     offset_col: str | None = None,
     line_col: str | None = None,
-    plan: str = "auto",
-    timed: bool = False,
-    timeout: float = fallback.TIMEOUT_SECONDS,
+    plan: str = "unrolled",
 ) -> DataFrame:
     """Findings of ``rules`` in ``texts``: the id columns, then the finding columns.
 
@@ -81,26 +81,18 @@ def scan(
     preparing the same pack for every table. A table that is not compiled yet
     goes through ``select_rules`` and ``compile_rules`` first. ``offset_col`` and
     ``line_col`` name the byte offset and first line of each text inside a larger
-    one. ``plan`` is ``unrolled``, ``join`` or ``auto``, which picks by the number
-    of rules.
-
-    Spark's regex knows no time limit. ``timed`` moves every rule the fallback
-    engine accepts there; a rule then keeps what it found in a text within
-    ``timeout`` seconds. It is meant for packs of unknown quality.
+    one. ``plan`` is ``unrolled`` or ``join``.
     """
     pack = rules if isinstance(rules, list) else prepare(rules)
-    if timed:
-        pack = [{**rule, "fallback": fallback.compiles(rule["f_regex"])} for rule in pack]
-    if plan == "auto":
-        plan = "unrolled" if len(pack) <= MAX_UNROLLED else "join"
     keep = list(dict.fromkeys(c for c in (*id_cols, text_col, offset_col, line_col) if c))
     base = texts.select(*keep)
     if not pack:
         matches = _no_matches(base)
     elif plan == "unrolled":
-        matches = _unrolled(base, pack, text_col, timeout)
+        blocks = [pack[i : i + MAX_UNROLLED] for i in range(0, len(pack), MAX_UNROLLED)]
+        matches = reduce(DataFrame.unionByName, [_unrolled(base, block, text_col) for block in blocks])
     elif plan == "join":
-        matches = _joined(base, pack, text_col, timeout)
+        matches = _joined(base, pack, text_col)
     else:
         raise ValueError(f"unknown plan {plan!r}")
     return _locate(matches, id_cols, text_col, offset_col, line_col)
@@ -137,33 +129,10 @@ def _extract_sql(rule: dict, text_col: str) -> str:
     return f"CASE WHEN {' AND '.join(tests)} THEN {found} END" if tests else found
 
 
-def _with_fallback_columns(
-    base: DataFrame, pack: list[dict], text_col: str, timeout: float
-) -> DataFrame:
-    """One column of matches per rule Java cannot compile.
-
-    A Python column runs for every row of its batch, so the gate closes its input.
-    """
-    columns = {}
-    for i, rule in enumerate(pack):
-        if rule["fallback"]:
-            text = F.col(text_col)
-            if rule["keyword_gate"]:
-                text = F.when(F.expr(_gate_sql(rule["keyword_gate"])), text)
-            ascii_classes = rule["engine_resolved"] == "go"
-            columns[f"__py{i}"] = fallback.extract_all(
-                text, rule["f_regex"], timeout, ascii_classes
-            )
-    return base.withColumns(columns) if columns else base
-
-
-def _unrolled(base: DataFrame, pack: list[dict], text_col: str, timeout: float) -> DataFrame:
+def _unrolled(base: DataFrame, pack: list[dict], text_col: str) -> DataFrame:
     # One SQL expression for the whole pack: built column by column, a pack
     # costs seconds of driver time.
-    per_rule = [
-        f"__py{i}" if rule["fallback"] else _extract_sql(rule, text_col)
-        for i, rule in enumerate(pack)
-    ]
+    per_rule = [_extract_sql(rule, text_col) for rule in pack]
     blocks = [
         "array(" + ", ".join(per_rule[i : i + _BLOCK]) + ")"
         for i in range(0, len(per_rule), _BLOCK)
@@ -174,7 +143,7 @@ def _unrolled(base: DataFrame, pack: list[dict], text_col: str, timeout: float)
         "array<struct<`group`:string,rule_name:string,__left:int,__right:int,sensitive:boolean>>",
     )
     return (
-        _with_fallback_columns(_with_case_columns(base, text_col), pack, text_col, timeout)
+        _with_case_columns(base, text_col)
         .select(*base.columns, hits.alias("__hits"))
         .select(*base.columns, F.posexplode_outer("__hits").alias("__rule", "__matches"))
         .where(F.size("__matches") > 0)
@@ -183,14 +152,12 @@ def _unrolled(base: DataFrame, pack: list[dict], text_col: str, timeout: float)
     )
 
 
-def _joined(base: DataFrame, pack: list[dict], text_col: str, timeout: float) -> DataFrame:
+def _joined(base: DataFrame, pack: list[dict], text_col: str) -> DataFrame:
     spark = base.sparkSession
     rows = [
         (r["pattern"], r["keyword_gate"], *(r[field] for field in _ATTRIBUTES))
         for r in pack
-        if not r["fallback"]
     ]
-    rest = [r for r in pack if r["fallback"]]
     schema = (
         "__pattern string, __gate array<string>, `group` string, rule_name string, "
         "__left int, __right int, sensitive boolean"
@@ -205,7 +172,7 @@ def _joined(base: DataFrame, pack: list[dict], text_col: str, timeout: float) ->
     )
     # The one-element explode keeps the size test from moving the regex into a filter.
     matches = F.array(F.regexp_extract_all(text, F.col("__pattern"), F.lit(0)))
-    found = (
+    return (
         _with_case_columns(base, text_col)
         .join(table, gate)
         .select(
@@ -219,7 +186,6 @@ def _joined(base: DataFrame, pack: list[dict], text_col: str, timeout: float) ->
         )
         .where(F.size("__matches") > 0)
     )
-    return found.unionByName(_unrolled(base, rest, text_col, timeout)) if rest else found
 
 
 def _locate(

@@ -32,8 +32,8 @@ def write(
 ) -> str:
     """Write and return the folder. No findings give an empty, readable dataset.
 
-    The split is a partitioned write: every task writes its rows in place and
-    no group is gathered anywhere.
+    Findings are few and inherit the partitions of the texts, so they are
+    rebalanced into files of a sensible size first; a large group is split.
     """
     path = output_path(base, fmt)
     if fmt not in (JSON, CSV):
@@ -44,6 +44,7 @@ def write(
     if split_by_group:
         # The partition column leaves the files, so the rows keep a copy of it.
         out = out.withColumn("rule_group", F.col("group"))
+    out = out.hint("rebalance", F.col("rule_group")) if split_by_group else out.hint("rebalance")
     writer = out.write.mode("overwrite")
     if split_by_group:
         writer = writer.partitionBy("rule_group")

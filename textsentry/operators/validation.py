@@ -11,16 +11,25 @@ from pyspark.sql import functions as F
 
 from textsentry.functions import regex
 from textsentry.functions.text import percent
-from textsentry.operators.rules import RuleError, compile_rules
+from textsentry.operators.rules import MAX_RULES, RuleError, compile_rules, loops
+
+
+# The longest sample a pattern with a group loop is tried on.
+SAMPLE_CHARS = 1000
 
 
 def _probe(rules: DataFrame) -> DataFrame:
-    """Loaded rules with ``raw`` (the compiled pattern or null) and ``hits`` (sample matches)."""
+    """Loaded rules with ``raw`` (the compiled pattern or null) and ``hits`` (sample matches).
+
+    A pattern that might exhaust Java's stack is not run on a long sample; that
+    rule does not hit.
+    """
     linear = regex.resolve_engine(F.lit(""), F.col("f_regex")) == "go"
     flags = F.when(linear, "(?d)").otherwise("(?dU)")
     raw = regex.compiled_or_null(F.concat(flags, regex.to_java("f_regex")))
+    harmless = (F.length("sample_code") <= SAMPLE_CHARS) | ~loops(F.col("f_regex"))
     hits = F.when(
-        F.col("raw").isNotNull() & (F.col("sample_code") != ""),
+        F.col("raw").isNotNull() & (F.col("sample_code") != "") & harmless,
         F.rlike(F.col("sample_code"), F.coalesce("raw", F.lit(regex.NEVER))),
     )
     return rules.where("loaded").withColumn("raw", raw).withColumn("hits", hits)
@@ -61,12 +70,11 @@ def validation_summary(validated: DataFrame) -> DataFrame:
 
 
 def require_valid(rules: DataFrame) -> DataFrame:
-    """Raise when any loaded rule is invalid, naming the first of them."""
-    bad = validate(rules).where(~F.col("valid"))
-    first = bad.orderBy("group_ord", "rule_ord").limit(10).collect()
-    if first:
-        named = ", ".join(f"[{r['group']}:{r['name']}] {r['status']}" for r in first)
-        raise RuleError(f"found {bad.count()} invalid rules: {named}")
+    """Raise when any loaded rule is invalid, naming them; a pack holds at most ``MAX_RULES``."""
+    bad = validate(rules).where(~F.col("valid")).orderBy("group_ord", "rule_ord").limit(MAX_RULES).collect()
+    if bad:
+        named = ", ".join(f"[{r['group']}:{r['name']}] {r['status']}" for r in bad)
+        raise RuleError(f"found {len(bad)} invalid rules: {named}")
     return rules
 
 

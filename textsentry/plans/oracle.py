@@ -103,11 +103,11 @@ def _doc_full(tail: str = "SELECT * FROM findings") -> str:
 
 
 def _doc_core(tail: str = "SELECT * FROM findings") -> str:
-    return _scan(_DOCS, ["doc_id"], _rules(q.CORE_NAMES), tail)
+    return _scan(_DOCS, ["doc_id"], _rules(None), tail)
 
 
 def _page_core(tail: str = "SELECT * FROM findings") -> str:
-    return _scan(_PAGES, ["page_id"], _rules(q.CORE_NAMES), tail)
+    return _scan(_PAGES, ["page_id"], _rules(None), tail)
 
 
 def _blocked() -> str:
@@ -124,7 +124,8 @@ def _any_keyword(column: str, words: list[str]) -> str:
 
 _CAT = f"WITH cat AS ({CATALOGUE_SQL})"
 _USABLE = "loaded AND name <> '' AND f_regex <> ''"
-_NON_LINEAR = s(regex.NON_LINEAR_SYNTAX)
+# Lookaround, atomic and conditional groups, backreferences, \\u escapes, possessive repeats.
+_NON_LINEAR = s(r"\(\?[=!>(]|\(\?<[=!]|\\[1-9ku]|[*+?}]\+")
 _ENGINE = f"""CASE WHEN engine IN ('nfa', 'dfa', 'java') THEN 'java' WHEN engine = 'go' THEN 'go'
   WHEN engine = '' THEN CASE WHEN regexp_matches(f_regex, {_NON_LINEAR}) THEN 'java' ELSE 'go' END END"""
 
@@ -171,7 +172,7 @@ def _chunked() -> str:
             - length(replace(decode(array_slice(raw, 1, a)), chr(10), '')) AS start_line,
           decode(array_slice(raw, a + 1, z)) AS txt FROM b"""
     ctes = findings_cte(
-        source, ["doc_id", "chunk_idx"], _rules(q.CORE_NAMES), ("start_offset", "start_line")
+        source, ["doc_id", "chunk_idx"], _rules(None), ("start_offset", "start_line")
     )
     return f"WITH {ctes} SELECT * FROM findings"
 
@@ -287,7 +288,7 @@ def statements() -> dict[str, str]:
         "rules_engine": f"""{_CAT} SELECT rule_ord, engine, coalesce({_ENGINE}, 'error')
           AS engine_resolved FROM cat""",
         "rules_compiled": f"""{_CAT}, e AS (SELECT *, {_ENGINE} AS engine_resolved FROM cat
-            WHERE {_USABLE} AND engine <> 'other')
+            WHERE {_USABLE})
           SELECT rule_ord, engine_resolved,
             CASE WHEN engine_resolved = 'go' THEN {s(regex.GO_FLAGS)} ELSE {s(regex.JAVA_FLAGS)} END
               || replace(f_regex, '(?P<', '(?<') AS pattern,
@@ -316,12 +317,20 @@ def statements() -> dict[str, str]:
             f"""SELECT page_id // {q.PAGES_PER_FILE} AS folder,
               string_agg(html || chr(10), '' ORDER BY page_id) AS txt FROM pages GROUP BY 1""",
             ["folder"],
-            _rules(q.CORE_NAMES),
+            _rules(None),
         ),
-        "decode_text": """SELECT doc_id, CASE WHEN lang = 'en' OR strlen(text) = length(text)
-          THEN 'UTF-8' ELSE 'GB18030' END AS charset, md5(text) AS md5 FROM documents""",
-        "scan_errors": """SELECT doc_id, 'is empty' AS error FROM documents
-          WHERE strlen(split_part(text, chr(10), 2)) = 0""",
+        "decode_text": """SELECT doc_id, CASE WHEN lang = 'es' THEN 'UTF-16LE' WHEN lang = 'fr' THEN 'UTF-16BE'
+          WHEN lang = 'en' OR strlen(text) = length(text) THEN 'UTF-8' ELSE 'GB18030' END AS charset,
+          md5(text) AS md5 FROM documents""",
+        "scan_errors": """SELECT doc_id, CASE WHEN lang = 'fr' THEN 'cannot be decoded'
+          ELSE 'is empty' END AS error FROM documents WHERE lang = 'fr' OR strlen(text) = 0""",
+        "docs_skipped": f"""SELECT doc_id, 'is above the size limit' AS error FROM documents
+          WHERE strlen(text) > {limit}""",
+        "rules_verdict": f"""{_CAT}, c AS (SELECT *, {_ENGINE} AS engine_resolved,
+            TRY(regexp_matches('', f_regex)) IS NOT NULL AS compiles FROM cat WHERE {_USABLE})
+          SELECT rule_ord, CASE WHEN engine_resolved IS NULL THEN 'unsupported engine'
+            WHEN NOT compiles THEN 'does not compile'
+            WHEN regexp_matches(f_regex, '\\)[*+]') THEN 'unsafe loop' ELSE 'ok' END AS verdict FROM c""",
         "files_by_ext": f"""SELECT page_id, url FROM pages
           WHERE {_EXT.format(c='url')} NOT IN ({excluded})""",
         "files_by_path": f"SELECT page_id, url FROM pages WHERE {paths}",

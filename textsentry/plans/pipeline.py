@@ -41,10 +41,14 @@ def scan_rows(
     rules: DataFrame | list[dict],
     *,
     charsets: tuple[str, ...] = files.DEFAULT_CHARSETS,
-    chunk_threshold_mb: float = chunks.DEFAULT_THRESHOLD_MB,
+    chunk_threshold_mb: float = 0,
     chunk_bytes: int = chunks.CHUNK_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Findings and per-file errors of binaryFile rows."""
+    """Findings and per-file errors of binaryFile rows.
+
+    Texts are scanned whole unless ``chunk_threshold_mb`` is set: matches that
+    cross the edge of a piece are lost or cut.
+    """
     decoded = files.decode_text(rows.select("path", "content"), charsets=charsets)
     pieces = chunks.chunk_texts(
         files.scannable(decoded),
@@ -63,16 +67,18 @@ def scan_tree(
     *,
     exclude_ext: list[str] | None = None,
     exclude_path: list[str] | None = None,
-    limit_mb: float = files.DEFAULT_SIZE_LIMIT_MB,
-    chunk_threshold_mb: float = chunks.DEFAULT_THRESHOLD_MB,
+    limit_mb: float = 0,
+    chunk_threshold_mb: float = 0,
     charsets: tuple[str, ...] = files.DEFAULT_CHARSETS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Findings and errors of all files below ``path``."""
-    listed = files.read_files(
-        spark, path, exclude_ext=exclude_ext, exclude_path=exclude_path, limit_mb=limit_mb
-    )
-    rows = files.require_files(listed)
-    return scan_rows(rows, rules, charsets=charsets, chunk_threshold_mb=chunk_threshold_mb)
+    """Findings and errors of all files below ``path``; a file above the size limit is an error."""
+    chosen = {"exclude_ext": exclude_ext, "exclude_path": exclude_path}
+    rows = files.require_files(files.read_files(spark, path, limit_mb=limit_mb, **chosen))
+    found, errors = scan_rows(rows, rules, charsets=charsets, chunk_threshold_mb=chunk_threshold_mb)
+    if limit_mb > 0:
+        listed = files.read_files(spark, path, limit_mb=0, **chosen)
+        errors = errors.unionByName(files.size_errors(listed, ["path"], limit_mb))
+    return found, errors
 
 
 def process_results(found: DataFrame, id_cols: list[str], output: Output) -> Report:
@@ -80,7 +86,7 @@ def process_results(found: DataFrame, id_cols: list[str], output: Output) -> Rep
 
     The findings are written once and both halves read that table.
     """
-    raw = materialise(found, "findings")
+    raw = materialise(found.hint("rebalance"), "findings")
     out = post.clean(raw, id_cols) if output.clean else raw
     out = post.block(out, output.block)
     split = output.split_by_group

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textsentry.functions import fallback, regex, text
+from textsentry.functions import regex, text
 from textsentry.operators import findings as post
 from textsentry.operators import rules as ruleops
 from textsentry.operators import sinks, stats, validation
@@ -21,10 +21,7 @@ from textsentry.session import spread, work_path
 from textsentry.sources import chunks, files
 from textsentry.sources.catalogue import catalogue_frame, flatten_catalogue
 from textsentry.sources.packs import default_rules
-from textsentry.streaming.incremental import read_stream_output, resume_scan, stream_scan
-
-# Detectors of the queries that are not about the pack itself.
-CORE_NAMES = ["email", "api key", "us phone", "ipv4 address", "quoted path"]
+from textsentry.streaming.incremental import read_stream_output, resume_scan, stream_scan, stream_table
 
 BLOCK_WORDS = ["example.org", "/the", "0"]
 GROUP_WORDS = [" Brand#1 ", "#25", "  "]
@@ -32,6 +29,8 @@ NAME_WORDS = ["SMALL", " ring"]
 DIGITS = r"\s\d+\s"
 CAPTURE_EMAIL = r"([a-z0-9._]+)@([a-z0-9-]+)\.([a-z.]+)"
 DOMAIN = r"@(?:([a-z0-9-]+)\.)+[a-z]{2,5}"
+# One round of its repeated group; mail domains are short, so the loop is harmless.
+LABEL = r"([a-z0-9-]+)\."
 # A conditional group, which Java does not have, and the same without it.
 CONDITIONAL = r"(\()?[0-9]{3}(?(1)\)|-) ?[0-9]{3}-[0-9]{4}"
 UNCONDITIONAL = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}- ?[0-9]{3}-[0-9]{4}"
@@ -46,17 +45,8 @@ FIRST_N = 2
 
 
 @lru_cache(maxsize=8)
-def _pack(spark: SparkSession, core: bool) -> list[dict]:
-    rules = default_rules(spark, extended=True)
-    return prepare(rules, names=CORE_NAMES) if core else prepare(rules)
-
-
 def full_pack(spark: SparkSession) -> list[dict]:
-    return _pack(spark, False)
-
-
-def core_pack(spark: SparkSession) -> list[dict]:
-    return _pack(spark, True)
+    return prepare(default_rules(spark, extended=True))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,15 +88,17 @@ def scan_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The join plan: rules as a broadcast table."""
     texts = spread(documents(spark, sf_dir).select("doc_id", "text"))
-    return scan(texts, core_pack(spark), ["doc_id"], plan="join")
+    return scan(texts, full_pack(spark), ["doc_id"], plan="join")
 
 
 def scan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule only the fallback engine accepts."""
+    """A rule with syntax Java does not have, run by another spelling."""
     rule = {"name": "Phone", "f_regex": CONDITIONAL, "loaded": True, "engine": "java"}
     document = {"rules": [{"group": "Contact Numbers", "rule": [rule]}]}
     compiled = ruleops.compile_rules(
-        flatten_catalogue(catalogue_frame(spark, document)), gates={CONDITIONAL: ["-"]}
+        flatten_catalogue(catalogue_frame(spark, document)),
+        gates={CONDITIONAL: ["-"]},
+        forms={CONDITIONAL: UNCONDITIONAL},
     )
     return scan_table(documents(spark, sf_dir), compiled, ["doc_id"])
 
@@ -135,7 +127,7 @@ def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return scan(
         pieces,
-        core_pack(spark),
+        full_pack(spark),
         ["doc_id", "chunk_idx"],
         offset_col="start_offset",
         line_col="start_line",
@@ -143,11 +135,11 @@ def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_table(documents(spark, sf_dir), core_pack(spark), ["doc_id"])
+    return scan_table(documents(spark, sf_dir), full_pack(spark), ["doc_id"])
 
 
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_table(pages(spark, sf_dir), core_pack(spark), ["page_id"], "html")
+    return scan_table(pages(spark, sf_dir), full_pack(spark), ["page_id"], "html")
 
 
 # Match primitives -------------------------------------------------------------
@@ -204,11 +196,13 @@ def match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All captures of a repeated group: the labels of mail domains."""
-    body = F.when(F.contains("text", F.lit("@")), F.col("text"))
+    found = regex.match_all(F.col("text"), F.lit(regex.JAVA_FLAGS + DOMAIN))
+    labels = F.regexp_extract_all("match", F.lit(regex.JAVA_FLAGS + LABEL), F.lit(1))
     return (
         _documents_text(spark, sf_dir)
-        .select("doc_id", F.explode(fallback.capture_history(body, DOMAIN)).alias("m"))
-        .select("doc_id", F.col("m")[0][0].alias("match"), F.concat_ws(",", F.col("m")[1]).alias("labels"))
+        .select("doc_id", F.explode_outer(F.when(F.contains("text", F.lit("@")), found)).alias("match"))
+        .where("match IS NOT NULL")
+        .select("doc_id", "match", F.concat_ws(",", labels).alias("labels"))
     )
 
 
@@ -270,7 +264,7 @@ def rules_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rules_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = ruleops.usable(part_catalogue(spark, sf_dir))
-    return ruleops.compile_rules(usable.where("engine <> 'other'")).select(
+    return ruleops.compile_rules(usable).select(
         "rule_ord", "engine_resolved", "pattern", "compile_ok"
     )
 
@@ -334,19 +328,25 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .text(tree)
     )
     found, _ = scan_tree(
-        spark, tree, core_pack(spark), limit_mb=0, chunk_threshold_mb=FILE_THRESHOLD_MB
+        spark, tree, full_pack(spark), limit_mb=0, chunk_threshold_mb=FILE_THRESHOLD_MB
     )
     place = F.regexp_extract("path", r"folder=(\d+)/", 1).cast("long")
     return found.select(place.alias("folder"), *FINDING_COLUMNS)
 
 
 def _stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as bytes: English ones in UTF-8, the others in GB18030."""
+    """Documents as bytes: English in UTF-8, Spanish and French in UTF-16 with a mark, others in GB18030."""
     docs = spread(documents(spark, sf_dir).select("doc_id", "lang", "text"))
+
+    def marked(digits: str, name: str) -> Column:
+        return F.concat(F.unhex(F.lit(digits)), F.encode("text", name))
+
     with files.java_charsets(spark):
         return docs.select(
             "doc_id",
             F.when(F.col("lang") == "en", F.col("text").cast("binary"))
+            .when(F.col("lang") == "es", marked("FFFE", "UTF-16LE"))
+            .when(F.col("lang") == "fr", marked("FEFF", "UTF-16BE"))
             .otherwise(F.encode("text", "GB18030"))
             .alias("content"),
         )
@@ -358,11 +358,23 @@ def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second lines of documents as files; documents of one line give empty ones."""
-    lines = documents(spark, sf_dir).select(
-        "doc_id", F.split_part("text", F.lit("\n"), F.lit(2)).cast("binary").alias("content")
-    )
-    return files.scan_errors(files.decode_text(lines), ["doc_id"])
+    """Documents as files, the French ones with a byte at the end that no charset of the chain has."""
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    content = F.when(F.col("lang") == "fr", F.concat(body, F.unhex(F.lit("FF")))).otherwise(body)
+    stored = documents(spark, sf_dir).select("doc_id", content.alias("content"))
+    return files.scan_errors(files.decode_text(stored), ["doc_id"])
+
+
+def docs_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the size limit leaves out, one error row each."""
+    docs = documents(spark, sf_dir)
+    return files.size_errors(docs, ["doc_id"], SIZE_LIMIT_MB, F.octet_length("text"))
+
+
+def rules_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rules a scan would refuse, and why."""
+    usable = ruleops.usable(part_catalogue(spark, sf_dir))
+    return ruleops.compile_rules(usable).select("rule_ord", ruleops.verdict().alias("verdict"))
 
 
 def files_by_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,7 +480,7 @@ def files_with_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first run that saw the labelled documents, then the rest of them."""
     store = work_path(spark, "store")
-    rules = core_pack(spark)
+    rules = full_pack(spark)
     docs = _documents_text(spark, sf_dir)
     labelled = table(spark, sf_dir, "labels").select("doc_id")
     resume_scan(docs.join(labelled, "doc_id", "left_semi"), rules, store, ["doc_id"])
@@ -479,13 +491,11 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]
     )
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    )
+    stream = stream_table(spark, f"{sf_dir}/documents.parquet", schema)
     out, checkpoint = work_path(spark, "stream"), work_path(spark, "stream-checkpoint")
     cores = spark.sparkContext.defaultParallelism
     stream_scan(
-        stream, core_pack(spark), out, checkpoint, ["doc_id"], partitions=cores
+        stream, full_pack(spark), out, checkpoint, ["doc_id"], partitions=cores
     ).awaitTermination()
     return read_stream_output(
         spark, out, T.StructType([schema.fields[0], *FINDING_FIELDS.fields])
@@ -547,6 +557,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_scan": file_scan,
     "decode_text": decode_text,
     "scan_errors": scan_errors,
+    "docs_skipped": docs_skipped,
+    "rules_verdict": rules_verdict,
     "files_by_ext": files_by_ext,
     "files_by_path": files_by_path,
     "docs_by_size": docs_by_size,

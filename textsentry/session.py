@@ -23,18 +23,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition an input that is too small to fill the cluster by itself.
+    """Repartition a table whose scan yields fewer splits than there are cores.
 
     Regex matching is CPU-bound, so one parquet row group on one core is the
-    bottleneck for small tables. A table that yields a split per core on its
-    own is left alone: shuffling whole texts would cost more than it gains.
+    bottleneck for small tables. A table with a split per core is left alone,
+    whatever its size: shuffling whole texts would cost more than it gains.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if estimated_bytes(df) >= cores * split:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():  # planning it would run it
         return df
-    return df.repartition(cores)
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
 
 
 def work_root(spark: SparkSession) -> str:

@@ -19,8 +19,6 @@ _MAILBOX = (
     r"(?:(?![-_|.]{2})[a-z0-9_|.-])*(?<=[a-z0-9])\."
 )
 _EMAIL = _MAILBOX + "[a-z]{2,5}"
-_EMAIL_NOT_ASSET = _MAILBOX + "(?!js|css|jpg|jpeg|png|ico)[a-z]{2,5}"
-
 # Components are separated by single backslashes and take all they can.
 _WINDOWS_PATH = r"[^\w][a-zA-Z]:\\?+[^<>:/\\|?*]++(?:\\[^<>:/\\|?*]++)*+"
 
@@ -34,7 +32,6 @@ _PASSWORD = (
 
 SAFE_FORMS = {
     packs.EMAIL: _EMAIL,
-    packs.EMAIL_NOT_ASSET: _EMAIL_NOT_ASSET,
     packs.WINDOWS_PATH: _WINDOWS_PATH,
     packs.PASSWORD: _PASSWORD,
 }
@@ -52,7 +49,6 @@ FILTERS = {
 
 GATES = {
     packs.EMAIL: ["@"],
-    packs.EMAIL_NOT_ASSET: ["@"],
     packs.INTERNAL_IP: ["127.0.0.1", "10.", "172.", "192.168."],
     packs.MAC: [":"],
     packs.WINDOWS_PATH: [":"],

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from textsentry.functions.text import extension, megabytes
 from textsentry.schemas import FILE_SCHEMA
 
-# Fixed value: files above this many megabytes are skipped unless told otherwise.
-DEFAULT_SIZE_LIMIT_MB = 5
 # Tried on content that is not UTF-8, in this order.
 DEFAULT_CHARSETS = ("GB18030",)
 
+# Byte order marks as hex digits, and what follows them.
+_MARKS = {"EFBBBF": "UTF-8", "FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
 _REPLACEMENT = "�"
 _DECODE_SETTINGS = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
 
@@ -41,13 +41,22 @@ def limit_size(files: DataFrame, limit_mb: float, size: Column | None = None) ->
     return files.where((F.col("length") if size is None else size) <= megabytes(limit_mb))
 
 
+def size_errors(
+    files: DataFrame, id_cols: list[str], limit_mb: float, size: Column | None = None
+) -> DataFrame:
+    """One row for every entry :func:`limit_size` drops."""
+    above = (F.col("length") if size is None else size) > megabytes(limit_mb)
+    rows = files.where(above if limit_mb > 0 else F.lit(False))
+    return rows.select(*id_cols, F.lit("is above the size limit").alias("error"))
+
+
 def read_files(
     spark: SparkSession,
     path: str,
     *,
     exclude_ext: list[str] | None = None,
     exclude_path: list[str] | None = None,
-    limit_mb: float = DEFAULT_SIZE_LIMIT_MB,
+    limit_mb: float = 0,
 ) -> DataFrame:
     """All files below ``path`` as binaryFile rows; the size limit is pushed into the listing.
 
@@ -93,14 +102,29 @@ def decode_text(
     content_col: str = "content",
     charsets: tuple[str, ...] = DEFAULT_CHARSETS,
 ) -> DataFrame:
-    """Add ``text`` and ``charset``: UTF-8 when valid, else the first charset that fits, else null."""
+    """Add ``text`` and ``charset``: by the byte order mark if there is one, else UTF-8 when valid,
+    else the first charset that fits, else null. The mark is not part of the text.
+    """
+    content = F.col(content_col)
     with java_charsets(files.sparkSession):
-        out = files.withColumn("__utf8", F.try_validate_utf8(F.col(content_col).cast("string")))
-        text, charset = F.col("__utf8"), F.when(F.col("__utf8").isNotNull(), "UTF-8")
+        mark = F.hex(F.substring(content, 1, 3))
+        named = F.lit(None).cast("string")
+        marked = F.lit(None).cast("string")
+        for digits, name in _MARKS.items():
+            body = F.substring(content, len(digits) // 2 + 1, 2**31 - 1)
+            here = mark.startswith(digits)
+            named = F.when(here, name).otherwise(named)
+            marked = F.when(here, F.decode(body, name)).otherwise(marked)
+        out = files.withColumn("__mark", named).withColumn("__marked", marked)
+        sound = F.when(~F.contains("__marked", F.lit(_REPLACEMENT)), F.col("__marked"))
+        plain = F.when(F.col("__mark").isNull(), F.try_validate_utf8(content.cast("string")))
+        out = out.withColumn("__utf8", F.coalesce(sound, plain))
+        text = F.col("__utf8")
+        charset = F.when(text.isNotNull(), F.coalesce("__mark", F.lit("UTF-8")))
         for i, name in enumerate(charsets):
             out = out.withColumn(
                 f"__text{i}",
-                F.when(text.isNull(), F.decode(F.col(content_col), name)),
+                F.when(text.isNull(), F.decode(content, name)),
             )
             decoded = F.when(~F.contains(f"__text{i}", F.lit(_REPLACEMENT)), F.col(f"__text{i}"))
             charset = F.coalesce(charset, F.when(decoded.isNotNull(), name))

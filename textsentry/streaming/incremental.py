@@ -72,7 +72,7 @@ class ScanStore:
     def append(self, keys: DataFrame, findings: DataFrame) -> None:
         run = uuid.uuid4().hex
         for table, rows in (("findings", findings), ("manifest", keys)):
-            rows.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(
+            rows.hint("rebalance").withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(
                 f"{self.path}/{table}"
             )
 
@@ -136,6 +136,15 @@ def resume_scan(
     )
 
 
+def stream_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stream over a parquet table, be it a folder of part files or a single file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+
+
 def stream_scan(
     stream: DataFrame,
     rules: DataFrame | list[dict],
