@@ -124,7 +124,8 @@ def mix(
     ``rows`` are narrow: id, tree columns, tokens. A row is taken in an epoch
     while the tokens up to and with it stay within the leaf's budget. Null tree
     values form a branch of their own (weight 1), null tokens count 0, rows
-    without tokens cost nothing and come with the prefix they fall in. Repeated
+    without tokens cost nothing and come with the prefix they fall in, but a leaf
+    without any takes none. Repeated
     rows are taken or left one by one. No rows give no rows. Leaves may hold
     any share of the rows: they are ranked in buckets.
     """

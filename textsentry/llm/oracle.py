@@ -131,8 +131,86 @@ WITH {mix_ctes(mixing.SHARE, mixing.EPOCHS, mixing.SEED)}
 SELECT doc_id, domain, lang, source, n_tokens, epoch, cum_tokens, leaf_budget FROM picked
 """
 
+# Bytes as hex digits: windows of 200 bytes that start at two places or more, and what they cover.
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+  w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS k
+    FROM d, LATERAL (SELECT unnest(range(0, n - 199)) AS p)),
+  dup AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+  st AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 200, true) AS fresh
+    FROM w SEMI JOIN dup USING (k)),
+  g AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM st),
+  spans AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY doc_id, run),
+  kept AS (
+    SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z, b, h
+    FROM spans JOIN d USING (doc_id)),
+  cut AS (
+    SELECT doc_id, any_value(h) AS h, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+      string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS parts
+    FROM kept GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(parts || substr(d.h, 2 * last + 1), d.h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+_SPACED = "regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+SUBSTRING_DEDUP = f"""
+WITH d AS (SELECT doc_id, {_SPACED.format(text="text")} AS w FROM documents),
+  win AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS k
+    FROM d, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS p)),
+  late AS (SELECT doc_id, p FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS x FROM late),
+  words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS x FROM d),
+  kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY x) AS t FROM words ANTI JOIN gone USING (doc_id, x) GROUP BY doc_id),
+  n AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+NEAR_DEDUP = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, {_SPACED.format(text=f"translate(text, '{_UP}', '{_LOW}')")} AS w FROM documents),
+  sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d WHERE len(w) > 0),
+  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+  df AS (SELECT s, count(*) AS c FROM sh GROUP BY s),
+  rare AS (SELECT doc_id, s, n FROM sh JOIN df USING (s) JOIN n USING (doc_id)
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c, s) <= n - (n * 80 + 99) // 100 + 1),
+  cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM rare a JOIN rare b
+    ON a.s = b.s AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+  link AS (SELECT a, b FROM cand JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b AND x.s = y.s
+    GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+  two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+  reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, two.b FROM reach JOIN two ON two.a = reach.r),
+  comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
+"""
+
+# SHA-1 in base 32: five hex digits are four letters.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = (
+    "array_to_string(list_transform(range(32), lambda i: substr('"
+    + _LETTERS
+    + "', ((('0x' || substr(sha1({x}), 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '')"
+)
+
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+  f AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS origin FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32.format(x="h")} AS payload_digest,
+  CASE WHEN origin = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN origin != page_id THEN origin END AS refers_to, true AS valid
+FROM f
+"""
+
 ORACLE = {
+    "op1_suffix_dedup": SUFFIX_DEDUP,
     "op2_decontaminate": DECONTAMINATE,
     "op3_shard": SHARD,
+    "op5_near_dedup": NEAR_DEDUP,
     "op6_mix": MIX,
+    "op7_substring_dedup": SUBSTRING_DEDUP,
+    "op9_warc": WARC,
 }
