@@ -96,7 +96,7 @@ def test_small_texts_stay_whole(texts):
     st.integers(4, 40),
 )
 def test_chunks_rebuild_the_text(texts, values, size):
-    got = _pieces(texts(*values), threshold_mb=20 / 1024 / 1024, chunk_bytes=size)
+    got = _pieces(texts(*values), threshold_mb=20 / 1024 / 1024, chunk_bytes=size, overlap=0)
     for i, value in enumerate(values):
         raw = value.encode()
         assert "".join(c["text"] for c in got[i]) == value
@@ -106,20 +106,29 @@ def test_chunks_rebuild_the_text(texts, values, size):
             assert len(c["text"].encode()) <= size + 3
 
 
-def test_chunk_edges_and_overlap(texts, one_rule):
-    body = "x" * 95 + "secret77" + "\n" * 50 + "secret88" + "y" * 60
-    pack = prepare(one_rule(r"secret\d\d"))
+def test_chunk_edges_lose_and_double_nothing(texts, one_rule):
+    body = "x" * 95 + "secret77" + "\n" * 50 + "secret88 secret88" + "é" * 30 + "1" * 35 + "y" * 60
+    pack = prepare(one_rule(r"secret\d\d|1{13,}", sensitive=True, context_left=3, context_right=2))
 
-    def run(overlap):
-        size = {"threshold_mb": 0.0001, "chunk_bytes": 100}
-        pieces = chunks.chunk_texts(
-            texts(body), ["id"], **size, overlap=overlap, spread_chunks=True
-        )
-        rows = scan(pieces, pack, ["id"], offset_col="start_offset", line_col="start_line").collect()
-        return sorted((r["match"], r["position"], r["line_number"]) for r in rows)
+    def run(size):
+        sizes = {"threshold_mb": 0.00001, "chunk_bytes": size, "overlap": 40}
+        pieces = chunks.chunk_texts(texts(body), ["id"], **sizes, spread_chunks=True)
+        own = {"offset_col": "start_offset", "line_col": "start_line", "own_cols": ("own_from", "own_to")}
+        rows = scan(pieces, pack, ["id"], **own).collect()
+        return sorted((r["position"], r["match"], r["line_number"], r["context"]) for r in rows)
 
-    assert run(0) == [("secret88", 153, 51)]
-    assert run(8) == [("secret77", 95, 1), ("secret88", 153, 51)]
+    whole = run(10_000)
+    assert [w[:3] for w in whole] == [(95, "secret77", 1), (153, "secret88", 51), (162, "secret88", 51), (230, "1" * 35, 51)]
+    assert whole[0][3] == "xxxsecret77\n\n"
+    for size in (17, 50, 100, 101, 160):
+        assert run(size) == whole
+
+
+def test_set_off_marks_in_texts_are_harmless(texts, one_rule):
+    own = {"own_cols": ("a", "z")}
+    docs = texts("x\ufdd0secret11\ufdd0 secret22").withColumns({"a": F.lit(0), "z": F.lit(100)})
+    rows = scan(docs, one_rule(r"secret\d\d"), ["id"], **own).collect()
+    assert sorted((r["match"], r["position"]) for r in rows) == [("secret11", 4), ("secret22", 16)]
 
 
 def test_large_file_rows_are_chunked(spark, one_rule):

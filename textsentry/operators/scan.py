@@ -40,6 +40,9 @@ MIN_MATCH_BYTES = 5
 # not turn into it. Texts holding one skip the keyword gate.
 ODD_CASE_LETTERS = ["ſ", "ı", "İ"]
 
+# Set around matches where their own places are asked for; texts that hold it get its neighbour instead.
+_SET_OFF, _INSTEAD = "\ufdd0", "\ufdd1"
+
 # Rules per array, and per projection, in the unrolled plan.
 _BLOCK = 64
 MAX_UNROLLED = 256
@@ -73,6 +76,7 @@ def scan(
     *,
     offset_col: str | None = None,
     line_col: str | None = None,
+    own_cols: tuple[str, str] | None = None,
     plan: str = "unrolled",
 ) -> DataFrame:
     """Findings of ``rules`` in ``texts``: the id columns, then the finding columns.
@@ -82,19 +86,29 @@ def scan(
     goes through ``select_rules`` and ``compile_rules`` first. ``offset_col`` and
     ``line_col`` name the byte offset and first line of each text inside a larger
     one. ``plan`` is ``unrolled`` or ``join``.
+
+    ``own_cols`` names two columns of byte offsets: only matches that start
+    between them are kept, and position, line and context are then those of the
+    match itself instead of its first occurrence. It takes the unrolled plan.
     """
     pack = rules if isinstance(rules, list) else prepare(rules)
-    keep = list(dict.fromkeys(c for c in (*id_cols, text_col, offset_col, line_col) if c))
+    exact = own_cols is not None
+    if exact:
+        plan = "unrolled"
+        texts = texts.withColumn(text_col, F.translate(text_col, _SET_OFF, _INSTEAD))
+    keep = list(dict.fromkeys(c for c in (*id_cols, text_col, offset_col, line_col, *(own_cols or ())) if c))
     base = texts.select(*keep)
     if not pack:
         matches = _no_matches(base)
     elif plan == "unrolled":
         blocks = [pack[i : i + MAX_UNROLLED] for i in range(0, len(pack), MAX_UNROLLED)]
-        matches = reduce(DataFrame.unionByName, [_unrolled(base, block, text_col) for block in blocks])
+        matches = reduce(DataFrame.unionByName, [_unrolled(base, block, text_col, exact) for block in blocks])
     elif plan == "join":
         matches = _joined(base, pack, text_col)
     else:
         raise ValueError(f"unknown plan {plan!r}")
+    if own_cols:
+        return _own(matches, id_cols, text_col, offset_col, line_col, own_cols)
     return _locate(matches, id_cols, text_col, offset_col, line_col)
 
 
@@ -119,8 +133,12 @@ def _gate_sql(words: list[str]) -> str:
     return " OR ".join(["__odd", *tests])
 
 
-def _extract_sql(rule: dict, text_col: str) -> str:
-    found = f"regexp_extract_all(`{text_col}`, {sql_string(rule['pattern'])}, 0)"
+def _extract_sql(rule: dict, text_col: str, exact: bool = False) -> str:
+    """The matches of a rule; if ``exact``, the whole text cut at both ends of each, matches at odd places."""
+    pattern = sql_string(rule["pattern"])
+    found = f"regexp_extract_all(`{text_col}`, {pattern}, 0)"
+    if exact:
+        found = f"split(regexp_replace(`{text_col}`, {pattern}, '{_SET_OFF}$0{_SET_OFF}'), '{_SET_OFF}')"
     tests = []
     if rule["keyword_gate"]:
         tests.append(f"({_gate_sql(rule['keyword_gate'])})")
@@ -129,10 +147,10 @@ def _extract_sql(rule: dict, text_col: str) -> str:
     return f"CASE WHEN {' AND '.join(tests)} THEN {found} END" if tests else found
 
 
-def _unrolled(base: DataFrame, pack: list[dict], text_col: str) -> DataFrame:
+def _unrolled(base: DataFrame, pack: list[dict], text_col: str, exact: bool = False) -> DataFrame:
     # One SQL expression for the whole pack: built column by column, a pack
     # costs seconds of driver time.
-    per_rule = [_extract_sql(rule, text_col) for rule in pack]
+    per_rule = [_extract_sql(rule, text_col, exact) for rule in pack]
     blocks = [
         "array(" + ", ".join(per_rule[i : i + _BLOCK]) + ")"
         for i in range(0, len(per_rule), _BLOCK)
@@ -146,7 +164,7 @@ def _unrolled(base: DataFrame, pack: list[dict], text_col: str) -> DataFrame:
         _with_case_columns(base, text_col)
         .select(*base.columns, hits.alias("__hits"))
         .select(*base.columns, F.posexplode_outer("__hits").alias("__rule", "__matches"))
-        .where(F.size("__matches") > 0)
+        .where(F.size("__matches") > int(exact))
         .select(*base.columns, "__matches", attributes[F.col("__rule")].alias("__attributes"))
         .select(*base.columns, "__matches", "__attributes.*")
     )
@@ -188,6 +206,45 @@ def _joined(base: DataFrame, pack: list[dict], text_col: str) -> DataFrame:
     )
 
 
+def _own(
+    matches: DataFrame,
+    id_cols: list[str],
+    text_col: str,
+    offset_col: str | None,
+    line_col: str | None,
+    own_cols: tuple[str, str],
+) -> DataFrame:
+    """Findings of the matches that start in the text's own bytes, with their own places."""
+    text, match, before = F.col(text_col), F.col("match"), F.col("__before")
+    offset = F.col(offset_col) if offset_col else F.lit(0).cast("long")
+    line = F.col(line_col) if line_col else F.lit(1).cast("long")
+    start = F.octet_length(before)
+    left, right = F.greatest("__left", F.lit(0)), F.greatest("__right", F.lit(0))
+    around = byte_slice(
+        text,
+        F.greatest(F.lit(0), start - left),
+        F.least(F.octet_length(text), start + F.octet_length(match) + right),
+    )
+    carried = [c for c in matches.columns if c != "__matches"]
+    return (
+        matches.select(*carried, "__matches", F.posexplode_outer("__matches").alias("__n", "match"))
+        .where((F.col("__n") % 2 == 1) & long_enough(match))
+        .withColumn("__before", F.array_join(F.slice("__matches", F.lit(1), F.col("__n")), ""))
+        .where((start >= F.col(own_cols[0])) & (start < F.col(own_cols[1])))
+        .select(
+            *id_cols,
+            "group",
+            "rule_name",
+            "match",
+            F.when((F.col("__left") <= 0) & (F.col("__right") <= 0), match).otherwise(around).alias("context"),
+            (offset + start).cast("long").alias("position"),
+            (line + count_newlines(before)).alias("line_number"),
+            "sensitive",
+        )
+        .select(*id_cols, *FINDING_COLUMNS)
+    )
+
+
 def _locate(
     matches: DataFrame,
     id_cols: list[str],

@@ -154,27 +154,24 @@ def _last_group(source: str) -> str:
 
 
 def _chunked() -> str:
-    size, limit = q.CHUNK_BYTES, int(q.CHUNK_THRESHOLD_MB * 1024 * 1024)
-    # First character boundary at or behind byte i * size.
-    bound = (
-        f"least(strlen(text), {{i}} * {size} + length(regexp_extract(hex(array_slice(raw, "
-        f"{{i}} * {size} + 1, {{i}} * {size} + 3)), '^(?:[89AB][0-9A-F])*')) // 2)"
-    )
-    source = f"""
-      WITH d AS (SELECT doc_id, text, encode(text) AS raw,
-          CASE WHEN strlen(text) > {limit} THEN (strlen(text) - 1) // {size} ELSE 0 END AS last
-          FROM documents),
-      p AS (SELECT *, unnest(range(0, last + 1)) AS i FROM d),
-      b AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE {bound.format(i='i')} END AS a,
-          CASE WHEN i = last THEN strlen(text) ELSE {bound.format(i='(i + 1)')} END AS z FROM p)
-      SELECT doc_id, CAST(i AS INT) AS chunk_idx, a AS start_offset,
-          1 + length(decode(array_slice(raw, 1, a)))
-            - length(replace(decode(array_slice(raw, 1, a)), chr(10), '')) AS start_line,
-          decode(array_slice(raw, a + 1, z)) AS txt FROM b"""
-    ctes = findings_cte(
-        source, ["doc_id", "chunk_idx"], _rules(None), ("start_offset", "start_line")
-    )
-    return f"WITH {ctes} SELECT * FROM findings"
+    """Every match of the whole text at its own place; where the text was cut must not show."""
+    mark = "chr(64976)"
+    selects = []
+    for r in _rules(None):
+        pattern = _unicode(r["f_regex"]) if r["engine"] == "nfa" else r["f_regex"]
+        cut = f"string_split(regexp_replace(text, {s('(?mi)' + pattern)}, {mark} || '\\0' || {mark}, 'g'), {mark})"
+        selects.append(
+            f"""SELECT doc_id, text, {s(r['group'])} AS "group", {s(r['name'])} AS rule_name,
+            {r['width']} AS w, {str(r['sensitive']).lower()} AS sensitive, {cut} AS parts FROM documents"""
+        )
+    ctes = findings_cte("SELECT 0 AS doc_id, '' AS txt", ["doc_id"], _rules(None)[:1])
+    edges = ctes[ctes.index("edges AS") :]
+    return f"""WITH cuts AS ({' UNION ALL '.join(selects)}),
+      places AS (SELECT *, unnest(range(2, len(parts) + 1, 2)) AS i FROM cuts WHERE len(parts) > 1),
+      around AS (SELECT * EXCLUDE (parts, text, i), parts[i] AS match,
+          array_to_string(parts[1:i - 1], '') AS pre, array_to_string(parts[i + 1:], '') AS post FROM places
+          WHERE strlen(trim(parts[i], {s(WHITE_SPACE)})) > 5),
+      {edges} SELECT * FROM findings"""
 
 
 def _union() -> str:

@@ -46,8 +46,9 @@ def scan_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """Findings and per-file errors of binaryFile rows.
 
-    Texts are scanned whole unless ``chunk_threshold_mb`` is set: matches that
-    cross the edge of a piece are lost or cut.
+    With ``chunk_threshold_mb`` larger texts are scanned in overlapping pieces,
+    which finds the same matches, at their own places, as long as they are
+    shorter than the overlap.
     """
     decoded = files.decode_text(rows.select("path", "content"), charsets=charsets)
     pieces = chunks.chunk_texts(
@@ -56,7 +57,10 @@ def scan_rows(
         threshold_mb=chunk_threshold_mb,
         chunk_bytes=chunk_bytes,
     )
-    found = scan(pieces, rules, ["path"], offset_col="start_offset", line_col="start_line")
+    own = ("own_from", "own_to") if chunk_threshold_mb > 0 else None
+    found = scan(
+        pieces, rules, ["path"], offset_col="start_offset", line_col="start_line", own_cols=own
+    )
     return found, files.scan_errors(decoded, ["path"])
 
 

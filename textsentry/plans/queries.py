@@ -37,8 +37,8 @@ UNCONDITIONAL = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}- ?[0-9]{3}-[0-9]{4}"
 SIZE_LIMIT_MB = 0.002
 CHUNK_THRESHOLD_MB = 4 / 1024
 CHUNK_BYTES = 2048
+CHUNK_OVERLAP = 1024
 PAGES_PER_FILE = 25
-FILE_THRESHOLD_MB = 5
 EXCLUDED_EXTENSIONS = ["html", ".PHP"]
 EXCLUDED_PATHS = ["/en/", "blog."]
 FIRST_N = 2
@@ -123,14 +123,19 @@ def scan_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spread(documents(spark, sf_dir).select("doc_id", "text"))
     pieces = chunks.chunk_texts(
-        texts, ["doc_id"], threshold_mb=CHUNK_THRESHOLD_MB, chunk_bytes=CHUNK_BYTES
+        texts,
+        ["doc_id"],
+        threshold_mb=CHUNK_THRESHOLD_MB,
+        chunk_bytes=CHUNK_BYTES,
+        overlap=CHUNK_OVERLAP,
     )
     return scan(
         pieces,
         full_pack(spark),
-        ["doc_id", "chunk_idx"],
+        ["doc_id"],
         offset_col="start_offset",
         line_col="start_line",
+        own_cols=("own_from", "own_to"),
     )
 
 
@@ -312,10 +317,7 @@ def rules_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as a tree of text files, many to a file in order, then scanned as files.
-
-    Files above the chunk threshold are scanned in pieces.
-    """
+    """Pages written as a tree of text files, many to a file in order, then scanned as files."""
     tree = work_path(spark, "tree")
     folder = F.expr(f"page_id DIV {PAGES_PER_FILE}").alias("folder")
     (
@@ -327,9 +329,7 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .write.partitionBy("folder")
         .text(tree)
     )
-    found, _ = scan_tree(
-        spark, tree, full_pack(spark), limit_mb=0, chunk_threshold_mb=FILE_THRESHOLD_MB
-    )
+    found, _ = scan_tree(spark, tree, full_pack(spark))
     place = F.regexp_extract("path", r"folder=(\d+)/", 1).cast("long")
     return found.select(place.alias("folder"), *FINDING_COLUMNS)
 

@@ -16,6 +16,8 @@ from textsentry.functions.text import count_newlines, megabytes
 # Texts above the threshold are cut into chunks of this size.
 DEFAULT_THRESHOLD_MB = 5
 CHUNK_BYTES = 1024 * 1024
+# Bytes of the text around a chunk that its piece holds on either side.
+OVERLAP_BYTES = 64 * 1024
 
 
 def _char_start(raw: Column, at: Column) -> Column:
@@ -32,14 +34,16 @@ def chunk_texts(
     *,
     threshold_mb: float = DEFAULT_THRESHOLD_MB,
     chunk_bytes: int = CHUNK_BYTES,
-    overlap: int = 0,
+    overlap: int = OVERLAP_BYTES,
     spread_chunks: bool = False,
 ) -> DataFrame:
-    """``id_cols, chunk_idx, start_offset, start_line, text`` for every text.
+    """``id_cols, chunk_idx, start_offset, start_line, own_from, own_to, text`` for every text.
 
-    Texts at or below the threshold (all of them when it is zero) stay whole.
-    ``overlap`` repeats that many bytes of the next chunk at the end of each, so
-    that a match across an edge is seen. ``spread_chunks`` shuffles the chunks
+    Texts at or below the threshold (all of them when it is zero) stay whole. A
+    piece holds ``overlap`` bytes more than its chunk on either side, from
+    ``start_offset`` on; the chunk's own bytes are ``own_from`` to ``own_to``. A
+    match that starts there is the chunk's, so every match shorter than the
+    overlap is found once, whole, wherever the text is cut. ``spread_chunks`` shuffles the chunks
     over the cluster, for tables in which a few texts hold most of the bytes.
     """
     # All chunks of a text pass through one array, so offsets are taken first
@@ -70,18 +74,15 @@ def chunk_texts(
                 F.slice("__starts", F.lit(2), F.size("__starts")), F.array(total.cast("long"))
             ),
         )
+        .withColumn("__from", F.transform("__starts", lambda a: _char_start(raw, F.greatest(F.lit(0).cast("long"), a - overlap))))
         .withColumn(
             "__lines",
             F.when(F.col("__last") == 0, F.array(F.lit(1).cast("long"))).otherwise(
                 F.aggregate(
-                    F.arrays_zip("__starts", "__ends"),
+                    F.arrays_zip(F.col("__from").alias("a"), F.slice("__from", F.lit(2), F.size("__from")).alias("z")),
                     F.array(F.lit(1).cast("long")),
                     lambda acc, c: F.concat(
-                        acc,
-                        F.array(
-                            F.element_at(acc, -1)
-                            + count_newlines(piece(c["__starts"], c["__ends"]))
-                        ),
+                        acc, F.array(F.element_at(acc, -1) + count_newlines(piece(c["a"], c["z"])))
                     ),
                 )
             ),
@@ -90,16 +91,16 @@ def chunk_texts(
     chunks = cut.select(
         *id_cols,
         "__raw",
-        F.posexplode_outer(F.arrays_zip("__starts", "__ends", "__lines")).alias("chunk_idx", "__c"),
+        F.posexplode_outer(F.arrays_zip("__starts", "__ends", "__lines", "__from")).alias("chunk_idx", "__c"),
     ).where(F.col("__c.__starts").isNotNull() & F.col("__c.__ends").isNotNull())
-    end = F.col("__c.__ends")
-    if overlap:
-        end = F.least(total.cast("long"), _char_start(raw, end + overlap))
+    first, start, end = F.col("__c.__from"), F.col("__c.__starts"), F.col("__c.__ends")
     out = chunks.select(
         *id_cols,
         "chunk_idx",
-        F.col("__c.__starts").alias("start_offset"),
+        first.alias("start_offset"),
         F.col("__c.__lines").alias("start_line"),
-        piece(F.col("__c.__starts"), end).alias("text"),
+        (start - first).alias("own_from"),
+        (end - first).alias("own_to"),
+        piece(first, F.least(total.cast("long"), _char_start(raw, end + overlap))).alias("text"),
     )
     return out.repartition(*id_cols, "chunk_idx") if spread_chunks else out
