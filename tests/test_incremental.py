@@ -16,6 +16,7 @@ def test_resume_scans_only_what_is_new(spark, tmp_path, texts, one_rule):
     assert rows(resume_scan(first, pack, store, ["id"])) == rows(scan(first, pack, ["id"]))
     manifest = spark.read.parquet(f"{store}/manifest")
     assert manifest.count() == 4
+    assert manifest.where("done_at RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2} '").select("done_at").distinct().count() == 1
     # One text edited, one gone, one new.
     second = texts("secret1", "none", "secret3").union(
         spark.createDataFrame([(9, "secret9")], "id long, text string")

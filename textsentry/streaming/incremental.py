@@ -51,7 +51,8 @@ class ScanStore:
         ids = [texts.schema[c] for c in id_cols]
         stamp = [T.StructField("text_sha2", T.StringType()), T.StructField("rules_hash", T.StringType())]
         run = [T.StructField("run", T.StringType())]
-        self.manifest_schema = T.StructType([*ids, *stamp, *run])
+        done = [T.StructField("done_at", T.StringType())]
+        self.manifest_schema = T.StructType([*ids, *stamp, *done, *run])
         self.finding_schema = T.StructType([*ids, *FINDING_FIELDS.fields, *stamp, *run])
 
     def _read(self, table: str, schema: T.StructType) -> DataFrame:
@@ -71,6 +72,8 @@ class ScanStore:
 
     def append(self, keys: DataFrame, findings: DataFrame) -> None:
         run = uuid.uuid4().hex
+        # Spark fixes the time once per query, so it is that of the run.
+        keys = keys.withColumn("done_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
         for table, rows in (("findings", findings), ("manifest", keys)):
             rows.hint("rebalance").withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(
                 f"{self.path}/{table}"
