@@ -4,8 +4,8 @@ Writing: a page's HTML is the payload of an HTTP response in chunked transfer
 framing. Payloads that occur before (equal bytes, smaller page id) become
 ``revisit`` records; long blocks become a segment and ``continuation`` records.
 An archive is text lines whose separator is the two line ends that close every
-record, so Spark's own committed text writer makes valid archives of bounded
-size on any file system it knows.
+record, so Spark's own committed text writer makes valid archives, compressed
+and of bounded size, on any file system it knows.
 
 Reading: archives are parsed record by record by their declared lengths,
 continuations are grouped by origin, put in order of segment number, checked
@@ -15,6 +15,7 @@ against the total length, and freed of the chunked framing; digests are checked.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -82,8 +83,10 @@ def _line(text: str | None) -> str | None:
     return None if text is None else " ".join(text.split())
 
 
-def records(pages: DataFrame, id_col: str, url_col: str, body_col: str, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """``name`` and ``record``: the WARC records of ``pages``, one row for each record.
+def records(
+    pages: DataFrame, id_col: str, url_col: str, body_col: str, input_bytes: int, revisit_from: int = REVISIT_FROM
+) -> DataFrame:
+    """``record``: the WARC records of ``pages``, dealt to partitions of about ``ARCHIVE_BYTES`` of payload.
 
     Null bodies are empty payloads, null URLs have no target line. Ids must be
     unique; rows with a null id are left out, as nothing could refer to them.
@@ -103,17 +106,18 @@ def records(pages: DataFrame, id_col: str, url_col: str, body_col: str, revisit_
     refers = (
         rows.select("_id", "_sha", "_size").join(first, ["_sha", "_size"]).where("_id != _first").select("_id", "_first")
     )
-    # Only ids meet ids; a page that is not repeated keeps its body where it was read.
-    marked = rows.select("_id", "_url", "_body").join(refers, "_id", "left").select("_id", "_url", "_body", "_first")
+    # Bodies move once: to meet their revisits where their archive is written.
+    archives = max(1, -(-input_bytes // ARCHIVE_BYTES))
+    dealt = rows.select("_id", "_url", "_body").repartition(archives, "_id")
+    marked = dealt.join(refers, "_id", "left").select("_id", "_url", "_body", "_first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, out = [], []
+            out = []
             for page, url, text, origin in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 payload = text.encode("utf-8", "surrogateescape")
                 common = {"WARC_Target_URI": _line(url), "WARC_Date": "2024-01-01T00:00:00Z", "WARC_Payload_Digest": f"sha1:{digest(payload)}"}
                 if origin is not None:
-                    names.append(f"{page}")
                     out.append(_record("revisit", page, b"", **common, WARC_Refers_To=f"<urn:record:{origin}>",
                                        WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
                     continue
@@ -126,20 +130,17 @@ def records(pages: DataFrame, id_col: str, url_col: str, body_col: str, revisit_
                         if k == len(parts):
                             one["WARC_Segment_Total_Length"] = len(block)
                     kind, name = ("response", f"{page}") if k == 1 else ("continuation", f"{page}.{k}")
-                    names.append(name)
                     out.append(_record(kind, name, part, **(common if k == 1 else {}), **one))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([r.encode("utf-8", "surrogateescape") for r in out], pa.binary()).cast(pa.string())],
-                ["name", "record"],
+                [pa.array([r.encode("utf-8", "surrogateescape") for r in out], pa.binary()).cast(pa.string())], ["record"]
             )
 
-    return marked.mapInArrow(run, "name string, record string")
+    return marked.mapInArrow(run, "record string")
 
 
-def write_archives(recs: DataFrame, path: str, input_bytes: int) -> None:
-    """Write ``records`` as archives of about ``ARCHIVE_BYTES``; segments of one page may lie in different ones."""
-    files = max(1, -(-input_bytes // ARCHIVE_BYTES))
-    recs.repartition(files, "name").select("record").write.option("lineSep", _END).text(path)
+def write_archives(recs: DataFrame, path: str) -> None:
+    """Write ``records`` as one compressed archive for each partition."""
+    recs.write.option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[dict]:
@@ -173,7 +174,8 @@ def read_records(spark, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows: list[tuple] = []
-                for f in parse(content.as_py()):
+                archive = content.as_py()
+                for f in parse(gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive):
                     total = f.get("warc-segment-total-length")
                     rows.append((
                         _urn(f.get("warc-segment-origin-id", f["warc-record-id"])), int(f.get("warc-segment-number", 0)), f["warc-type"],
@@ -196,12 +198,16 @@ def reassemble(recs: DataFrame) -> DataFrame:
     length, its framing holds and its payload has the declared digest; otherwise
     its payload is null. A revisit has no payload of its own and is valid.
     """
-    parts = F.sort_array(F.collect_list(F.struct("segment", "block")))
-    pages = recs.groupBy("origin").agg(
-        F.max(F.when(F.col("kind") != "continuation", F.struct("kind", "refers_to", "digest"))).alias("_head"),
-        F.max("total").alias("_total"),
-        parts.alias("_parts"),
+    head = F.when(F.col("kind") != "continuation", F.struct("kind", "refers_to", "digest"))
+    part = F.struct("segment", "block")
+    # Only segmented records have to meet others.
+    whole = recs.where("segment = 0").select("origin", head.alias("_head"), F.col("total").alias("_total"), F.array(part).alias("_parts"))
+    segmented = (
+        recs.where("segment > 0")
+        .groupBy("origin")
+        .agg(F.max(head).alias("_head"), F.max("total").alias("_total"), F.sort_array(F.collect_list(part)).alias("_parts"))
     )
+    pages = whole.unionByName(segmented)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
