@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from textsentry.llm import minhash, substrings, suffixes
+from textsentry.llm import minhash, repeats, substrings, suffixes
 from textsentry.llm import symbols as S
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -55,8 +55,10 @@ def corpus(seed, n=60):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_bytes_equal_brute_force(documents, seed):
+@pytest.mark.parametrize("seed, longer", [(1, 64), (2, 64), (1, 0), (2, 0), (6, 0)])
+def test_bytes_equal_brute_force(documents, monkeypatch, seed, longer):
+    """Also with windows narrowed by the surroundings their grams share."""
+    monkeypatch.setattr(repeats, "LONGER", longer)
     docs = corpus(seed)
     got = suffixes.dedup_bytes(documents(docs), "doc_id", "text", window=40, gram=10).collect()
     rows = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got)
