@@ -212,6 +212,7 @@ class Anchors:
     gram: np.ndarray
     text: np.ndarray
     text2: np.ndarray
+    anchor: np.ndarray
 
 
 def anchors(scheme: Scheme, buffer: Buffer) -> Anchors:
@@ -233,7 +234,7 @@ def anchors(scheme: Scheme, buffer: Buffer) -> Anchors:
     starts = np.flatnonzero(np.cumsum(inside[: len(least)], dtype=np.int8))
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return Anchors(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64))
+        return Anchors(none, none, none, *[none.astype(np.uint64)] * 3, none)
     at = least[starts]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     n = np.diff(np.append(first, len(starts)))
@@ -247,9 +248,45 @@ def anchors(scheme: Scheme, buffer: Buffer) -> Anchors:
         grams[at[first]],
         mix(prints.of(lo, end) + n.astype(np.uint64)),
         mix(Prints(second(buffer.symbols)).of(lo, end)),
+        at[first] - lo,
     )
 
 
+def reaches(scheme: Scheme, steps: int) -> np.ndarray:
+    """Lengths to either side of an anchor's gram at which its surroundings are compared."""
+    return np.unique(np.linspace(0, scheme.window - scheme.gram, steps + 1).astype(np.int64)[1:])
+
+
+def surroundings(
+    scheme: Scheme, buffer: Buffer, row: np.ndarray, gram: np.ndarray, steps: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of the grams at places ``gram`` of rows with what lies to their left, or right, up to each reach.
+
+    Returns the gram's index, the side and reach as a number, and the
+    fingerprint; ranges that leave the text are left out.
+    """
+    which, kinds, prints = [], [], []
+    own = Prints(buffer.symbols)
+    left = np.searchsorted(row, buffer.row, side="left")
+    right = np.searchsorted(row, buffer.row, side="right")
+    for k in np.flatnonzero(right > left).tolist():
+        mine = np.arange(left[k], right[k])
+        low, size = buffer.offset[k], buffer.end[k] - buffer.start[k]
+        at = gram[mine] - low
+        for j, reach in enumerate(reaches(scheme, steps).tolist()):
+            for side, a, b in ((0, at - reach, at + scheme.gram), (1, at, at + scheme.gram + reach)):
+                # A gram may lie in two buffers; the one its reach fits in has it, or both with equal prints.
+                ok = (a >= 0) & (b <= size) & (at >= 0)
+                if ok.any():
+                    which.append(mine[ok])
+                    kinds.append(np.full(int(ok.sum()), 2 * j + side))
+                    prints.append(own.of(a[ok] + buffer.start[k], b[ok] + buffer.start[k]) + _U(2 * j + side + 1))
+    if not which:
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64)
+    return np.concatenate(which), np.concatenate(kinds), mix(np.concatenate(prints))
+
+
 def window_prints(
     scheme: Scheme, buffer: Buffer, row: np.ndarray, lo: np.ndarray, n: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
