@@ -6,14 +6,20 @@ Two sets of the wanted similarity agree in ``MATCHES`` coordinates (all but
 about one pair in twenty thousand at the threshold itself, fewer above), so each
 must hold one of the other's ``COORDINATES - MATCHES + 1`` rarest postings:
 only that prefix is posted, and a document with that many postings of its own
-has no partner at all. Postings are merged in two passes:
+has no partner at all. Postings are merged in two steps:
 
 1. each document is paired with one of the least documents of its postings, the
-   one it meets most often; pairs that match become links and components;
+   one it meets most often; pairs that match become links and components. Then,
+   in rounds, each component in a posting sends a member picked at random to meet
+   one of the least component there. A round makes a pair for each posting at
+   most, and large groups of copies soon are one component;
 2. pairs in one posting that are not in one component yet are all tried, which
-   skips the members of large groups and loses no link between groups.
+   skips the members of large groups and loses no link between groups. However
+   few rounds there were, this pass completes the result.
 
-Pairs are first judged by their signatures, then confirmed on the full sets.
+Pairs are first judged by their signatures, then confirmed on the full sets. The
+last pass also compares parity bitmaps of the sets: the bits two of them differ
+in are at most the shingles only one has, so no link is lost by this bound.
 """
 
 from __future__ import annotations
@@ -34,9 +40,14 @@ SHINGLE = 5
 SIMILARITY = 80
 COORDINATES = 64
 MATCHES = 38
+# Rounds of the first step; a round without a new link is the last.
+ROUNDS = 5
 # Keys up to this number (16 MB) are broadcast to pick out texts; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
+# Bits of a set's parity bitmap.
+PARITY_BITS = 1024
+
 _RNG = np.random.default_rng(20240501)
 _A = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -80,6 +91,21 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, whether an odd number of its shingles falls on each bit, in words of 64 bits."""
+    out = np.zeros((len(sets), PARITY_BITS // 64), np.int64)
+    for k, shingles in enumerate(sets):
+        bits = (S.mix(shingles + np.uint64(3)) % np.uint64(PARITY_BITS)).astype(np.int64)
+        odd = np.bincount(bits, minlength=PARITY_BITS).astype(np.uint8) & 1
+        out[k] = np.packbits(odd).view(np.int64)
+    return out
+
+
+def _fixed_lists(rows: np.ndarray) -> pa.ListArray:
+    width = rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, width, dtype=np.int32)), pa.array(rows.ravel()))
+
+
 def _slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     data, offsets = S.column_bytes(batch.column(1))
     for first, last in S.byte_slices(offsets, 2 * S.BUFFER):
@@ -88,7 +114,7 @@ def _slices(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, list[n
 
 
 def sketches(keyed: DataFrame, size: int) -> DataFrame:
-    """``_key``, ``n`` (set size), ``s1``, ``s2`` (fingerprint of the set) and ``sig``."""
+    """``_key``, ``n`` (set size), ``s1``, ``s2`` (fingerprint of the set), ``sig`` and ``bits``."""
     kind = keyed.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,20 +123,20 @@ def sketches(keyed: DataFrame, size: int) -> DataFrame:
                 prints = np.array(
                     [[S.mix(s + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2)] for s in sets], np.uint64
                 ).reshape(-1, 2)
-                sig = signatures(sets).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(prints[:, 0].view(np.int64) if len(sets) else [], pa.int64()),
                         pa.array(np.ascontiguousarray(prints[:, 1]).view(np.int64) if len(sets) else [], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, COORDINATES, dtype=np.int32)), pa.array(sig.ravel())),
+                        _fixed_lists(signatures(sets).view(np.int32)),
+                        _fixed_lists(parities(sets)),
                     ],
-                    ["_key", "n", "s1", "s2", "sig"],
+                    ["_key", "n", "s1", "s2", "sig", "bits"],
                 )
 
     # Strided columns are copied above, as Arrow needs them in one piece.
-    return keyed.mapInArrow(run, f"_key {kind}, n long, s1 long, s2 long, sig array<int>")
+    return keyed.mapInArrow(run, f"_key {kind}, n long, s1 long, s2 long, sig array<int>, bits array<long>")
 
 
 def full_sets(keyed: DataFrame, keys: DataFrame, size: int) -> DataFrame:
@@ -177,6 +203,46 @@ def confirm(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, size: int) -> D
     )
 
 
+def unsettled(posts: DataFrame, roots: DataFrame) -> DataFrame:
+    """The postings with documents of several components, with ``root``."""
+    grouped = posts.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = grouped.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a != _z").select("token")
+    return materialise(grouped.join(mixed, "token", "left_semi"), "unsettled")
+
+
+def meetings(open_posts: DataFrame, turn: int) -> DataFrame:
+    """``u``, ``v``: in each posting, a member of each component and one of the least component."""
+    pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n")).alias("_d")
+    sent = open_posts.groupBy("token", "root").agg(pick)
+    host = sent.groupBy("token").agg(F.min(F.struct("root", "_d")).alias("_h"))
+    return (
+        sent.join(host, "token")
+        .where((F.col("root") != F.col("_h.root")) & _close(F.col("_d.n"), F.col("_h._d.n")))
+        .select(F.col("_d.rep").alias("u"), F.col("_h._d.rep").alias("v"))
+        .distinct()
+    )
+
+
+def pairs_apart(open_posts: DataFrame, reps: DataFrame) -> DataFrame:
+    """``u``, ``v``: every pair of different components in a posting, at the first posting the two share.
+
+    Pairs whose sizes or parity bitmaps rule the similarity out are not made.
+    """
+    held = open_posts.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("_t"))
+    posts = open_posts.join(held.join(reps.select("rep", "bits"), "rep"), "rep")
+
+    def side(name: str) -> DataFrame:
+        names = {"rep": name, "root": f"_r{name}", "n": f"_n{name}", "_t": f"_t{name}", "bits": f"_b{name}"}
+        return posts.select("token", *[F.col(old).alias(new) for old, new in names.items()])
+
+    left, right = side("u"), side("v")
+    apart = (F.col("u") < F.col("v")) & (F.col("_ru") != F.col("_rv")) & _close(F.col("_nu"), F.col("_nv"))
+    once = F.get(F.array_intersect("_tu", "_tv"), F.lit(0)) == left["token"]
+    differ = F.expr("aggregate(zip_with(_bu, _bv, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)")
+    possible = differ * (100 + SIMILARITY) <= (F.col("_nu") + F.col("_nv")) * (100 - SIMILARITY)
+    return left.join(right, (left["token"] == right["token"]) & apart & once & possible).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
     """``_key``, ``n_shingles``, ``component``: one row per document; components are named by their least key.
 
@@ -189,8 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int = SHI
     reps = (
         sketch.where("n > 0")
         .groupBy("s1", "s2", "n")
-        .agg(F.min(F.struct("_key", "sig")).alias("_m"))
-        .select(F.col("_m._key").alias("rep"), "n", F.col("_m.sig").alias("sig"), "s1", "s2")
+        .agg(F.min(F.struct("_key", "sig", "bits")).alias("_m"))
+        .select(F.col("_m._key").alias("rep"), "n", "_m.sig", "_m.bits", "s1", "s2")
     )
     reps = materialise(reps, "classes")
     posts = materialise(prefixes(reps), "postings")
@@ -201,14 +267,14 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int = SHI
     links = materialise(confirm(first, reps, keyed, size), "links")
 
     roots = components(links)
-    grouped = posts.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    grouped = materialise(grouped, "grouped")
-    mixed = grouped.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a != _z").select("token")
-    open_posts = grouped.join(mixed, "token", "left_semi")
-    left = open_posts.select("token", F.col("rep").alias("u"), F.col("root").alias("_ru"), F.col("n").alias("_nu"))
-    right = open_posts.select("token", F.col("rep").alias("v"), F.col("root").alias("_rv"), F.col("n").alias("_nv"))
-    apart = (F.col("u") < F.col("v")) & (F.col("_ru") != F.col("_rv")) & _close(F.col("_nu"), F.col("_nv"))
-    rest = left.join(right, "token").where(apart).select("u", "v").distinct()
+    for turn in range(1, ROUNDS + 1):
+        open_posts = unsettled(posts, roots)
+        links = materialise(confirm(meetings(open_posts, turn), reps, keyed, size), "links")
+        if links.isEmpty():
+            break
+        roots = components(roots.select("u", F.col("root").alias("v")).unionByName(links))
+    open_posts = unsettled(posts, roots)
+    rest = pairs_apart(open_posts, reps)
     more = materialise(confirm(rest, reps, keyed, size), "links")
     final = roots.select("u", F.col("root").alias("v")).unionByName(more)
     named = components(final) if not more.isEmpty() else roots
