@@ -18,9 +18,10 @@ doubtful word may occur in clean documents too; runs of words with a marginal of
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -283,8 +284,8 @@ class Tagger:
         return scores, spans
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[bool]]:
-    """The sampled texts and whether they are toxic; held-out rows and null labels are left out."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``_id``, ``text`` and ``_toxic`` of the sampled rows; held-out rows and null labels are left out."""
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .where(~held_out(F.col("doc_id")))
@@ -296,13 +297,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
         known.where("_toxic = 0").orderBy(*order).limit(2 * sample)
     )
     short = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    rows = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_toxic").toArrow()
-    found = sorted(zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True))  # row order must not matter
-    return [r[1] for r in found], [r[2] == 1 for r in found]
+    return short.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    return fit(*training_rows(docs, labels, sample))
+    """Fit a field on the bounded sample, in one task on an executor; only the weights come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+        rows.sort()  # the order rows come in must not matter
+        model = fit([r[1] for r in rows], [r[2] == 1 for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(model))])], ["model"])
+
+    made = training_rows(docs, labels, sample).repartition(1).mapInArrow(run, "model string").collect()
+    return Field(**json.loads(made[0]["model"])) if made else Field()
 
 
 def tag_documents(docs: DataFrame, model: Field, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
