@@ -61,6 +61,17 @@ def test_hits_equal_brute_force(documents, bench):
     assert sorted((r.doc_id, r.n_words, r.n_hit, sorted(r.items)) for r in got) == brute_hits(docs, items)
 
 
+def test_letters_whose_lower_case_depends_on_others(documents, bench):
+    """A capital sigma is lowered by what surrounds it, across the ends of words; such texts still hit."""
+    tail = " α β γ δ ε ζ η θ ι κ λ μ"
+    items = [(1, "ΣΕΙΣΜΟΣ:ΑΘΗΝΑ" + tail), (2, "Δ.Σ." + tail), (3, "ΟΔΟΣ"), (4, "σ"), (5, "ς")]
+    docs = [(i, f"x {text} y") for i, text in items] + [(9, "Δ.Σ."), (10, "ΟΔΟΣ^Α ΟΔΟΣ"), (11, "οδος οδοσ"), (12, "Δ Σ" + tail)]
+    got = decontamination.hits_by_document(documents(docs), bench(items)).collect()
+    want = brute_hits(docs, items)
+    assert sorted((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in got) == want
+    assert [w[3] for w in want][:2] == [[1], [2]]
+
+
 def test_shuffled_joins_give_the_same(documents, bench, monkeypatch):
     items = [(1, " ".join(f"w{i}" for i in range(20)))]
     docs = [(1, "x " + items[0][1] + " y"), (2, "w1 w2 w3")]

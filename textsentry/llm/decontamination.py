@@ -22,18 +22,22 @@ BROADCAST_ROWS = 200_000
 HIT_SHARE = 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# What lies between words before A-Z are lower-cased; the same places as after.
-_BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
-def words_of(text: Column) -> Column:
-    """Words in their own case; null has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _BETWEEN), "")
+def plain(text: Column) -> Column:
+    """``text`` with A-Z lower-cased and nothing else changed; null is empty.
+
+    ``lower`` is cheaper and does the same to ASCII. Other texts must not go through it: what
+    it makes of a letter can depend on those around it, beyond the ends of a word.
+    """
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def plain(words: Column) -> Column:
-    """Words as one string with A-Z lower-cased and nothing else changed."""
-    return F.translate(F.concat_ws(" ", words), _UPPER, _LOWER)
+def words_of(text: Column) -> Column:
+    """Words with A-Z lower-cased; null has none."""
+    return F.array_remove(F.split(plain(text), _BETWEEN), "")
 
 
 def _shingle(words: Column, at: Column, size: int) -> Column:
@@ -47,7 +51,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
         words.withColumn("_len", F.least(F.size("_w"), F.lit(window)))
         .withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("_w") - F.col("_len"))))
         .withColumn("_words", F.slice("_w", F.col("_at") + 1, F.col("_len")))
-        .groupBy(plain(F.col("_words")).alias("_window"), F.col("_len"))
+        .groupBy(F.concat_ws(" ", "_words").alias("_window"), F.col("_len"))
         .agg(F.collect_set("item_id").alias("_items"), F.first("_words").alias("_words"))
     )
 
@@ -69,15 +73,7 @@ def window_hits(
     windows = item_windows(items, window).withColumn("_q", F.least("_len", F.lit(shingle)))
     sizes = windows.groupBy("_q").count().collect()  # at most ``shingle`` rows
     small = sum(r["count"] for r in sizes) <= BROADCAST_ROWS
-    # Lower-casing all letters is cheaper than A-Z alone, leaves words where they are and never
-    # separates equal ones, so it serves for the join; what it may confuse is told apart afterwards.
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select(
-        *keys,
-        text.alias("_text"),
-        (F.octet_length(text) == F.length(text)).alias("_ascii"),
-        words_of(F.lower(text)).alias("_dw"),
-    )
+    words = docs.select(*keys, words_of(F.col("text")).alias("_dw"))
     positions = words.select("*", F.posexplode_outer("_dw").alias("_pos", "_first")).drop("_first")
 
     found = None
@@ -85,7 +81,7 @@ def window_hits(
         shingles = (
             windows.where(F.col("_q") == q)
             .withColumn("_off", F.explode(F.sequence(F.lit(0), F.col("_len") - q)))
-            .withColumn("_shingle", _shingle(F.transform("_words", F.lower), F.col("_off"), q))
+            .withColumn("_shingle", _shingle(F.col("_words"), F.col("_off"), q))
         )
         there = positions.withColumn("_shingle", _shingle(F.col("_dw"), F.col("_pos"), q))
         counts = (
@@ -101,11 +97,8 @@ def window_hits(
             .select("_window", "_len", "_items", "_rarest._off", "_rarest._shingle")
         )
         start = F.col("_pos") - F.col("_off")
-        lowered = F.concat_ws(" ", F.slice("_dw", F.greatest(F.col("_start"), F.lit(0)) + 1, F.col("_len")))
-        exact = plain(F.slice(words_of(F.col("_text")), F.greatest(F.col("_start"), F.lit(0)) + 1, F.col("_len")))
-        same = F.when(F.col("_ascii"), lowered == F.col("_window")).otherwise(
-            (lowered == F.lower("_window")) & (exact == F.col("_window"))
-        )
+        there_words = F.concat_ws(" ", F.slice("_dw", F.greatest(F.col("_start"), F.lit(0)) + 1, F.col("_len")))
+        same = there_words == F.col("_window")
         fits = (F.col("_start") >= 0) & (F.col("_start") + F.col("_len") <= F.size("_dw"))
         pairs = (
             _join(there, prefixes, small, "left")
