@@ -4,11 +4,12 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from textsentry.llm import neighbours, tokens, toxicity, warc
+from textsentry.llm import neighbours, queries, tokens, toxicity, warc
 from textsentry.llm.queries import tokenizer_path
 
 
@@ -154,6 +155,30 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
     assert sizes == {100 - i: len((b or "").encode()) for i, b in enumerate(bodies)}
 
 
+def test_repeated_and_null_ids(spark, tmp_path, monkeypatch):
+    """One result row for each page: equal rows, one id with two bodies, rows without an id."""
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 100)
+    long, other = "z" * 1000, "y" * 500
+    rows = [(1, long), (1, long), (2, "ab"), (2, "ab"), (3, "ab"), (4, long), (5, "one"), (5, "ab"), (6, "one"), (5, other)]
+    rows += [(None, long), (None, "ab"), (None, "alone"), (None, "alone"), (None, other * 2), (None, other * 2), (None, None)]
+    pages = spark.createDataFrame([(i, f"u{k}", b) for k, (i, b) in enumerate(rows)], PAGES).repartition(4)
+    warc.write_archives(warc.records(pages, "page_id", "url", "html", 10_000, null_ids=True), f"{tmp_path}/w")
+    back = warc.reassemble(warc.read_records(spark, f"{tmp_path}/w"))
+    least = {}
+    for i, b in rows:
+        least[b] = min([x for x in (i, least.get(b)) if x is not None], default=None)
+    want = Counter()
+    for i, b in rows:
+        revisit = least[b] is not None and i != least[b]
+        sha = base64.b32encode(hashlib.sha1((b or "").encode()).digest()).decode()
+        want[i, len(b or ""), sha, "revisit" if revisit else "response", least[b] if revisit else None, True] += 1
+    assert Counter(tuple(r) for r in warc.resolve(back).collect()) == want
+    pages.write.parquet(f"{tmp_path}/in/pages.parquet")
+    assert Counter(tuple(r) for r in queries.op9_warc(spark, f"{tmp_path}/in").collect()) == want
+    archived = {bytes(r.payload) for r in back.where("kind = 'response'").collect()}
+    assert archived == {(b or "").encode() for _, b in rows}
+
+
 def test_short_payloads_are_not_revisited(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], PAGES)
     got = {r.page_id: r.kind for r in round_trip(pages, f"{tmp_path}/w", revisit_from=3).collect()}

@@ -102,7 +102,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     path = work_path(spark, "warc")
-    warc.write_archives(warc.records(pages, "page_id", "url", "html", size), path)
+    warc.write_archives(warc.records(pages, "page_id", "url", "html", size, null_ids=True), path)
     back = warc.resolve(warc.reassemble(warc.read_records(spark, path)))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 
