@@ -5,9 +5,10 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
-from textsentry.llm import minhash, repeats, substrings, suffixes
+from textsentry.llm import minhash, queries, repeats, substrings, suffixes
 from textsentry.llm import symbols as S
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -179,6 +180,22 @@ def test_near_duplicates_of_awkward_rows(awkward):
     assert sorted(r.doc_id or 0 for r in kept.select("doc_id").collect()) == [0, 0, 1, 2, 3, 4, 5, 5, 7]
 
 
+def test_one_row_of_each_group_stays(spark, documents, tmp_path):
+    """Repeated rows and rows without an id; a row with an id goes before one without."""
+    a, b = "one two three four five six seven", "another text of a few more words"
+    rows = [(9, a), (None, a), (None, a), (5, b), (5, b), (6, b), (None, "c d e f"), (None, "c d e f"), (7, "c"), (7, "d"), (None, None), (None, "")]
+    kept = minhash.keep_one(documents(rows), "doc_id", "text", copies=False)
+    got = Counter((r.doc_id, r.text or "") for r in kept.collect())
+    assert got == Counter([(9, a), (5, b), (None, "c d e f"), (7, "c"), (7, "d"), (None, "")])
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    staged = corpus_pipeline.near_dedup_stage(spark, documents(rows), str(tmp_path))
+    assert Counter((r.doc_id, r.text or "") for r in staged.collect()) == got
+    found = queries.op5_near_dedup(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows) and sum(r.kept for r in found) == len(got)
+    assert {r.component_id for r in found if r.doc_id == 9} == {9}
+    assert sorted(r.component_id or 0 for r in found) == [0, 0, 0, 0, 5, 5, 5, 7, 7, 9, 9, 9]
+
+
 def test_components_of_chains_and_stars(spark):
     from textsentry.llm.components import components
 

@@ -184,3 +184,11 @@ def test_mixing_awkward_rows(awkward, documents):
     kept = mixing.take_mix(awkward, share=0.6)
     assert kept.columns == awkward.columns and kept.count() < 11
     assert mixing.mix_documents(documents([])).collect() == []
+
+
+def test_rows_are_taken_one_by_one(documents):
+    """Rows that share an id or have none do not come together beyond the budget."""
+    for rows in ([(None, f"w{i} x y z") for i in range(40)], [(1, "a b c d")] * 40, [(i % 4, f"w{i} x y z") for i in range(40)]):
+        assert mixing.take_mix(documents(rows), share=0.5).count() == 20
+    two = [(1, "a b c d", "en", "src1")] * 10 + [(1, "a b c d", "en", "src2")] * 10
+    assert Counter(r.source for r in mixing.take_mix(documents(two), share=0.5).collect()) == {"src1": 5, "src2": 5}

@@ -244,13 +244,17 @@ def pairs_apart(open_posts: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
-    """``_key``, ``n_shingles``, ``component``: one row per document; components are named by their least key.
+    """``_key``, ``n_shingles``, ``component``: one row per row; components are named by their least key.
 
     Null and empty texts, and texts of white space, have no shingles and are
-    linked with nothing. Rows that agree in id and text are one document. Copies
-    are not expanded into pairs; a component of one has the document's own key.
+    linked with nothing. Rows that agree in id and text are one document and share
+    a key. Keys without an id are the greatest. Copies are not expanded into pairs;
+    a component of one has the document's own key.
     """
     keyed = R.keyed_documents(docs, id_col, text_col)
+    if keyed.schema["_key"].dataType.typeName() == "struct":
+        no_id = F.col("_key.id").isNull().alias("no_id")
+        keyed = keyed.withColumn("_key", F.struct(no_id, F.col("_key.id"), F.col("_key.hash")))
     sketch = materialise(sketches(keyed, size), "sketches")
     reps = (
         sketch.where("n > 0")
@@ -286,14 +290,45 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int = SHI
     )
 
 
-def keep_one(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the least document stays, with all its columns."""
+def one_kept(found: DataFrame) -> DataFrame:
+    """``found`` (of :func:`near_duplicates`) with ``kept``, true for one row of each component."""
+    least = F.col("_key") == F.col("component")
+    if found.schema["_key"].dataType.typeName() != "struct":
+        return found.withColumn("kept", least)
+    # Rows of one key are all alike, so they are counted and written out again, not ranked.
+    rows = found.groupBy("_key", "n_shingles", "component").agg(F.count(F.lit(1)).alias("_c"))
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_c"))).select(
+        *found.columns, (least & (F.col("_i") == 1)).alias("kept")
+    )
+
+
+def _first_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of those that agree in id and text; only such rows are moved."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.withColumns({"_copy_id": F.col(id_col), "_copy_hash": F.xxhash64(text)})
+    counts = marked.groupBy("_copy_id", "_copy_hash").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    repeated = counts.select(F.col("_copy_id").alias("_r_id"), F.col("_copy_hash").alias("_r_hash"))
+    repeated = materialise(repeated, "repeated")
+    few = repeated.count() <= BROADCAST_KEYS
+    repeated = F.broadcast(repeated) if few else repeated
+    on = F.col("_copy_id").eqNullSafe(F.col("_r_id")) & (F.col("_copy_hash") == F.col("_r_hash"))
+    copies = marked.join(repeated, on, "left_semi").withColumn("_copy_text", text)
+    alone = marked.join(repeated, on, "left_anti")
+    return alone.select(*docs.columns).unionByName(copies.dropDuplicates(["_copy_id", "_copy_text"]).select(*docs.columns))
+
+
+def keep_one(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, copies: bool = True) -> DataFrame:
+    """``docs`` without near-duplicates: of each component the least document stays, with all its columns.
+
+    Rows that repeat its id and text stay with it, or one of them does without ``copies``.
+    """
     gone = near_duplicates(docs, id_col, text_col, size).where("_key != component").select("_key")
     if gone.schema["_key"].dataType.typeName() == "struct":
         gone = gone.select(F.col("_key.id").alias("_gone"), F.col("_key.hash").alias("_gone_hash"))
         text = F.coalesce(docs[text_col], F.lit(""))
         on = docs[id_col].eqNullSafe(gone["_gone"]) & (F.xxhash64(text) == gone["_gone_hash"])
-        return docs.join(gone, on, "left_anti")
+        kept = docs.join(gone, on, "left_anti")
+        return kept if copies else _first_copies(materialise(kept, "kept"), id_col, text_col)
     gone = materialise(gone.withColumnRenamed("_key", "_gone"), "gone")
     few = gone.count() <= BROADCAST_KEYS
     return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")

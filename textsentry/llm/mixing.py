@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsentry.llm.common import STRATUM_ROWS, bucket_count, hex_bucket, seeded_key
+from textsentry.session import materialise
 
 TREE = ("domain", "lang", "source")
 SEED = "mix"
@@ -178,7 +179,30 @@ def mix_documents(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, s
 def take_mix(docs: DataFrame, share: float = SHARE, seed: str = SEED) -> DataFrame:
     """The rows of ``docs`` that :func:`mix_documents` takes in one epoch, columns as they are.
 
-    Rows that share an id, or have none, are taken together if one of them is.
+    Rows are taken one by one. Where ids repeat or are missing, they are told apart and
+    ordered by id, text and leaf; of rows that agree in all these any may be taken.
     """
-    taken = mix_documents(docs, share, 1, seed).select(F.col("doc_id").alias("_taken"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]), "left_semi")
+    doubtful = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1 OR doc_id IS NULL")
+    if doubtful.isEmpty():
+        taken = mix_documents(docs, share, 1, seed).select(F.col("doc_id").alias("_taken"))
+        return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]), "left_semi")
+    row = F.concat_ws(
+        "|",
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))),
+        F.to_json(F.struct("lang", "source")),
+    )
+    taken = mix_documents(docs.withColumn("doc_id", row), share, 1, seed)
+    taken = taken.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_taken"))
+    rows = docs.groupBy(row.alias("_row")).agg(F.count(F.lit(1)).alias("_rows"))
+    marks = materialise(
+        taken.join(rows, taken["doc_id"] == rows["_row"]).select("_row", F.when(F.col("_taken") < F.col("_rows"), F.col("_taken")).alias("_only")),
+        "taken",
+    )
+    marked = docs.withColumn("_mix_row", row)
+    on = F.col("_mix_row") == F.col("_row")
+    whole = marked.join(marks.where("_only IS NULL"), on, "left_semi")
+    # The budget of a leaf ends within the copies of one row at most.
+    nth = F.row_number().over(Window.partitionBy("_mix_row").orderBy(F.lit(1)))
+    part = marked.join(marks.where("_only IS NOT NULL"), on).withColumn("_nth", nth).where("_nth <= _only")
+    return whole.select(*docs.columns).unionByName(part.select(*docs.columns))

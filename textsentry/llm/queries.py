@@ -71,13 +71,13 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", size=2)
+    found = minhash.one_kept(minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", size=2))
     key = "_key.id" if found.schema["_key"].dataType.typeName() == "struct" else "_key"
     return found.select(
         F.col(key).alias("doc_id"),
         "n_shingles",
         F.col(key.replace("_key", "component")).alias("component_id"),
-        (F.col("_key") == F.col("component")).alias("kept"),
+        "kept",
     )
 
 
