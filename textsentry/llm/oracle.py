@@ -205,6 +205,42 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32.format(x="h")} AS p
 FROM f
 """
 
+# Failed filters as a set of letters; a step removes who fails its letter and none before it.
+FILTER_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_SPACED.format(text="text")} AS w FROM documents),
+  first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+  f AS (SELECT part, doc_id,
+      (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END)
+      || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+      || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END)
+      || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+      || (CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS fails
+    FROM d JOIN first USING (t)),
+  g AS (SELECT part, fails, count(*) AS n,
+      count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+      count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic
+    FROM f GROUP BY ALL),
+  l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+  o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+  s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS prior
+    FROM o, range(1, 6) r(step)),
+  m AS (SELECT part, filter_order, step, own, n, good, toxic, contains(fails, own) AS hit, fails = own AS alone,
+      fails != '' AND prior != '' AND regexp_matches(fails, '[' || CASE prior WHEN '' THEN '-' ELSE prior END || ']') AS before
+    FROM g, s),
+  c AS (SELECT part, filter_order, step, own,
+      coalesce(sum(n) FILTER (NOT before AND NOT hit), 0)::BIGINT AS kept,
+      coalesce(sum(n) FILTER (NOT before AND hit), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (before AND hit), 0)::BIGINT AS redundant,
+      coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER (NOT before AND hit), 0)::BIGINT AS good_lost,
+      coalesce(sum(toxic) FILTER (NOT before AND hit), 0)::BIGINT AS toxic_lost
+    FROM m GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM c
+"""
+
 ORACLE = {
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op2_decontaminate": DECONTAMINATE,
@@ -213,4 +249,5 @@ ORACLE = {
     "op6_mix": MIX,
     "op7_substring_dedup": SUBSTRING_DEDUP,
     "op9_warc": WARC,
+    "op13_filter_audit": FILTER_AUDIT,
 }
