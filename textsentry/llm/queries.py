@@ -17,6 +17,7 @@ from textsentry.llm import (
     tokens,
     toxicity,
     warc,
+    whitening,
 )
 from textsentry.llm.common import table
 from textsentry.session import work_path
@@ -112,6 +113,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -127,5 +132,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_neighbours": op10_neighbours,
+    "op12_whiten": op12_whiten,
     "op13_filter_audit": op13_filter_audit,
 }
