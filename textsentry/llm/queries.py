@@ -11,6 +11,7 @@ from textsentry.llm import (
     minhash,
     mixing,
     neighbours,
+    packing,
     sharding,
     substrings,
     suffixes,
@@ -23,6 +24,7 @@ from textsentry.llm.common import table
 from textsentry.session import work_path
 
 TOKENIZER = "piece_bpe_32k.model"
+PACKING_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +115,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def packing_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PACKING_TOKENIZER)
+
+
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", packing_tokenizer())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "role"
+    )
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
@@ -132,6 +147,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_neighbours": op10_neighbours,
+    "op11_pack": op11_pack,
     "op12_whiten": op12_whiten,
     "op13_filter_audit": op13_filter_audit,
 }
