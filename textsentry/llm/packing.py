@@ -13,6 +13,7 @@ filled window is cut into sequences whose lengths are powers of two, so nothing
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -34,11 +35,18 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 32
 # Neighbours ranked at first; all of them only if these do not fill the window.
 RANKED = 64
-# Words whose ids a worker remembers, the longest of them, and bytes of a batch it returns.
-REMEMBERED = 1 << 18
+# Words, and pieces of words, whose ids a worker remembers, the longest word, and pieces encoded together.
+REMEMBERED = 1 << 19
 LONGEST = 64
+TOGETHER = 512
+# Bytes of a batch a worker returns.
 BATCH_BYTES = 4 << 20
 
+# The pieces a byte-level tokenizer cuts texts into, and the first
+# letter for which classes of letters might differ between versions of Unicode.
+BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN_BELOW = "\u0250"
+
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, role string, ids binary"
 _CUT = re.compile(r"\S ")
 
@@ -47,33 +55,18 @@ class _Loose(Exception):
     """A text with white space before a space, where the plain cuts do not hold."""
 
 
-class _Words(dict):
-    """Ids, as bytes, of a space and a word; learned when first asked for."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[-1].isspace():
-            raise _Loose
-        ids = self.encode(" " + word)
-        if len(word) <= LONGEST:
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
     A byte-level tokenizer never joins a space to what precedes it, unless that
     is white space too, so a text is the concatenation of its parts cut before
-    such spaces; recurring parts are encoded once. Other tokenizers get whole texts.
+    such spaces. Parts that recur are encoded once; the pieces of new ones are
+    looked up too, and those that are new again are encoded many at a time.
+    Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
-        import json
-
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -88,28 +81,64 @@ class Encoder:
             and not spec["normalizer"]
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
         )
-        self.words = _Words(self._whole)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
+        self.pieces_of = regex.compile(BYTE_LEVEL_PIECES).findall
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Encode pieces, those of a space and letters together: behind one another they stay what they are."""
+        together = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        for i in range(0, len(together), TOGETHER):
+            group = together[i : i + TOGETHER]
+            done = self.tokenizer.encode("".join(group), add_special_tokens=False)
+            ids, at = np.array(done.ids, "<u4"), np.array(done.word_ids)
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            if len(first) == len(group):
+                ends = [*(first[1:] * 4).tolist(), 4 * len(ids)]
+                flat = ids.tobytes()
+                self.pieces.update((p, flat[a:b]) for p, a, b in zip(group, (first * 4).tolist(), ends, strict=True))
+        for piece in new:
+            if piece not in self.pieces:
+                self.pieces[piece] = self._whole(piece)
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember a space and each word; white space at a word's end would belong to the next."""
+        if any(not w or w[-1].isspace() for w in words):
+            raise _Loose
+        split = {w: self.pieces_of(" " + w) for w in words if max(w) < PLAIN_BELOW and not self.added.search(w)}
+        known = self.pieces
+        if len(known) > REMEMBERED:
+            known.clear()
+        self._learn_pieces([p for p in {p for pieces in split.values() for p in pieces} if p not in known])
+        self.words.update((w, b"".join(map(known.__getitem__, pieces))) for w, pieces in split.items())
+        self.words.update((w, self._whole(" " + w)) for w in words if w not in split)
+
     def ids(self, text: str) -> bytes:
         if not self.safe or " " not in text:
             return self._whole(text)
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        words = text.split(" ")
+        known = self.words
+        if len(known) > REMEMBERED:
+            known.clear()
+        first, *words = text.split(" ")
         try:
-            if not words[0] or words[0][-1].isspace():
+            new = set(words).difference(known)
+            if not first or first[-1].isspace():
                 raise _Loose
-            return self._whole(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
+            if new:
+                self._learn(new)
+            out = self._whole(first) + b"".join(map(known.__getitem__, words))
+            for word in new:
+                if len(word) > LONGEST:
+                    del known[word]
+            return out
         except _Loose:
             cuts = [0, *(m.end() - 1 for m in _CUT.finditer(text)), len(text)]
-            known = self.words
-            parts = (text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-            return b"".join(
-                known[p[1:]] if len(p) > 1 and p[0] == " " and not p[-1].isspace() else self._whole(p) for p in parts
-            )
+            parts = [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return b"".join(known.get(p[1:]) or self._whole(p) if p[:1] == " " else self._whole(p) for p in parts)
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -168,14 +197,14 @@ class Index:
         self.last = np.append(self.first[1:], len(term))
         held = self.last - self.first
         self.rarity = np.log1p((n - held + 0.5) / (held + 0.5))
-        self.number = {int(t): i for i, t in enumerate(names)}
+        self.names = names
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1.0)) if n else np.zeros(0)
         self.weight = (np.repeat(self.rarity, held) * times * (K1 + 1) / (times + norm[self.tail])).astype(np.float32)
         self.size = n
 
     def scores(self, seed: np.ndarray) -> np.ndarray:
         """Each tail's score for the seed's rarest terms that another tail may hold."""
-        numbers = np.array([self.number[int(t)] for t in np.unique(seed)], np.int64)
+        numbers = np.searchsorted(self.names, np.unique(seed))
         shared = numbers[self.last[numbers] - self.first[numbers] > 1]
         asked = shared[np.argsort(-self.rarity[shared], kind="stable")[:QUERY_TERMS]]
         if not len(asked):
