@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from textsentry.llm import packing, queries
 
@@ -30,8 +31,33 @@ def test_ids_equal_the_library(path):
     texts += ["", " ", "x" * 3000, " ".join(["word"] * 3000), "lead ing \n", "\n a", "a \n b"]
     encoder, want = packing.Encoder(path), library(path)
     assert encoder.safe
-    for text in texts:
-        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want(text), repr(text)
+    for some in (texts, texts[:1], texts[-3:], []):
+        ids, bounds = encoder.ids(pa.array(some, pa.string()))
+        assert len(bounds) == len(some) + 1
+        for text, a, b in zip(some, bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == want(text), repr(text)
+
+
+def test_words_are_forgotten_and_learned_again(path, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    rng = random.Random(6)
+    encoder, want = packing.Encoder(path), library(path)
+    for _ in range(20):
+        texts = [" ".join(f"w{rng.randint(0, 60)}" + "x" * rng.choice([0, 0, 90]) for _ in range(9)) for _ in range(4)]
+        ids, bounds = encoder.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [want(t) for t in texts]
+    assert max(map(len, encoder.words)) <= packing.LONGEST and len(encoder.words) < 50
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, want = packing.Encoder(path), library(path)
+    assert not encoder.safe
+    texts = ["a b  c", "", " x "]
+    ids, bounds = encoder.ids(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [want(t) for t in texts]
 
 
 def check_pieces(pieces, rows, path, window=packing.WINDOW):

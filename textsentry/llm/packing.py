@@ -16,13 +16,16 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textsentry.llm import symbols as S
 from textsentry.session import materialise
 
 WINDOW = 2048
@@ -35,34 +38,50 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 32
 # Neighbours ranked at first; all of them only if these do not fill the window.
 RANKED = 64
-# Words, and pieces of words, whose ids a worker remembers, the longest word, and pieces encoded together.
-REMEMBERED = 1 << 19
+# Words, and pieces of words, a worker remembers before it forgets those not used of late, and the longest.
+REMEMBERED = 1 << 18
 LONGEST = 64
-TOGETHER = 512
-# Bytes of a batch a worker returns.
-BATCH_BYTES = 4 << 20
+# Bytes of text encoded in one go; a longer text is encoded by itself.
+BATCH_BYTES = 8 << 20
 
-# The pieces a byte-level tokenizer cuts texts into, and the first
-# letter for which classes of letters might differ between versions of Unicode.
+# The pieces a byte-level tokenizer cuts texts into, and the letters its
+# model has for bytes: printable ones are themselves, the others follow one another from U+0100.
 BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_OTHERS)}
+# Texts with letters from here on go to the library whole: versions of Unicode differ in newer ones.
 PLAIN_BELOW = "\u0250"
 
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, role string, ids binary"
-_CUT = re.compile(r"\S ")
 
 
-class _Loose(Exception):
-    """A text with white space before a space, where the plain cuts do not hold."""
+class _Remembered(dict):
+    """Ids of strings, made when first asked for; those not used of late are forgotten once it is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key) or self.make(key)
+        if len(key) <= LONGEST:
+            self[key] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit numbers.
+    """Token ids of texts, many at a time.
 
     A byte-level tokenizer never joins a space to what precedes it, unless that
-    is white space too, so a text is the concatenation of its parts cut before
-    such spaces. Parts that recur are encoded once; the pieces of new ones are
-    looked up too, and those that are new again are encoded many at a time.
-    Other tokenizers get whole texts.
+    is white space too, so the ids of a text are those of its words, cut before
+    such spaces. Words are told apart by Arrow; a new one is cut into the pieces
+    the tokenizer makes of it, and only new pieces reach its model. The ids are
+    gathered by the words' numbers. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -73,72 +92,81 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
-        split = spec["pre_tokenizer"] or {}
+        split, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
         plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-        added = spec["added_tokens"]
-        self.safe = bool(
-            plain
-            and not spec["normalizer"]
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
-        )
+        loose = [t for t in added if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])]
+        self.safe = bool(plain and not spec["normalizer"] and not loose)
         self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
         self.pieces_of = regex.compile(BYTE_LEVEL_PIECES).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words = _Remembered(lambda word: self.encode(" " + word))
+        self.pieces = _Remembered(self._piece)
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        """Encode pieces, those of a space and letters together: behind one another they stay what they are."""
-        together = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        for i in range(0, len(together), TOGETHER):
-            group = together[i : i + TOGETHER]
-            done = self.tokenizer.encode("".join(group), add_special_tokens=False)
-            ids, at = np.array(done.ids, "<u4"), np.array(done.word_ids)
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            if len(first) == len(group):
-                ends = [*(first[1:] * 4).tolist(), 4 * len(ids)]
-                flat = ids.tobytes()
-                self.pieces.update((p, flat[a:b]) for p, a, b in zip(group, (first * 4).tolist(), ends, strict=True))
-        for piece in new:
-            if piece not in self.pieces:
-                self.pieces[piece] = self._whole(piece)
-
-    def _learn(self, words: set[str]) -> None:
-        """Remember a space and each word; white space at a word's end would belong to the next."""
-        if any(not w or w[-1].isspace() for w in words):
-            raise _Loose
-        split = {w: self.pieces_of(" " + w) for w in words if max(w) < PLAIN_BELOW and not self.added.search(w)}
-        known = self.pieces
-        if len(known) > REMEMBERED:
-            known.clear()
-        self._learn_pieces([p for p in {p for pieces in split.values() for p in pieces} if p not in known])
-        self.words.update((w, b"".join(map(known.__getitem__, pieces))) for w, pieces in split.items())
-        self.words.update((w, self._whole(" " + w)) for w in words if w not in split)
-
-    def ids(self, text: str) -> bytes:
-        if not self.safe or " " not in text:
-            return self._whole(text)
-        known = self.words
-        if len(known) > REMEMBERED:
-            known.clear()
-        first, *words = text.split(" ")
-        try:
-            new = set(words).difference(known)
-            if not first or first[-1].isspace():
-                raise _Loose
-            if new:
-                self._learn(new)
-            out = self._whole(first) + b"".join(map(known.__getitem__, words))
-            for word in new:
-                if len(word) > LONGEST:
-                    del known[word]
-            return out
-        except _Loose:
-            cuts = [0, *(m.end() - 1 for m in _CUT.finditer(text)), len(text)]
-            parts = [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            return b"".join(known.get(p[1:]) or self._whole(p) if p[:1] == " " else self._whole(p) for p in parts)
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(letters)])
+
+    def encode(self, text: str) -> bytes:
+        if not text or max(text) >= PLAIN_BELOW or self.added.search(text):
+            return self.whole(text)
+        return b"".join([self.pieces[p] for p in self.pieces_of(text)])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` (without nulls) behind one another, and where each text's begin and end."""
+        if not self.safe:
+            return _joined([self.whole(t) for t in texts.to_pylist()])
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        number, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        offsets -= offsets[0] if len(offsets) else 0
+        first, last = offsets[:-1], offsets[1:] - 1
+        # A word at whose end white space meets the next space, unless it is the text's last.
+        open_end = np.array([not w or w[-1].isspace() for w in words], bool)
+        loose = open_end[number]
+        loose[last] = False
+        loose = np.add.reduceat(loose, first) > 0 if len(first) else np.zeros(0, bool)
+        inner = np.ones(len(number), bool)
+        inner[first] = False
+        inner &= np.repeat(~loose, offsets[1:] - first)
+        used = np.zeros(len(words), bool)
+        used[number[inner]] = True
+        table: list[bytes] = [b""] * len(words)
+        plain = np.flatnonzero(used & ~open_end).tolist()
+        self.words.age()
+        self.pieces.age()
+        for i in plain:
+            table[i] = self.words[words[i]]
+        for i in np.flatnonzero(used & open_end).tolist():  # only at the end of a text
+            table[i] = self.encode(" " + words[i])
+        # The first word has no space before it; a loose text is its own first word.
+        heads = [
+            self.encode(texts[i].as_py() if odd else words[number[first[i]]]) for i, odd in enumerate(loose.tolist())
+        ]
+        flat, at = _joined([*table, *heads])
+        number[first] = len(words) + np.arange(len(heads))
+        keep = inner.copy()
+        keep[first] = True
+        number = number[keep]
+        parts = np.add.reduceat(keep, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+        sizes = at[number + 1] - at[number]
+        ends = np.cumsum(sizes)
+        places = np.repeat(at[number] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        bounds = np.concatenate([[0], np.append(0, ends)[np.cumsum(parts)]]).astype(np.int64)
+        return flat[places], bounds
+
+
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), "<u4"), np.cumsum([0] + [len(p) // 4 for p in parts])
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One per worker and tokenizer: what a task has learned the worker's next task knows."""
+    return Encoder(path)
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -150,34 +178,31 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, wi
     width, end = 4 * window, np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         row = sequence = TaskContext.get().partitionId() << 36
-        names = ["_id", "_row", "start", "length", "doc_tokens", "sequence_id", "offset", "role", "ids"]
-        kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-
-        def flush(key_type: pa.DataType) -> pa.RecordBatch:
-            kinds[0] = key_type
-            columns = list(zip(*held, strict=True)) or [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
+        names = ["_id", "_row", *(f.split()[0] for f in PIECE.split(", "))]
+        kinds = [pa.int64()] * 6 + [pa.string(), pa.binary()]
         for batch in batches:
-            held, size = [], 0
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                key, ids = key.as_py(), encoder.ids(text.as_py()) + end
-                n = len(ids) // 4
-                for a in range(0, len(ids), width):
-                    part = ids[a : a + width]
-                    whole = len(part) == width
-                    # Odd numbers are sequences of one document, even ones are the shards'.
-                    at = (2 * sequence + 1, 0, "window") if whole else (None, None, "tail")
-                    held.append((key, row, a // 4, len(part) // 4, n, *at, part))
-                    sequence += whole
-                    size += len(part)
-                    if size >= BATCH_BYTES:
-                        yield flush(batch.schema.field(0).type)
-                        held, size = [], 0
-                row += 1
-            yield flush(batch.schema.field(0).type)
+            texts = batch.column(1)
+            _, offsets = S.column_bytes(texts)
+            for first, last in S.byte_slices(offsets, BATCH_BYTES):
+                ids, bounds = encoder.ids(texts.slice(first, last - first))
+                of, rows = [], []
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    own = ids[a:b].tobytes() + end
+                    n = len(own) // 4
+                    for begin in range(0, len(own), width):
+                        part = own[begin : begin + width]
+                        whole = len(part) == width
+                        # Odd numbers are sequences of one document, even ones are the shards'.
+                        at = (2 * sequence + 1, 0, "window") if whole else (None, None, "tail")
+                        of.append(first + i)
+                        rows.append((row, begin // 4, len(part) // 4, n, *at, part))
+                        sequence += whole
+                    row += 1
+                columns = [batch.column(0).take(pa.array(of, pa.int64()))]
+                columns += [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     return materialise(rows.mapInArrow(run, f"_id {kind}, _row long, {PIECE}"), "encoded")
