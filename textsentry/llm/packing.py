@@ -38,19 +38,22 @@ K1, B = 1.2, 0.75
 QUERY_TERMS = 32
 # Neighbours ranked at first; all of them only if these do not fill the window.
 RANKED = 64
-# Words, and pieces of words, a worker remembers before it forgets those not used of late, and the longest.
-REMEMBERED = 1 << 18
+# Pieces of texts a worker remembers before it forgets those not used of late, and the longest of them.
+REMEMBERED = 1 << 19
 LONGEST = 64
 # Bytes of text encoded in one go; a longer text is encoded by itself.
 BATCH_BYTES = 8 << 20
 
-# The pieces a byte-level tokenizer cuts texts into, and the letters its
-# model has for bytes: printable ones are themselves, the others follow one another from U+0100.
-BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The pieces a byte-level tokenizer cuts texts into that hold no two blanks
+# in a row, and the letters its model has for bytes: printable ones are themselves, the
+# others follow one another from U+0100.
+BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\pL+| ?\pN+| ?[^\s\pL\pN]+|\s"
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_OTHERS)}
-# Texts with letters from here on go to the library whole: versions of Unicode differ in newer ones.
-PLAIN_BELOW = "\u0250"
+# Texts with blanks in a row, blanks that regexes disagree about, the separator, or letters
+# from U+0250 on, whose classes versions of Unicode disagree about.
+_SEPARATOR = "\x01"
+ODD_TEXTS = r"\s\s|[\x01\x0b\x1c-\x1f\x{85}\x{a0}]|[^\x00-\x{24f}]"
 
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, role string, ids binary"
 
@@ -77,15 +80,13 @@ class _Remembered(dict):
 class Encoder:
     """Token ids of texts, many at a time.
 
-    A byte-level tokenizer never joins a space to what precedes it, unless that
-    is white space too, so the ids of a text are those of its words, cut before
-    such spaces. Words are told apart by Arrow; a new one is cut into the pieces
-    the tokenizer makes of it, and only new pieces reach its model. The ids are
-    gathered by the words' numbers. Other tokenizers get whole texts.
+    A byte-level tokenizer cuts texts into pieces and encodes each by itself.
+    Arrow cuts and tells them apart; only pieces not seen of late reach the
+    tokenizer's model, and the ids are gathered by the pieces' numbers. Other
+    tokenizers, and texts the cut is not made for, go to the library whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -93,13 +94,15 @@ class Encoder:
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
         split, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
-        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-        loose = [t for t in added if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])]
-        self.safe = bool(plain and not spec["normalizer"] and not loose)
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
-        self.pieces_of = regex.compile(BYTE_LEVEL_PIECES).findall
+        self.plain = bool(
+            split.get("type") == "ByteLevel"
+            and split.get("use_regex")
+            and not split.get("add_prefix_space")
+            and not spec["normalizer"]
+            and all(t["content"].isascii() for t in added)
+        )
+        self.odd = "|".join([ODD_TEXTS, *(re.sub(r"(\W)", r"\\\1", t["content"]) for t in added)])
         self.tokenize = self.tokenizer.model.tokenize
-        self.words = _Remembered(lambda word: self.encode(" " + word))
         self.pieces = _Remembered(self._piece)
 
     def whole(self, text: str) -> bytes:
@@ -109,54 +112,28 @@ class Encoder:
         letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
         return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(letters)])
 
-    def encode(self, text: str) -> bytes:
-        if not text or max(text) >= PLAIN_BELOW or self.added.search(text):
-            return self.whole(text)
-        return b"".join([self.pieces[p] for p in self.pieces_of(text)])
-
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` (without nulls) behind one another, and where each text's begin and end."""
-        if not self.safe:
-            return _joined([self.whole(t) for t in texts.to_pylist()])
-        split = pc.split_pattern(texts, " ")
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        coded = split.flatten().dictionary_encode()
-        number, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        offsets -= offsets[0] if len(offsets) else 0
-        first, last = offsets[:-1], offsets[1:] - 1
-        # A word at whose end white space meets the next space, unless it is the text's last.
-        open_end = np.array([not w or w[-1].isspace() for w in words], bool)
-        loose = open_end[number]
-        loose[last] = False
-        loose = np.add.reduceat(loose, first) > 0 if len(first) else np.zeros(0, bool)
-        inner = np.ones(len(number), bool)
-        inner[first] = False
-        inner &= np.repeat(~loose, offsets[1:] - first)
-        used = np.zeros(len(words), bool)
-        used[number[inner]] = True
-        table: list[bytes] = [b""] * len(words)
-        plain = np.flatnonzero(used & ~open_end).tolist()
-        self.words.age()
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.plain else np.ones(len(texts), bool)
+        wholes = [self.whole(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        cut = pc.split_pattern(pc.replace_substring_regex(texts.filter(pa.array(~odd)), BYTE_LEVEL_PIECES, _SEPARATOR + r"\0"), _SEPARATOR)
+        coded = cut.flatten().dictionary_encode()
+        number, names = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
         self.pieces.age()
-        for i in plain:
-            table[i] = self.words[words[i]]
-        for i in np.flatnonzero(used & open_end).tolist():  # only at the end of a text
-            table[i] = self.encode(" " + words[i])
-        # The first word has no space before it; a loose text is its own first word.
-        heads = [
-            self.encode(texts[i].as_py() if odd else words[number[first[i]]]) for i, odd in enumerate(loose.tolist())
-        ]
-        flat, at = _joined([*table, *heads])
-        number[first] = len(words) + np.arange(len(heads))
-        keep = inner.copy()
-        keep[first] = True
-        number = number[keep]
-        parts = np.add.reduceat(keep, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
-        sizes = at[number + 1] - at[number]
-        ends = np.cumsum(sizes)
-        places = np.repeat(at[number] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        bounds = np.concatenate([[0], np.append(0, ends)[np.cumsum(parts)]]).astype(np.int64)
-        return flat[places], bounds
+        known = self.pieces
+        flat, at = _joined([*(known[p] if p else b"" for p in names), *wholes])
+        # Pieces of each text in the order of the texts; a whole text is one piece.
+        count = np.ones(len(texts), np.int64)
+        count[~odd] = np.diff(cut.offsets.to_numpy())
+        own = np.repeat(odd, count)
+        order = np.empty(len(own), np.int32)
+        order[~own] = number
+        order[own] = len(names) + np.arange(len(wholes))
+        sizes = at[order + 1] - at[order]
+        ends = np.append(0, np.cumsum(sizes))
+        places = np.repeat((at[order] - ends[:-1]).astype(np.int32), sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        return flat[places], ends[np.append(0, np.cumsum(count))]
 
 
 def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
