@@ -8,6 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from textsentry.llm import minhash, queries, repeats, substrings, suffixes
 from textsentry.llm import symbols as S
 
@@ -105,6 +106,51 @@ def test_words_longer_than_a_buffer(monkeypatch):
     assert symbols[0] == symbols[2] and len(set(symbols.tolist())) == 3
 
 
+def two_words_alike(n=1024):
+    """Two Thue-Morse words: their polynomials agree modulo 2**64 for every odd base."""
+    ones = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones)
+
+
+def test_words_whose_polynomials_agree(documents):
+    one, other = two_words_alike()
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, one), (4, other), (5, one)]
+    cut = {r.doc_id: r.n_removed for r in substrings.dedup_substrings(documents(rows), "doc_id", "text").collect()}
+    assert cut == {k: 0 for k in range(1, 6)}
+    found = minhash.near_duplicates(documents(rows), "doc_id", "text", 2).collect()
+    want = brute_components(rows, 2)
+    assert sorted((r["_key"], r.n_shingles, r.component) for r in found) == want
+    assert [c for _, _, c in want][2:] == [3, 4, 3]
+    # Bytes: the two words in different surroundings repeat nothing but what they really share.
+    texts = [(1, one + "1" * 30), (2, "2" * 30 + other), (3, one[:700])]
+    got = suffixes.dedup_bytes(documents(texts), "doc_id", "text").collect()
+    rows = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got)
+    assert rows == brute_bytes([(k, t.encode()) for k, t in texts], 200)
+
+
+def test_a_hot_group_of_near_copies(documents):
+    """Hundreds of edits of one text, whose pairs lie on both sides of the threshold."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for _ in range(rng.randint(0, 9)):
+            text[rng.randrange(120)] = f"x{rng.randrange(3000)}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(f"y{rng.randrange(90)}" for _ in range(50))) for i in range(100)]
+    found = minhash.near_duplicates(documents(rows), "doc_id", "text", 2)
+    assert sorted((r["_key"], r.n_shingles, r.component) for r in found.collect()) == brute_components(rows, 2)
+
+
+def test_the_last_pass_alone_finds_all_links(documents, monkeypatch):
+    monkeypatch.setattr(minhash, "meetings", lambda posts: posts.select(F.col("rep").alias("u"), F.col("rep").alias("v")).where("u != v"))
+    docs = [(k, t) for k, t in corpus(12, 40)]
+    found = minhash.near_duplicates(documents(docs), "doc_id", "text", 2)
+    assert sorted((r["_key"], r.n_shingles, r.component) for r in found.collect()) == brute_components(docs, 2)
+
+
 def test_awkward_rows(awkward):
     cut = {}
     for r in suffixes.dedup_bytes(awkward, "doc_id", "text").collect():

@@ -3,23 +3,23 @@
 Documents with equal shingle sets form a class, and one member stands for it.
 A signature has ``COORDINATES`` minima; a posting is a (coordinate, value) pair.
 Two sets of the wanted similarity agree in ``MATCHES`` coordinates (all but
-about one pair in twenty thousand at the threshold itself, fewer above), so each
+about three pairs in ten million at the threshold itself, fewer above), so each
 must hold one of the other's ``COORDINATES - MATCHES + 1`` rarest postings:
 only that prefix is posted, and a document with that many postings of its own
-has no partner at all. Postings are merged in two steps:
-
-1. each document is paired with one of the least documents of its postings, the
-   one it meets most often; pairs that match become links and components. Then,
-   in rounds, each component in a posting sends a member picked at random to meet
-   one of the least component there. A round makes a pair for each posting at
-   most, and large groups of copies soon are one component;
-2. pairs in one posting that are not in one component yet are all tried, which
-   skips the members of large groups and loses no link between groups. However
-   few rounds there were, this pass completes the result.
-
-Pairs are first judged by their signatures, then confirmed on the full sets. The
-last pass also compares parity bitmaps of the sets: the bits two of them differ
-in are at most the shingles only one has, so no link is lost by this bound.
+has no partner at all. Postings are merged in two passes:
+
+1. every posting names ``HUBS`` of its documents, by as many seeded orders.
+   Collisions with them are counted over all postings of a document, and of each
+   order the hub it meets most often is its candidate. Pairs that match become
+   links and components; large groups of copies are one component after this;
+2. documents in one posting that are not in one component yet are all compared,
+   which skips the members of large groups and loses no link between groups.
+   However little the first pass found, this one completes the result.
+
+Pairs are judged by the number of equal coordinates, then confirmed on the full
+sets. The second pass first compares parity bitmaps of the sets: the bits two of
+them differ in are at most the shingles only one has, so no link is lost by this
+bound, and hardly any pair below the threshold is even written.
 """
 
 from __future__ import annotations
@@ -30,20 +30,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textsentry.llm import repeats as R
 from textsentry.llm import symbols as S
 from textsentry.llm.components import components
-from textsentry.session import materialise
+from textsentry.session import broadcast_if_small, materialise
 
 SHINGLE = 5
 SIMILARITY = 80
 COORDINATES = 64
-MATCHES = 38
-# Rounds of the first step; a round without a new link is the last.
-ROUNDS = 5
-# Keys up to this number (16 MB) are broadcast to pick out texts; more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+MATCHES = 34
+HUBS = 4
+# Keys of at most this size are broadcast to pick out texts; more are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 # Bits of a set's parity bitmap.
 PARITY_BITS = 1024
@@ -142,8 +142,7 @@ def sketches(keyed: DataFrame, size: int) -> DataFrame:
 def full_sets(keyed: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     """``_key`` and ``_set`` of the documents in ``keys``."""
     kind = keyed.schema["_key"].dataType.simpleString()
-    few = keys.count() <= BROADCAST_KEYS
-    wanted = keyed.join(F.broadcast(keys) if few else keys, "_key", "left_semi")
+    wanted = keyed.join(broadcast_if_small(keys, BROADCAST_BYTES), "_key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +154,9 @@ def full_sets(keyed: DataFrame, keys: DataFrame, size: int) -> DataFrame:
                     ["_key", "_set"],
                 )
 
-    return wanted.dropDuplicates(["_key"]).mapInArrow(run, f"_key {kind}, _set array<long>")
+    if keyed.schema["_key"].dataType.typeName() == "struct":  # else rows are one to a key
+        wanted = wanted.dropDuplicates(["_key"])
+    return wanted.mapInArrow(run, f"_key {kind}, _set array<long>")
 
 
 def prefixes(reps: DataFrame) -> DataFrame:
@@ -183,6 +184,8 @@ def _close(a, b):
 def confirm(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, size: int) -> DataFrame:
     """The links among ``pairs`` (``u``, ``v``): by signature first, then on the full sets."""
     sig = reps.select("rep", "sig")
+    if isinstance(reps.schema["rep"].dataType, (T.LongType, T.IntegerType)) and reps.count() * (4 * COORDINATES + 24) <= BROADCAST_BYTES:
+        sig = F.broadcast(sig)
     agree = F.expr("size(filter(zip_with(_a, _b, (x, y) -> x = y), z -> z))")
     likely = (
         pairs.join(sig.select(F.col("rep").alias("u"), F.col("sig").alias("_a")), "u")
@@ -191,7 +194,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, size: int) -> D
         .select("u", "v")
     )
     likely = materialise(likely, "pairs")
-    keys = likely.select(F.col("u").alias("_key")).unionByName(likely.select(F.col("v").alias("_key"))).distinct()
+    keys = likely.select(F.explode(F.array("u", "v")).alias("_key")).distinct()
     sets = full_sets(keyed, keys, size)
     common = F.size(F.array_intersect("_a", "_b"))
     union = F.size("_a") + F.size("_b") - common
@@ -203,44 +206,48 @@ def confirm(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, size: int) -> D
     )
 
 
+def meetings(posts: DataFrame) -> DataFrame:
+    """``u``, ``v``: each document with the hubs it meets most often, one of each seeded order."""
+    orders = range(HUBS)
+    named = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"_h{k}") for k in orders]
+    hubs = posts.groupBy("token").agg(F.count(F.lit(1)).alias("_c"), *named).where("_c > 1").drop("_c")
+    met = (
+        posts.join(hubs, "token")
+        .select("rep", F.posexplode(F.array(*[f"_h{k}" for k in orders])).alias("_k", "_hub"))
+        .where("rep != _hub")
+        .groupBy("rep", "_k", "_hub")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    most = met.groupBy("rep", "_k").agg(F.max_by("_hub", F.struct("_c", F.xxhash64("_hub"))).alias("_hub"))
+    return most.select(F.greatest("rep", "_hub").alias("u"), F.least("rep", "_hub").alias("v")).distinct()
+
+
 def unsettled(posts: DataFrame, roots: DataFrame) -> DataFrame:
     """The postings with documents of several components, with ``root``."""
     grouped = posts.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    grouped = materialise(grouped, "rooted")
     mixed = grouped.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a != _z").select("token")
-    return materialise(grouped.join(mixed, "token", "left_semi"), "unsettled")
-
-
-def meetings(open_posts: DataFrame, turn: int) -> DataFrame:
-    """``u``, ``v``: in each posting, a member of each component and one of the least component."""
-    pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n")).alias("_d")
-    sent = open_posts.groupBy("token", "root").agg(pick)
-    host = sent.groupBy("token").agg(F.min(F.struct("root", "_d")).alias("_h"))
-    return (
-        sent.join(host, "token")
-        .where((F.col("root") != F.col("_h.root")) & _close(F.col("_d.n"), F.col("_h._d.n")))
-        .select(F.col("_d.rep").alias("u"), F.col("_h._d.rep").alias("v"))
-        .distinct()
-    )
+    return grouped.join(mixed, "token", "left_semi")
 
 
 def pairs_apart(open_posts: DataFrame, reps: DataFrame) -> DataFrame:
-    """``u``, ``v``: every pair of different components in a posting, at the first posting the two share.
+    """``u``, ``v``: every pair of different components that shares a posting.
 
     Pairs whose sizes or parity bitmaps rule the similarity out are not made.
     """
-    held = open_posts.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("_t"))
-    posts = open_posts.join(held.join(reps.select("rep", "bits"), "rep"), "rep")
+    words = PARITY_BITS // 64
+    bits = reps.select("rep", *[F.col("bits")[i].alias(f"_b{i}") for i in range(words)])
+    posts = materialise(open_posts.join(bits, "rep"), "unsettled")
 
     def side(name: str) -> DataFrame:
-        names = {"rep": name, "root": f"_r{name}", "n": f"_n{name}", "_t": f"_t{name}", "bits": f"_b{name}"}
+        names = {"rep": name, "root": f"_r{name}", "n": f"_n{name}", **{f"_b{i}": f"_b{name}{i}" for i in range(words)}}
         return posts.select("token", *[F.col(old).alias(new) for old, new in names.items()])
 
-    left, right = side("u"), side("v")
     apart = (F.col("u") < F.col("v")) & (F.col("_ru") != F.col("_rv")) & _close(F.col("_nu"), F.col("_nv"))
-    once = F.get(F.array_intersect("_tu", "_tv"), F.lit(0)) == left["token"]
-    differ = F.expr("aggregate(zip_with(_bu, _bv, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)")
+    differ = F.expr(" + ".join(f"bit_count(_bu{i} ^ _bv{i})" for i in range(words)))
     possible = differ * (100 + SIMILARITY) <= (F.col("_nu") + F.col("_nv")) * (100 - SIMILARITY)
-    return left.join(right, (left["token"] == right["token"]) & apart & once & possible).select("u", "v")
+    left, right = side("u"), side("v")
+    return left.join(right, (left["token"] == right["token"]) & apart & possible).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
@@ -265,23 +272,11 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int = SHI
     reps = materialise(reps, "classes")
     posts = materialise(prefixes(reps), "postings")
 
-    least = posts.groupBy("token").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    met = posts.join(least, "token").where("rep != v").groupBy("rep", "v").agg(F.count(F.lit(1)).alias("_c"))
-    first = met.groupBy("rep").agg(F.max(F.struct("_c", "v")).alias("_m")).select(F.col("rep").alias("u"), "_m.v")
-    links = materialise(confirm(first, reps, keyed, size), "links")
-
+    links = materialise(confirm(meetings(posts), reps, keyed, size), "links")
     roots = components(links)
-    for turn in range(1, ROUNDS + 1):
-        open_posts = unsettled(posts, roots)
-        links = materialise(confirm(meetings(open_posts, turn), reps, keyed, size), "links")
-        if links.isEmpty():
-            break
-        roots = components(roots.select("u", F.col("root").alias("v")).unionByName(links))
-    open_posts = unsettled(posts, roots)
-    rest = pairs_apart(open_posts, reps)
-    more = materialise(confirm(rest, reps, keyed, size), "links")
-    final = roots.select("u", F.col("root").alias("v")).unionByName(more)
-    named = components(final) if not more.isEmpty() else roots
+    more = materialise(confirm(pairs_apart(unsettled(posts, roots), reps), reps, keyed, size), "links")
+    # What the first pass settled is a star per component, so few rounds are left to do.
+    named = components(roots.select("u", F.col("root").alias("v")).unionByName(more))
     return (
         sketch.select("_key", "n", "s1", "s2")
         .join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left")
@@ -309,8 +304,7 @@ def _first_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     counts = marked.groupBy("_copy_id", "_copy_hash").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     repeated = counts.select(F.col("_copy_id").alias("_r_id"), F.col("_copy_hash").alias("_r_hash"))
     repeated = materialise(repeated, "repeated")
-    few = repeated.count() <= BROADCAST_KEYS
-    repeated = F.broadcast(repeated) if few else repeated
+    repeated = broadcast_if_small(repeated, BROADCAST_BYTES)
     on = F.col("_copy_id").eqNullSafe(F.col("_r_id")) & (F.col("_copy_hash") == F.col("_r_hash"))
     copies = marked.join(repeated, on, "left_semi").withColumn("_copy_text", text)
     alone = marked.join(repeated, on, "left_anti")
@@ -330,5 +324,4 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, c
         kept = docs.join(gone, on, "left_anti")
         return kept if copies else _first_copies(materialise(kept, "kept"), id_col, text_col)
     gone = materialise(gone.withColumnRenamed("_key", "_gone"), "gone")
-    few = gone.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(broadcast_if_small(gone, BROADCAST_BYTES), docs[id_col] == gone["_gone"], "left_anti")

@@ -17,6 +17,8 @@ import numpy as np
 # Symbols (or bytes) in a buffer; anchor positions take 22 bits.
 BUFFER = 1 << 20
 _SPAN = 1 << 22
+# Words of more bytes are told apart by a digest.
+LONG_WORD = 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -153,19 +155,23 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each word.
+
+    Long words get a digest: modulo 2**64 there are pairs of texts, the longer
+    the easier, whose fingerprints agree for any odd base.
+    """
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
         base = starts[first]
-        last = int(np.searchsorted(ends, base + BUFFER, side="right"))
-        if last <= first:  # one word beyond a buffer
-            digest = hashlib.blake2b(data[base : ends[first]].tobytes(), digest_size=8).digest()
-            out[first] = int.from_bytes(digest, "little")
-            first += 1
-            continue
-        prints = Prints(_BYTES[data[base : ends[last - 1]]])
-        out[first:last] = mix(prints.of(starts[first:last] - base, ends[first:last] - base))
+        last = max(int(np.searchsorted(ends, base + BUFFER, side="right")), first + 1)
+        if ends[last - 1] - base <= BUFFER:
+            prints = Prints(_BYTES[data[base : ends[last - 1]]])
+            out[first:last] = mix(prints.of(starts[first:last] - base, ends[first:last] - base))
         first = last
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 
