@@ -231,23 +231,25 @@ def unsettled(posts: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def pairs_apart(open_posts: DataFrame, reps: DataFrame) -> DataFrame:
-    """``u``, ``v``: every pair of different components that shares a posting.
+    """``u``, ``v``: every pair of different components that shares a posting, made at the least of these.
 
     Pairs whose sizes or parity bitmaps rule the similarity out are not made.
     """
     words = PARITY_BITS // 64
     bits = reps.select("rep", *[F.col("bits")[i].alias(f"_b{i}") for i in range(words)])
-    posts = materialise(open_posts.join(bits, "rep"), "unsettled")
+    held = open_posts.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("_t"))
+    posts = materialise(open_posts.join(held, "rep").join(bits, "rep"), "unsettled")
 
     def side(name: str) -> DataFrame:
-        names = {"rep": name, "root": f"_r{name}", "n": f"_n{name}", **{f"_b{i}": f"_b{name}{i}" for i in range(words)}}
+        names = {"rep": name, "root": f"_r{name}", "n": f"_n{name}", "_t": f"_t{name}", **{f"_b{i}": f"_b{name}{i}" for i in range(words)}}
         return posts.select("token", *[F.col(old).alias(new) for old, new in names.items()])
 
     apart = (F.col("u") < F.col("v")) & (F.col("_ru") != F.col("_rv")) & _close(F.col("_nu"), F.col("_nv"))
     differ = F.expr(" + ".join(f"bit_count(_bu{i} ^ _bv{i})" for i in range(words)))
     possible = differ * (100 + SIMILARITY) <= (F.col("_nu") + F.col("_nv")) * (100 - SIMILARITY)
     left, right = side("u"), side("v")
-    return left.join(right, (left["token"] == right["token"]) & apart & possible).select("u", "v").distinct()
+    once = F.get(F.array_intersect("_tu", "_tv"), F.lit(0)) == left["token"]  # dear, so it comes last
+    return left.join(right, (left["token"] == right["token"]) & apart & possible & once).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
