@@ -209,7 +209,8 @@ def test_hostile_texts_finish(spark, texts):
     assert time.time() - start < 120
 
 
-@pytest.mark.parametrize("pattern", [r"(?:[a-z]+[-.])+[a-z]+!", r"(?:a|b){1,100000}c", r"(a|b)*?c", r"(?:ab){70}"])
+@pytest.mark.parametrize("pattern", [r"(?:[a-z]+[-.])+[a-z]+!", r"(?:a|b){1,100000}c", r"(a|b)*?c", r"(?:ab){70}",
+    r"(?:(?:a|b){64}){64}c", r"(?:(?:a|b){9}){9}", r"(a|b){40}x(a|b){40}", r"((a)*)*+", r"(?>(a|b)*)c", r"(a|b){2,}"])
 def test_group_loops_are_refused_by_name(one_rule, pattern):
     with pytest.raises(RuleError, match=r"possessive.*\[G:R\]"):
         prepare(one_rule(pattern))
@@ -217,12 +218,20 @@ def test_group_loops_are_refused_by_name(one_rule, pattern):
 
 @pytest.mark.parametrize(
     "pattern",
-    [r"(?:[a-z]{1,9}[-.]){1,9}!", r"(?:[a-z]++[-.])*+[a-z]+!", r"foo\)+bar", r"[()*]+xyz", r"[])+]+x", r"\[(a)\]{2}"],
+    [r"(?:[a-z]{1,9}[-.]){1,9}!", r"(?:[a-z]++[-.])*+[a-z]+!", r"foo\)+bar", r"[()*]+xyz", r"[])+]+x", r"\[(a)\]{2}",
+     r"\Q)+(\E{3}", r"\Q)*", r"(?:(?:a|b){7}){8}c", r"(a|b){30}x(a|b){30}", r"(?:(?:a|b){60})*+c", r"((a))?(b)"],
 )
 def test_harmless_repeats_are_not(one_rule, pattern):
     assert prepare(one_rule(pattern))[0]["compile_ok"]
 
 
+def test_the_most_rounds_allowed_fit_the_stack(one_rule, texts):
+    """Nested and following repeats up to the bound, each tried at every place of a long text."""
+    body = "ab" * 5_000
+    for pattern in (r"(?:(?:a|b){7}){8}c", r"(a|b){1,30}(a|b){30}c", r"(?:(?:(?:a|b){3}){3}){4}c"):
+        assert scan(texts(body, body + "c"), one_rule(pattern), ["id"]).select("id").distinct().count() == 1
+
+
 def test_possessive_loops_run_on_long_texts(one_rule, texts):
     df = scan(texts("aa-bb.cc!", "a-" * 60_000 + "a!", "x" * 9), one_rule(r"(?:[a-z]++[-.])++[a-z]+!"), ["id"])
     assert [(r["id"], len(r["match"])) for r in df.orderBy("id").collect()] == [(0, 9), (1, 120_002)]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textsentry.functions import regex
+from textsentry.functions.nesting import open_rounds
 from textsentry.functions.text import elide, keywords
 from textsentry.session import broadcast_if_small
 from textsentry.sources.equivalents import FILTERS, GATES, SAFE_FORMS
@@ -17,12 +18,10 @@ DEFAULT_CONTEXT = 50
 # Most rules a scan accepts: the pack is held in memory.
 MAX_RULES = 20_000
 
-# Rounds a repeated group may be asked for. Java's regex recurses once per round,
-# and a stack overflow ends the whole executor.
+# Rounds of repeated groups a match may have open at once. Java's regex recurses once per
+# round, and a stack overflow ends the whole executor.
 SAFE_ROUNDS = 64
-# A group that is repeated without bound or oftener, unless possessively.
-_LOOP = r"\)(?:[*+]|\{\d+,\}|\{(?:\d+,)?(?:\d{3,}|6[5-9]|[7-9]\d)\})(?!\+)"
-LOOP_HINT = "repeats a group without a small bound; make the repeat possessive, as in (...)*+"
+LOOP_HINT = "repeats groups too often for Java's stack; make the repeat possessive, as in (...)*+"
 
 
 class RuleError(ValueError):
@@ -115,9 +114,8 @@ def _lookup(table: dict, kind: str, key: str) -> Column:
 
 
 def loops(pattern: Column) -> Column:
-    """Whether a pattern repeats a group so often that Java might run out of stack; escapes and classes don't count."""
-    plain = F.regexp_replace(pattern, F.lit(r"\\."), F.lit("x"))
-    return F.rlike(F.regexp_replace(plain, F.lit(r"\[\^?\]?[^\]]*\]"), F.lit("x")), F.lit(_LOOP))
+    """Whether a pattern repeats groups, nested ones included, so often that Java might run out of stack."""
+    return open_rounds(pattern) > SAFE_ROUNDS
 
 
 def compile_rules(

@@ -153,6 +153,29 @@ def _last_group(source: str) -> str:
     )
 
 
+# Walks each pattern part by part with a stack of the rounds inside its open groups.
+_VERDICT = f"""{_CAT.replace("WITH", "WITH RECURSIVE", 1)},
+  looped AS (SELECT * REPLACE (({q.LOOPED_PATTERN}) AS f_regex) FROM cat),
+  c AS (SELECT *, {_ENGINE} AS engine_resolved, TRY(regexp_matches('', f_regex)) IS NOT NULL AS compiles
+    FROM looped WHERE {_USABLE}),
+  parts AS (SELECT rule_ord, list_filter(regexp_extract_all(f_regex,
+      '\\\\Q.*?\\\\E|\\\\.|\\[[^\\]]*\\]|\\)(?:[*+?]|\\{{[0-9]+,?[0-9]*\\}})?[+?]?|.'), lambda x: x[1] IN ('(', ')')) AS p FROM c),
+  walk AS (SELECT rule_ord, p, 1 AS i, [0.0::DOUBLE] AS inside FROM parts
+    UNION ALL
+    SELECT rule_ord, p, i + 1, CASE WHEN p[i] = '(' THEN list_prepend(0.0::DOUBLE, inside)
+      WHEN len(inside) < 2 THEN inside
+      ELSE list_prepend(inside[2] + CASE
+        WHEN regexp_matches(p[i], '^.[*+?{{].*\\+$') AND len(p[i]) > 2 THEN inside[1] + 1
+        WHEN regexp_matches(p[i], '^.([*+]|\\{{[0-9]+,\\}})') THEN 1e9 * (inside[1] + 1)
+        WHEN p[i][2] = '{{' AND regexp_extract(p[i], '([0-9]+)\\}}', 1)::DOUBLE > 0
+          THEN regexp_extract(p[i], '([0-9]+)\\}}', 1)::DOUBLE * (inside[1] + 1)
+        ELSE inside[1] END, inside[3:]) END
+    FROM walk WHERE i <= len(p)),
+  rounds AS (SELECT rule_ord, list_sum(inside) AS n FROM walk WHERE i = len(p) + 1)
+SELECT rule_ord, CASE WHEN engine_resolved IS NULL THEN 'unsupported engine' WHEN NOT compiles THEN 'does not compile'
+  WHEN n > 64 THEN 'unsafe loop' ELSE 'ok' END AS verdict FROM c JOIN rounds USING (rule_ord)"""
+
+
 def _chunked() -> str:
     """Every match of the whole text at its own place; where the text was cut must not show."""
     mark = "chr(64976)"
@@ -323,11 +346,7 @@ def statements() -> dict[str, str]:
           ELSE 'is empty' END AS error FROM documents WHERE lang = 'fr' OR strlen(text) = 0""",
         "docs_skipped": f"""SELECT doc_id, 'is above the size limit' AS error FROM documents
           WHERE strlen(text) > {limit}""",
-        "rules_verdict": f"""{_CAT}, c AS (SELECT *, {_ENGINE} AS engine_resolved,
-            TRY(regexp_matches('', f_regex)) IS NOT NULL AS compiles FROM cat WHERE {_USABLE})
-          SELECT rule_ord, CASE WHEN engine_resolved IS NULL THEN 'unsupported engine'
-            WHEN NOT compiles THEN 'does not compile'
-            WHEN regexp_matches(f_regex, '\\)[*+]') THEN 'unsafe loop' ELSE 'ok' END AS verdict FROM c""",
+        "rules_verdict": _VERDICT,
         "files_by_ext": f"""SELECT page_id, url FROM pages
           WHERE {_EXT.format(c='url')} NOT IN ({excluded})""",
         "files_by_path": f"SELECT page_id, url FROM pages WHERE {paths}",
