@@ -1,13 +1,22 @@
+import random
+import re
+import sys
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textsentry import scan, scan_rows, scan_tree
-from textsentry.operators.scan import prepare
+from textsentry.functions.text import running_totals
+from textsentry.operators.scan import prepare, scan_large
 from textsentry.sources import chunks, files
 
 
+scanning = sys.modules["textsentry.operators.scan"]
+
+
 def test_tree_filters_and_guards(spark, tmp_path, one_rule):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_bytes(b"first\nsecret01")
@@ -124,6 +133,47 @@ def test_chunk_edges_lose_and_double_nothing(texts, one_rule):
         assert run(size) == whole
 
 
+@pytest.mark.parametrize("size", [64, 1000, 2048])
+def test_matches_side_by_side_go_on_through_all_chunks(texts, one_rule, size):
+    """What matches depends on where the match before it ended, back to the text's start."""
+    body = "b" * 13 + "a" * 3000 + "c" + "a" * 2000
+    rows = texts(body, "a" * 30, None, body[5:])
+    sizes = {"threshold_mb": 0.0001, "chunk_bytes": size, "overlap": 32}
+    got = scan_large(rows, one_rule("a{7}"), ["id"], **sizes).collect()
+    for i, text in enumerate([body, "a" * 30, "", body[5:]]):
+        want = [m.start() for m in re.finditer("a{7}", text)]
+        assert sorted(r["position"] for r in got if r["id"] == i) == want
+
+
+def test_only_rules_that_run_over_a_cut_are_matched_again(texts, make_rules, monkeypatch):
+    seen = []
+    exact = scanning._exact
+    monkeypatch.setattr(scanning, "_exact", lambda df, *rest: seen.append(df) or exact(df, *rest))
+    rules = [{"name": n, "f_regex": p, "loaded": True, "engine": "nfa"} for n, p in (("Tile", "[ab]{9}"), ("Lone", r"secret\d\d"))]
+    rows = texts("ab" * 200 + " secret11 " + "ab" * 200, "x" * 300 + " secret22 " + "x" * 300)
+    got = scan_large(rows, prepare(make_rules(("G", rules))), ["id"], threshold_mb=0.0001, chunk_bytes=100, overlap=20).collect()
+    assert sorted((r["id"], r["position"]) for r in got if r["rule_name"] == "Lone") == [(0, 401), (1, 301)]
+    assert len([r for r in got if r["rule_name"] == "Tile"]) == 88
+    assert [(r["id"], r["__only"]) for r in seen[1].collect()] == [(0, [0])]
+
+
+def test_matches_of_one_text_take_linear_time(texts, one_rule):
+    page = "\n".join(f'<a href="/path/{i:07d}/index">text {i}</a>' for i in range(20_000))
+    start = time.time()
+    rows = scan_large(texts(page), one_rule(r'"/[^"]{1,99}"'), ["id"], threshold_mb=100)
+    found = rows.agg(F.count("*"), F.max("position"), F.max("line_number")).first()
+    assert (found[0], found[2]) == (20_000, 20_000) and page.encode()[found[1] :].startswith(b'"/path/0019999')
+    assert time.time() - start < 40
+
+
+def test_running_totals(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.randint(0, 9) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 127, 128, 129, 256, 1000])]
+    df = spark.createDataFrame(rows, "i int, xs array<long>").withColumn("t", running_totals(F.col("xs")))
+    for r in df.collect():
+        assert r.t == [sum(r.xs[:k]) for k in range(len(r.xs))]
+
+
 def test_set_off_marks_in_texts_are_harmless(texts, one_rule):
     own = {"own_cols": ("a", "z")}
     docs = texts("x\ufdd0secret11\ufdd0 secret22").withColumns({"a": F.lit(0), "z": F.lit(100)})

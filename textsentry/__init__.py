@@ -1,7 +1,7 @@
 """Find sensitive information in tables of text with rules kept as data."""
 
 from textsentry.operators.rules import RuleError, compile_rules, select_rules
-from textsentry.operators.scan import prepare, scan
+from textsentry.operators.scan import prepare, scan, scan_large
 from textsentry.operators.validation import require_valid, self_test, validate
 from textsentry.plans.pipeline import (
     Output,
@@ -29,6 +29,7 @@ __all__ = [
     "resume_scan",
     "rule_report",
     "scan",
+    "scan_large",
     "scan_rows",
     "scan_table",
     "scan_tree",

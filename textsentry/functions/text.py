@@ -33,6 +33,31 @@ def count_newlines(col: Column) -> Column:
     return (F.octet_length(col) - F.octet_length(F.replace(col, F.lit("\n"), F.lit("")))).cast("long")
 
 
+def running_totals(values: Column, block: int = 128) -> Column:
+    """For each entry of an array of longs the sum of those before it.
+
+    Folded by blocks, and over the blocks' sums: a plain fold copies all it has for every entry.
+    """
+    zero = F.array(F.lit(0).cast("long"))
+
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(values) - 1).cast("int")), F.lit(block)),
+        lambda at: F.slice(values, at + 1, F.lit(block)),
+    )
+    before = fold(F.transform(blocks, total))
+    sums = F.zip_with(
+        blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda xs, b: F.transform(fold(xs), lambda x: x + b)
+    )
+    # Each block's last entry is the next one's first.
+    return F.flatten(F.transform(sums, lambda xs: F.slice(xs, F.lit(1), F.size(xs) - 1)))
+
+
 def before_first(text: Column, needle: Column) -> Column:
     """The part of ``text`` in front of the first ``needle``; all of it when absent."""
     return F.call_function("substring_index", text, needle, F.lit(1))

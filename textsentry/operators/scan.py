@@ -27,11 +27,14 @@ from textsentry.functions.text import (
     byte_slice,
     contains_any,
     count_newlines,
+    running_totals,
     sql_string,
     trim_space,
 )
 from textsentry.operators.rules import compile_rules, rule_pack, select_rules
 from textsentry.schemas import FINDING_COLUMNS
+from textsentry.session import broadcast_if_small, materialise
+from textsentry.sources.chunks import CHUNK_BYTES, DEFAULT_THRESHOLD_MB, OVERLAP_BYTES, chunk_texts
 
 # Matches of at most this many bytes, blanks at the ends aside, are dropped.
 MIN_MATCH_BYTES = 5
@@ -108,7 +111,7 @@ def scan(
     else:
         raise ValueError(f"unknown plan {plan!r}")
     if own_cols:
-        return _own(matches, id_cols, text_col, offset_col, line_col, own_cols)
+        return _own(_placed(matches, text_col, own_cols), id_cols, offset_col, line_col, own_cols)
     return _locate(matches, id_cols, text_col, offset_col, line_col)
 
 
@@ -133,13 +136,13 @@ def _gate_sql(words: list[str]) -> str:
     return " OR ".join(["__odd", *tests])
 
 
-def _extract_sql(rule: dict, text_col: str, exact: bool = False) -> str:
+def _extract_sql(rule: dict, text_col: str, exact: bool = False, only: str = "") -> str:
     """The matches of a rule; if ``exact``, the whole text cut at both ends of each, matches at odd places."""
     pattern = sql_string(rule["pattern"])
     found = f"regexp_extract_all(`{text_col}`, {pattern}, 0)"
     if exact:
         found = f"split(regexp_replace(`{text_col}`, {pattern}, '{_SET_OFF}$0{_SET_OFF}'), '{_SET_OFF}')"
-    tests = []
+    tests = [only] if only else []
     if rule["keyword_gate"]:
         tests.append(f"({_gate_sql(rule['keyword_gate'])})")
     if rule["filter"]:
@@ -147,10 +150,13 @@ def _extract_sql(rule: dict, text_col: str, exact: bool = False) -> str:
     return f"CASE WHEN {' AND '.join(tests)} THEN {found} END" if tests else found
 
 
-def _unrolled(base: DataFrame, pack: list[dict], text_col: str, exact: bool = False) -> DataFrame:
+def _unrolled(
+    base: DataFrame, pack: list[dict], text_col: str, exact: bool = False, only_col: str | None = None, number: int = 0
+) -> DataFrame:
     # One SQL expression for the whole pack: built column by column, a pack
     # costs seconds of driver time.
-    per_rule = [_extract_sql(rule, text_col, exact) for rule in pack]
+    listed = [f"array_contains(`{only_col}`, {number + i})" if only_col else "" for i in range(len(pack))]
+    per_rule = [_extract_sql(rule, text_col, exact, only) for rule, only in zip(pack, listed, strict=True)]
     blocks = [
         "array(" + ", ".join(per_rule[i : i + _BLOCK]) + ")"
         for i in range(0, len(per_rule), _BLOCK)
@@ -165,8 +171,8 @@ def _unrolled(base: DataFrame, pack: list[dict], text_col: str, exact: bool = Fa
         .select(*base.columns, hits.alias("__hits"))
         .select(*base.columns, F.posexplode_outer("__hits").alias("__rule", "__matches"))
         .where(F.size("__matches") > int(exact))
-        .select(*base.columns, "__matches", attributes[F.col("__rule")].alias("__attributes"))
-        .select(*base.columns, "__matches", "__attributes.*")
+        .select(*base.columns, (F.col("__rule") + number).alias("__rule"), "__matches", attributes[F.col("__rule")].alias("__attributes"))
+        .select(*base.columns, *(["__rule"] if exact else []), "__matches", "__attributes.*")
     )
 
 
@@ -206,45 +212,118 @@ def _joined(base: DataFrame, pack: list[dict], text_col: str) -> DataFrame:
     )
 
 
+def _placed(matches: DataFrame, text_col: str, own_cols: tuple[str, str]) -> DataFrame:
+    """Add ``__found``, the matches with their own places, and ``__over``: whether one runs over an end of the own bytes.
+
+    Texts come cut at both ends of each match. Places are running totals over the
+    pieces, so the cost is linear in the text and its matches.
+    """
+    text, cut = F.col(text_col), F.col("__matches")
+    first, last = (F.col(c).cast("long") for c in own_cols)
+    sizes = F.transform(cut, lambda x: F.octet_length(x).cast("long"))
+    left, right = F.greatest("__left", F.lit(0)), F.greatest("__right", F.lit(0))
+    bare = (F.col("__left") <= 0) & (F.col("__right") <= 0)
+
+    def place(match: Column, start: Column, lines: Column) -> Column:
+        end = start + F.octet_length(match)
+        around = byte_slice(text, F.greatest(F.lit(0).cast("long"), start - left), F.least(F.octet_length(text), end + right))
+        return F.struct(
+            match.alias("match"),
+            start.alias("start"),
+            lines.alias("lines"),
+            F.when(bare, match).otherwise(around).alias("context"),
+        )
+
+    at = matches.withColumn("__starts", running_totals(sizes)).withColumn(
+        "__lines", running_totals(F.transform(cut, count_newlines))
+    )
+    odd = F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2))
+    found = F.transform(odd, lambda i: place(F.get(cut, i), F.get("__starts", i), F.get("__lines", i)))
+
+    def over(edge: Column):
+        return lambda m: (m["start"] < edge) & (edge < m["start"] + F.octet_length(m["match"]))
+
+    kept = at.withColumn("__found", found).drop("__starts", "__lines", "__matches")
+    return kept.withColumn("__over", F.exists("__found", over(first)) | F.exists("__found", over(last)))
+
+
 def _own(
-    matches: DataFrame,
-    id_cols: list[str],
-    text_col: str,
-    offset_col: str | None,
-    line_col: str | None,
-    own_cols: tuple[str, str],
+    placed: DataFrame, id_cols: list[str], offset_col: str | None, line_col: str | None, own_cols: tuple[str, str]
 ) -> DataFrame:
     """Findings of the matches that start in the text's own bytes, with their own places."""
-    text, match, before = F.col(text_col), F.col("match"), F.col("__before")
     offset = F.col(offset_col) if offset_col else F.lit(0).cast("long")
     line = F.col(line_col) if line_col else F.lit(1).cast("long")
-    start = F.octet_length(before)
-    left, right = F.greatest("__left", F.lit(0)), F.greatest("__right", F.lit(0))
-    around = byte_slice(
-        text,
-        F.greatest(F.lit(0), start - left),
-        F.least(F.octet_length(text), start + F.octet_length(match) + right),
-    )
-    carried = [c for c in matches.columns if c != "__matches"]
+    start = F.col("__m.start")
     return (
-        matches.select(*carried, "__matches", F.posexplode_outer("__matches").alias("__n", "match"))
-        .where((F.col("__n") % 2 == 1) & long_enough(match))
-        .withColumn("__before", F.array_join(F.slice("__matches", F.lit(1), F.col("__n")), ""))
-        .where((start >= F.col(own_cols[0])) & (start < F.col(own_cols[1])))
+        placed.withColumn("__m", F.explode_outer("__found"))
+        .where((start >= F.col(own_cols[0])) & (start < F.col(own_cols[1])) & long_enough(F.col("__m.match")))
         .select(
             *id_cols,
             "group",
             "rule_name",
-            "match",
-            F.when((F.col("__left") <= 0) & (F.col("__right") <= 0), match).otherwise(around).alias("context"),
+            "__m.match",
+            "__m.context",
             (offset + start).cast("long").alias("position"),
-            (line + count_newlines(before)).alias("line_number"),
+            (line + F.col("__m.lines")).alias("line_number"),
             "sensitive",
         )
         .select(*id_cols, *FINDING_COLUMNS)
     )
 
 
+def scan_large(
+    texts: DataFrame,
+    rules: DataFrame | list[dict],
+    id_cols: list[str],
+    text_col: str = "text",
+    *,
+    threshold_mb: float = DEFAULT_THRESHOLD_MB,
+    chunk_bytes: int = CHUNK_BYTES,
+    overlap: int = OVERLAP_BYTES,
+    spread_chunks: bool = False,
+) -> DataFrame:
+    """Findings of the whole texts, each match at its own place, though large texts are scanned in chunks.
+
+    Chunks overlap and are scanned by themselves. Where no match of a rule runs
+    over an end of a chunk's own bytes, seen from either side, matching goes on
+    there as it would in the whole text. Where one does, what comes behind it
+    depends on where it ends, through any number of chunks: such a rule is
+    matched again over that whole text, and only there. Matches, and what they
+    look at around them, must not reach further than ``overlap``. Texts that
+    share their ids are taken together; null ids are ids.
+    """
+    pack = rules if isinstance(rules, list) else prepare(rules)
+    own, key = ("own_from", "own_to"), F.xxhash64(*id_cols)
+    plain = texts.select(*id_cols, text_col).withColumn(text_col, F.translate(text_col, _SET_OFF, _INSTEAD))
+    pieces = chunk_texts(
+        plain, id_cols, text_col, threshold_mb=threshold_mb, chunk_bytes=chunk_bytes, overlap=overlap, spread_chunks=spread_chunks
+    )
+    base = pieces.select(*id_cols, "start_offset", "start_line", *own, "text")
+    if not pack:
+        return _own(_placed(_no_matches(base).withColumn("__rule", F.lit(0)), "text", own), id_cols, "start_offset", "start_line", own)
+    placed = _placed(_exact(base, pack, "text"), "text", own).drop("text")
+    placed = materialise(placed.withColumn("__key", key), "chunks")
+    broken = materialise(placed.where("__over").groupBy("__key").agg(F.array_sort(F.collect_set("__rule")).alias("__only")), "broken")
+    broken_rules = broken.select("__key", F.explode("__only").alias("__rule"))
+    sound = placed.join(broken_rules, ["__key", "__rule"], "left_anti")
+    again = (
+        plain.withColumn("__key", key)
+        .join(broadcast_if_small(broken), "__key")
+        .drop("__key")
+        .withColumns({"own_from": F.lit(0), "own_to": F.octet_length(text_col)})
+    )
+    whole = _placed(_exact(again, pack, text_col, "__only"), text_col, own)
+    return _own(sound, id_cols, "start_offset", "start_line", own).unionByName(_own(whole, id_cols, None, None, own))
+
+
+def _exact(base: DataFrame, pack: list[dict], text_col: str, only_col: str | None = None) -> DataFrame:
+    """Texts cut at their matches, by rule (``__rule``); with ``only_col`` only for the rules it lists."""
+    blocks = range(0, len(pack), MAX_UNROLLED)
+    return reduce(
+        DataFrame.unionByName, [_unrolled(base, pack[i : i + MAX_UNROLLED], text_col, True, only_col, i) for i in blocks]
+    )
+
+
 def _locate(
     matches: DataFrame,
     id_cols: list[str],

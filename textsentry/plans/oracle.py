@@ -180,7 +180,7 @@ def _chunked() -> str:
     """Every match of the whole text at its own place; where the text was cut must not show."""
     mark = "chr(64976)"
     selects = []
-    for r in _rules(None):
+    for r in [*_rules(None), {**q.TILE, "group": "Layout", "width": 0}]:
         pattern = _unicode(r["f_regex"]) if r["engine"] == "nfa" else r["f_regex"]
         cut = f"string_split(regexp_replace(text, {s('(?mi)' + pattern)}, {mark} || '\\0' || {mark}, 'g'), {mark})"
         selects.append(

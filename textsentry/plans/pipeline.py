@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textsentry.operators import findings as post
 from textsentry.operators import sinks, stats
-from textsentry.operators.scan import prepare, scan
+from textsentry.operators.scan import prepare, scan, scan_large
 from textsentry.operators.validation import self_test, self_test_summary
 from textsentry.session import materialise, spread
 from textsentry.sources import chunks, files
@@ -46,21 +46,15 @@ def scan_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """Findings and per-file errors of binaryFile rows.
 
-    With ``chunk_threshold_mb`` larger texts are scanned in overlapping pieces,
-    which finds the same matches, at their own places, as long as they are
-    shorter than the overlap.
+    With ``chunk_threshold_mb`` larger texts are scanned in overlapping chunks,
+    which finds the matches of the whole text, at their own places.
     """
     decoded = files.decode_text(rows.select("path", "content"), charsets=charsets)
-    pieces = chunks.chunk_texts(
-        files.scannable(decoded),
-        ["path"],
-        threshold_mb=chunk_threshold_mb,
-        chunk_bytes=chunk_bytes,
-    )
-    own = ("own_from", "own_to") if chunk_threshold_mb > 0 else None
-    found = scan(
-        pieces, rules, ["path"], offset_col="start_offset", line_col="start_line", own_cols=own
-    )
+    texts = files.scannable(decoded)
+    if chunk_threshold_mb > 0:
+        found = scan_large(texts, rules, ["path"], threshold_mb=chunk_threshold_mb, chunk_bytes=chunk_bytes)
+    else:
+        found = scan(texts, rules, ["path"])
     return found, files.scan_errors(decoded, ["path"])
 
 

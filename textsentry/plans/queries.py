@@ -13,12 +13,12 @@ from textsentry.functions import regex, text
 from textsentry.operators import findings as post
 from textsentry.operators import rules as ruleops
 from textsentry.operators import sinks, stats, validation
-from textsentry.operators.scan import long_enough, prepare, scan
+from textsentry.operators.scan import long_enough, prepare, scan, scan_large
 from textsentry.plans.catalogue import nested_catalogue, part_catalogue
 from textsentry.plans.pipeline import scan_table, scan_tree
 from textsentry.schemas import FINDING_COLUMNS, FINDING_FIELDS
 from textsentry.session import spread, work_path
-from textsentry.sources import chunks, files
+from textsentry.sources import files
 from textsentry.sources.catalogue import catalogue_frame, flatten_catalogue
 from textsentry.sources.packs import default_rules
 from textsentry.streaming.incremental import read_stream_output, resume_scan, stream_scan, stream_table
@@ -46,6 +46,7 @@ SIZE_LIMIT_MB = 0.002
 CHUNK_THRESHOLD_MB = 4 / 1024
 CHUNK_BYTES = 2048
 CHUNK_OVERLAP = 1024
+TILE = {"name": "Tile", "f_regex": r"[^\n]{48}", "engine": "go", "sensitive": False}
 PAGES_PER_FILE = 25
 EXCLUDED_EXTENSIONS = ["html", ".PHP"]
 EXCLUDED_PATHS = ["/en/", "blog."]
@@ -129,22 +130,19 @@ def scan_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in chunks, also by a rule whose matches lie side by side through the whole text."""
     texts = spread(documents(spark, sf_dir).select("doc_id", "text"))
-    pieces = chunks.chunk_texts(
+    rule = {**TILE, "loaded": True, "context_left": 0, "context_right": 0}
+    document = {"rules": [{"group": "Layout", "rule": [rule]}]}
+    tiles = prepare(flatten_catalogue(catalogue_frame(spark, document)))
+    return scan_large(
         texts,
+        [*full_pack(spark), *tiles],
         ["doc_id"],
         threshold_mb=CHUNK_THRESHOLD_MB,
         chunk_bytes=CHUNK_BYTES,
         overlap=CHUNK_OVERLAP,
     )
-    return scan(
-        pieces,
-        full_pack(spark),
-        ["doc_id"],
-        offset_col="start_offset",
-        line_col="start_line",
-        own_cols=("own_from", "own_to"),
-    )
 
 
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
