@@ -234,17 +234,18 @@ def _placed(matches: DataFrame, text_col: str, own_cols: tuple[str, str]) -> Dat
             F.when(bare, match).otherwise(around).alias("context"),
         )
 
-    at = matches.withColumn("__starts", running_totals(sizes)).withColumn(
-        "__lines", running_totals(F.transform(cut, count_newlines))
+    # Entries are walked, not looked up by number: a lookup would work out all totals for each.
+    totals = F.arrays_zip(
+        cut.alias("m"), running_totals(sizes).alias("s"), running_totals(F.transform(cut, count_newlines)).alias("l")
     )
-    odd = F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2))
-    found = F.transform(odd, lambda i: place(F.get(cut, i), F.get("__starts", i), F.get("__lines", i)))
+    found = F.transform(F.filter(totals, lambda x, i: i % 2 == 1), lambda x: place(x["m"], x["s"], x["l"]))
 
-    def over(edge: Column):
-        return lambda m: (m["start"] < edge) & (edge < m["start"] + F.octet_length(m["match"]))
+    def over(m: Column) -> Column:
+        end = m["start"] + F.octet_length(m["match"])
+        return ((m["start"] < first) & (first < end)) | ((m["start"] < last) & (last < end))
 
-    kept = at.withColumn("__found", found).drop("__starts", "__lines", "__matches")
-    return kept.withColumn("__over", F.exists("__found", over(first)) | F.exists("__found", over(last)))
+    kept = matches.withColumn("__found", found).drop("__matches")
+    return kept.withColumn("__over", F.exists("__found", over))
 
 
 def _own(

@@ -58,6 +58,12 @@ def full_pack(spark: SparkSession) -> list[dict]:
     return prepare(default_rules(spark, extended=True))
 
 
+@lru_cache(maxsize=8)
+def tile_pack(spark: SparkSession) -> list[dict]:
+    rule = {**TILE, "loaded": True, "context_left": 0, "context_right": 0}
+    return prepare(flatten_catalogue(catalogue_frame(spark, {"rules": [{"group": "Layout", "rule": [rule]}]})))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -132,12 +138,9 @@ def scan_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in chunks, also by a rule whose matches lie side by side through the whole text."""
     texts = spread(documents(spark, sf_dir).select("doc_id", "text"))
-    rule = {**TILE, "loaded": True, "context_left": 0, "context_right": 0}
-    document = {"rules": [{"group": "Layout", "rule": [rule]}]}
-    tiles = prepare(flatten_catalogue(catalogue_frame(spark, document)))
     return scan_large(
         texts,
-        [*full_pack(spark), *tiles],
+        [*full_pack(spark), *tile_pack(spark)],
         ["doc_id"],
         threshold_mb=CHUNK_THRESHOLD_MB,
         chunk_bytes=CHUNK_BYTES,
