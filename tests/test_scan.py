@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from textsentry import compile_rules, default_rules, scan, select_rules
+from textsentry import compile_rules, default_rules, register_scan, scan, select_rules
 from textsentry.functions import regex
 from textsentry.operators.rules import RuleError, rule_pack
 from textsentry.operators.scan import prepare
@@ -257,6 +257,25 @@ def test_extended_detectors_take_whole_matches(spark, texts, name, text, match):
     assert (name, match) in found(df, "rule_name", "match")
 
 
+def test_a_pack_as_a_sql_function(spark, texts, make_rules):
+    """The same findings as the scan's, quotes and backslashes in rules and texts included."""
+    rules = make_rules(
+        ("It's", [
+            {"name": "Q'uote", "f_regex": r"'[^'\\]{6,9}'", "loaded": True, "engine": "nfa", "sensitive": True, "context_left": 3, "context_right": 2},
+            {"name": "Word", "f_regex": r"secret\d\d", "loaded": True, "engine": "go", "sensitive": False},
+        ])
+    )
+    pack = prepare(rules)
+    df = texts("é'abc def'\nsecret11 SECRET22 secret11", None, "", "日'secret33'", "short 'ab'")
+    register_scan(spark, pack, "find_them")
+    df.createOrReplaceTempView("sql_texts")
+    got = spark.sql("SELECT id, inline(found) FROM (SELECT id, find_them(text) AS found FROM sql_texts)").collect()
+    want = scan(df, pack, ["id"]).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) >= 5
+    with pytest.raises(RuleError, match="1 to"):
+        register_scan(spark, [])
+
+
 def test_spread_goes_by_splits(spark, tmp_path):
     from textsentry.session import spread
 

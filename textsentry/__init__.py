@@ -2,6 +2,7 @@
 
 from textsentry.operators.rules import RuleError, compile_rules, select_rules
 from textsentry.operators.scan import prepare, scan, scan_large
+from textsentry.operators.sqlfunction import register_scan
 from textsentry.operators.validation import require_valid, self_test, validate
 from textsentry.plans.pipeline import (
     Output,
@@ -25,6 +26,7 @@ __all__ = [
     "load_rules",
     "prepare",
     "process_results",
+    "register_scan",
     "require_valid",
     "resume_scan",
     "rule_report",

@@ -265,6 +265,7 @@ def statements() -> dict[str, str]:
         "scan_joined": _doc_core(),
         "scan_fallback": _scan(_DOCS, ["doc_id"], [_PHONE]),
         "scan_union": _scan(_union(), ["source", "id"], _rules(None)),
+        "scan_sql": _doc_full(),
         "chunked_scan": _chunked(),
         "match_any": f"SELECT doc_id, regexp_matches(text, {_EMAIL}) AS hit FROM documents",
         "match_first": f"""WITH m AS (SELECT doc_id, text, regexp_extract(text, {_EMAIL}) AS match

@@ -14,6 +14,7 @@ from textsentry.operators import findings as post
 from textsentry.operators import rules as ruleops
 from textsentry.operators import sinks, stats, validation
 from textsentry.operators.scan import long_enough, prepare, scan, scan_large
+from textsentry.operators.sqlfunction import register_scan
 from textsentry.plans.catalogue import nested_catalogue, part_catalogue
 from textsentry.plans.pipeline import scan_table, scan_tree
 from textsentry.schemas import FINDING_COLUMNS, FINDING_FIELDS
@@ -93,6 +94,17 @@ def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pack as a SQL function, called in a statement."""
+    register_scan(spark, full_pack(spark), "scan_text")
+    spread(documents(spark, sf_dir).select("doc_id", "text")).createOrReplaceTempView("scanned_documents")
+    return spark.sql(
+        """SELECT doc_id, f.* FROM (SELECT doc_id, explode_outer(found) AS f
+             FROM (SELECT doc_id, scan_text(text) AS found FROM scanned_documents))
+           WHERE f IS NOT NULL"""
+    )
+
+
 def scan_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shipped default pack, sensitive rules only."""
     return scan_table(
@@ -536,6 +548,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_documents": scan_documents,
     "scan_pages": scan_pages,
     "scan_conversations": scan_conversations,
+    "scan_sql": scan_sql,
     "scan_sensitive": scan_sensitive,
     "scan_joined": scan_joined,
     "scan_fallback": scan_fallback,
