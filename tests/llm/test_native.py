@@ -192,3 +192,48 @@ def test_rows_are_taken_one_by_one(documents):
         assert mixing.take_mix(documents(rows), share=0.5).count() == 20
     two = [(1, "a b c d", "en", "src1")] * 10 + [(1, "a b c d", "en", "src2")] * 10
     assert Counter(r.source for r in mixing.take_mix(documents(two), share=0.5).collect()) == {"src1": 5, "src2": 5}
+
+
+def _fullest(monkeypatch, module):
+    """Rows of the fullest window partition each running total of ``module`` makes."""
+    seen = []
+    plain = module.running_total
+
+    def measured(df, groups, bucket, *rest):
+        seen.append(df.groupBy(*groups, bucket).count().agg(F.max("count")).first()[0])
+        return plain(df, groups, bucket, *rest)
+
+    monkeypatch.setattr(module, "running_total", measured)
+    return seen
+
+
+@pytest.mark.parametrize("kind", ["null ids", "one id, one text", "single-row sources", "null ids in single-row sources"])
+def test_sharding_splits_hot_buckets(spark, monkeypatch, kind):
+    seen = _fullest(monkeypatch, sharding)
+    n = 40_000
+    docs = spark.range(n).select(
+        (F.col("id") if kind == "single-row sources" else F.lit(7 if "one id" in kind else None)).cast("long").alias("doc_id"),
+        F.concat(F.lit("text "), F.lit("") if "one text" in kind else F.col("id")).alias("text"),
+        (F.col("id").cast("string") if "single-row" in kind else F.lit("src")).alias("source"),
+    )
+    out = sharding.shard_documents(docs).groupBy("shard").agg(
+        F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")
+    )
+    rows = out.collect()
+    assert len(rows) == 16 and all(r["n"] == r["slots"] == r["last"] + 1 == n // 16 for r in rows)
+    assert max(seen) < 6_000
+
+
+def test_mixing_splits_hot_buckets(spark):
+    n = 30_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 != 0, F.col("id")).alias("id"), F.lit("d").alias("domain"), F.lit("en").alias("lang"),
+        F.lit("s").alias("source"), F.lit(2).cast("long").alias("t"),
+    )
+    out = mixing.mix(rows, "id", "t", share=0.5, epochs=1)
+    sums = out.agg(F.count("*").alias("n"), F.countDistinct("cum_tokens").alias("places"), F.max("cum_tokens").alias("last")).first()
+    assert (sums["n"], sums["places"], sums["last"]) == (n // 2, n // 2, n)
+    held = out.where("id IS NULL").count()
+    assert 0 <= held <= n // 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not PYTHON.search(plan)

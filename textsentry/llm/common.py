@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textsentry.session import broadcast_if_small, materialise
+
 # Rows a bucket of a running total holds on average; a stratum with few rows fills its buckets less.
 BUCKET_ROWS = 4096
 STRATUM_ROWS = 1024
@@ -26,9 +29,50 @@ def bucket_count(rows: int, each: int = BUCKET_ROWS) -> int:
     return max(16, -(-rows // each))
 
 
-def hex_bucket(key: Column, buckets: int) -> Column:
+def hex_bucket(key: Column, buckets: int | Column) -> Column:
     """The bucket of a hex key; buckets are in key order and about equally full."""
-    return F.floor(F.conv(F.substring(key, 1, 12), 16, 10).cast("long") * F.lit(buckets) / F.lit(float(16**12)))
+    number = F.lit(buckets) if isinstance(buckets, int) else buckets
+    return F.floor(F.conv(F.substring(key, 1, 12), 16, 10).cast("long") * number / F.lit(float(16**12)))
+
+
+def salt_repeats(rows: DataFrame, id_col: str, each: int = STRATUM_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a ``_salt``, and the ids that more than ``each`` rows have (``_hot``, ``_parts``).
+
+    Rows of one id share a key and so a bucket; the salt tells them apart. It is
+    written down with the rows, so that a task run again sees the same one; a
+    table without such an id is not written. Of ``each`` rows one id at most is listed.
+    """
+    counts = rows.groupBy(F.col(id_col).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > each)
+    hot = materialise(counts.select("_hot", F.ceil(F.col("_n") / each).alias("_parts")), "hot")
+    if hot.isEmpty():
+        return rows.withColumn("_salt", F.lit(0).cast("long")), hot
+    return materialise(rows.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())), "salted"), hot
+
+
+def split_bucket(
+    df: DataFrame, bucket: str, value: str, hot: DataFrame, part: Callable[[Column], Column], out: str
+) -> DataFrame:
+    """Split ``bucket`` around and within the values that too many rows share.
+
+    ``hot`` lists them: ``_bucket``, ``_value``, ``_parts``. ``bucket`` becomes three
+    numbers that rise with ``value`` and ``out``: itself, the place among its hot
+    values, and ``out``, which is ``part(parts)`` for a hot value and 0 for others.
+    """
+    hot = hot.groupBy("_bucket", "_value").agg(F.max("_parts").alias("_parts"))
+    lists = hot.groupBy("_bucket").agg(F.array_sort(F.collect_list(F.struct("_value", "_parts"))).alias("_hots"))
+    own = F.filter("_hots", lambda h: h["_value"] == F.col(value))
+    below = F.size(F.filter("_hots", lambda h: h["_value"] < F.col(value)))
+    marked = df.join(broadcast_if_small(lists), df[bucket] == F.col("_bucket"), "left")
+    marked = marked.withColumn(
+        "_own", F.coalesce(F.aggregate(own, F.lit(0).cast("long"), lambda a, h: h["_parts"]), F.lit(0))
+    )
+    number = F.when(F.col("_own") > 0, part(F.col("_own"))).otherwise(F.lit(0)).cast("long")
+    place = F.when(F.col("_hots").isNull(), 0).otherwise(2 * below) + (F.col("_own") > 0).cast("int")
+    return (
+        marked.withColumn(out, number)
+        .withColumn(bucket, F.struct(F.col(bucket).alias("b"), place.alias("p"), F.col(out).alias("s")))
+        .drop("_hots", "_own", "_bucket")
+    )
 
 
 def null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:

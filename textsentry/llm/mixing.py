@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsentry.llm.common import STRATUM_ROWS, bucket_count, hex_bucket, seeded_key
+from textsentry.llm.common import STRATUM_ROWS, bucket_count, hex_bucket, salt_repeats, seeded_key, split_bucket
 from textsentry.session import materialise
 
 TREE = ("domain", "lang", "source")
@@ -128,16 +128,23 @@ def mix(
     without tokens cost nothing and come with the prefix they fall in, but a leaf
     without any takes none. Repeated
     rows are taken or left one by one. No rows give no rows. Leaves may hold
-    any share of the rows: they are ranked in buckets.
+    any share of the rows: they are ranked in buckets, and so may one id, null
+    included, whose rows come at random.
     """
     tree = list(tree)
-    buckets = bucket_count(rows.count(), STRATUM_ROWS)
     rows = rows.select(F.col(id_col).alias("_id"), *tree, F.coalesce(F.col(tokens), F.lit(0)).alias("_tokens"))
-    keyed = (
-        rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-        .withColumn("_key", seeded_key(seed, F.col("epoch"), F.col("_id")))
-        .withColumn("_kb", hex_bucket(F.col("_key"), buckets))
-    )
+    rows, hot = salt_repeats(rows, "_id")
+    buckets = bucket_count(rows.count(), STRATUM_ROWS)
+
+    def keys(df: DataFrame, name: str) -> DataFrame:
+        read = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+        keyed = read.withColumn("_key", seeded_key(seed, F.col("epoch"), F.col(name)))
+        return keyed.withColumn("_kb", hex_bucket(F.col("_key"), buckets))
+
+    keyed = keys(rows, "_id").withColumn("_part", F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        listed = keys(hot, "_hot").select(F.col("_kb").alias("_bucket"), F.col("_key").alias("_value"), "_parts")
+        keyed = split_bucket(keyed, "_kb", "_key", listed, lambda n: F.pmod(F.col("_salt"), n), "_part")
     at = [*tree, "epoch", "_kb"]
     before = Window.partitionBy(*tree, "epoch").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
     sums = keyed.groupBy(*at).agg(F.sum("_tokens").alias("_sum"))
@@ -155,7 +162,7 @@ def mix(
         .select(*[F.col(a).alias(f"_b_{a}") for a in at], "_before", "_left", F.col("budget").alias("leaf_budget"))
     )
     on = reduce(lambda a, x: a & x, [F.col(a).eqNullSafe(F.col(f"_b_{a}")) for a in at])
-    inside = Window.partitionBy(*at).orderBy("_key", "_id", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*at).orderBy("_key", "_part", "_id", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
     return (
         keyed.join(open_buckets, on)
         .withColumn("cum_tokens", F.col("_before") + F.sum("_tokens").over(inside))

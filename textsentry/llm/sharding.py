@@ -6,7 +6,9 @@ fraction is cut into runs whose lengths differ by one at most. Every run then
 holds each stratum in its share of the whole, to within a row or so.
 
 Both ranks come from running totals over key buckets, so neither a stratum
-with a third of all rows nor the table as a whole is sorted in one task.
+with a third of all rows nor the table as a whole is sorted in one task. An id
+that many rows share (null, say) has one key, and rows of small strata share few
+fractions: the buckets of such keys and fractions are split again.
 """
 
 from __future__ import annotations
@@ -14,7 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsentry.llm.common import STRATUM_ROWS, bucket_count, hex_bucket, running_total, seeded_key
+from textsentry.llm.common import (
+    BUCKET_ROWS,
+    STRATUM_ROWS,
+    bucket_count,
+    hex_bucket,
+    running_total,
+    salt_repeats,
+    seeded_key,
+    split_bucket,
+)
 
 SHARDS = 16
 SEED = "shard"
@@ -25,31 +36,44 @@ def interleave(rows: DataFrame, stratum: str, id_col: str, seed: str = SEED, sha
 
     Null strata form one stratum, null ids sort as empty strings. Rows that
     agree in all columns are interchangeable; other ties are settled by the
-    remaining columns. No rows give no rows. The added columns replace columns
-    of the same name.
+    remaining columns, those of an id with more than ``STRATUM_ROWS`` rows at
+    random. No rows give no rows. The added columns replace columns of the same name.
     """
-    rows = rows.drop("shard", "slot")
+    names = [c for c in rows.columns if c not in ("shard", "slot")]
+    rows, hot = salt_repeats(rows.select(*names), id_col)
     total = rows.count()
     buckets = bucket_count(total)
-    ties = [c for c in rows.columns if c not in (stratum, id_col)]
-    keyed = (
-        rows.withColumn("_one", F.lit(1).cast("long"))
-        .withColumn("_key", seeded_key(seed, F.col(id_col)))
-        .withColumn("_kb", hex_bucket(F.col("_key"), bucket_count(total, STRATUM_ROWS)))
-    )
+    ties = [c for c in names if c not in (stratum, id_col)]
+
+    def keys(df: DataFrame, name: str) -> DataFrame:
+        keyed = df.withColumn("_key", seeded_key(seed, F.col(name)))
+        return keyed.withColumn("_kb", hex_bucket(F.col("_key"), bucket_count(total, STRATUM_ROWS)))
+
+    keyed = keys(rows.withColumn("_one", F.lit(1).cast("long")), id_col).withColumn("_part", F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        listed = keys(hot, "_hot").select(F.col("_kb").alias("_bucket"), F.col("_key").alias("_value"), "_parts")
+        keyed = split_bucket(keyed, "_kb", "_key", listed, lambda n: F.pmod(F.col("_salt"), n), "_part")
     sizes = rows.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = running_total(keyed, [stratum], "_kb", ["_key", id_col, *ties], "_one", "_rank")
+    ranked = running_total(keyed, [stratum], "_kb", ["_key", "_part", id_col, *ties], "_one", "_rank")
     placed = (
         ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")))
         .withColumn("_at", (F.col("_rank") - 0.5) / F.col("_size"))
         .withColumn("_ab", F.floor(F.col("_at") * buckets))
+        .withColumn("_nth", F.lit(0).cast("long"))
     )
-    cut = running_total(placed, [], "_ab", ["_at", "_key", stratum, id_col, *ties], "_one", "_pos")
+    # A fraction occurs once in a stratum at most, so few strata cannot fill a bucket with one.
+    if sizes.count() > BUCKET_ROWS:
+        shared = placed.groupBy(F.col("_ab").alias("_bucket"), F.col("_at").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+        shared = shared.where(F.col("_n") > BUCKET_ROWS).withColumn("_parts", F.ceil(F.col("_n") / BUCKET_ROWS)).drop("_n")
+        # Repeated ids share a key, too.
+        spread = F.col("_key") if hot.isEmpty() else seeded_key(seed, F.col("_key"), F.col(stratum), F.col("_salt"))
+        placed = split_bucket(placed, "_ab", "_at", shared, lambda n: hex_bucket(spread, n), "_nth")
+    cut = running_total(placed, [], "_ab", ["_at", "_nth", "_key", stratum, id_col, *ties], "_one", "_pos")
     shard = F.expr(f"(_pos - 1) * {shards}L div {max(total, 1)}L")
     return (
         cut.withColumn("shard", shard.cast("int"))
         .withColumn("slot", F.col("_pos") - 1 - F.expr(f"(shard * {max(total, 1)}L + {shards - 1}L) div {shards}L"))
-        .select(*rows.columns, "shard", "slot")
+        .select(*names, "shard", "slot")
     )
 
 
