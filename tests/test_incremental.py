@@ -6,7 +6,7 @@ from textsentry.streaming.incremental import ScanStore, read_stream_output, rule
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 def test_resume_scans_only_what_is_new(spark, tmp_path, texts, one_rule):
@@ -49,6 +49,7 @@ def test_interrupted_run_is_not_read(spark, tmp_path, texts, one_rule):
     assert rows(resume_scan(docs, pack, path, ["id"])) == rows(scan(docs, pack, ["id"]))
     store.clear()
     assert store.manifest(rules_hash(pack)).count() == 0
+    assert rows(resume_scan(docs, pack, path, ["id"])) == rows(scan(docs, pack, ["id"]))
 
 
 def test_joins_beyond_the_broadcast_limit_agree(tmp_path, texts, one_rule):
@@ -95,6 +96,53 @@ def test_streams_one_file_and_a_folder_alike(spark, tmp_path, texts, one_rule):
     assert got[0] == got[1] and len(got[0]) == 40
 
 
+def test_stream_and_batch_share_one_store(spark, tmp_path, texts, one_rule):
+    from textsentry.streaming.incremental import stored_findings, stream_to_store
+
+    pack = prepare(one_rule(r"secret\d+"))
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "store", "cp"))
+    schema = texts("x").schema
+
+    def manifest():
+        return spark.read.parquet(f"{path}/manifest")
+
+    def run(cp=checkpoint):
+        stream = spark.readStream.schema(schema).parquet(source)
+        stream_to_store(stream, pack, path, cp, ["id"]).awaitTermination()
+        return rows(stored_findings(spark, path, pack, texts("x"), ["id"]))
+
+    first = texts(*[f"secret{i}" for i in range(20)], "none", None)
+    first.repartition(4).write.parquet(source)
+    want = rows(scan(first, pack, ["id"]))
+    assert len(want) == 20 and run() == want and manifest().count() == 22
+    # The batch run finds everything done; it adds its own text, which the stream then skips.
+    more = first.union(spark.createDataFrame([(90, "secret90")], "id long, text string"))
+    assert rows(resume_scan(more, pack, path, ["id"])) == rows(scan(more, pack, ["id"]))
+    assert manifest().count() == 23
+    more.where("id = 90").write.mode("append").parquet(source)
+    want = rows(scan(more, pack, ["id"]))
+    assert run() == want and manifest().count() == 23
+    # Few findings make few files.
+    assert len(list((tmp_path / "store" / "findings").glob("run=*-0/part-*"))) == 1
+    # A replayed batch, its commit lost, with and without its manifest.
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert run() == want and manifest().count() == 23
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run_folder = next((tmp_path / "store" / "manifest").glob("run=*-1"))
+    (run_folder / "_SUCCESS").unlink()
+    assert run() == want and manifest().count() == 23
+    # Null ids and null texts are done like others.
+    odd = spark.createDataFrame([(None, "secret77"), (None, None), (78, None)], "id long, text string")
+    for _ in range(2):
+        assert rows(resume_scan(odd, pack, path, ["id"])) == rows(scan(odd, pack, ["id"]))
+        assert manifest().count() == 26
+    # A new checkpoint is another stream: its first batch is not taken for the old one's.
+    texts("secret1").selectExpr("id + 70 AS id", "text").write.mode("append").parquet(source)
+    assert len(run(str(tmp_path / "cp2"))) == 23
+
+
 def test_few_findings_make_few_files(spark, tmp_path, texts, one_rule):
     from textsentry.operators import sinks
 

@@ -107,6 +107,31 @@ def test_join_plan_equals_unrolled_plan(spark):
         scan(docs, pack, ["doc_id"], plan="other")
 
 
+def test_any_number_of_rules_reads_the_texts_once(spark, make_rules):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extended = default_rules(spark, extended=True)
+    many = [{"name": f"r{i}", "f_regex": f"secret{i:04d}", "loaded": True, "engine": "nfa"} for i in range(400)]
+    filler = compile_rules(make_rules(("Filler", many)), gates={r["f_regex"]: [f"secret{r['name'][1:].zfill(4)[:2]}"] for r in many})
+    pack = [*prepare(extended), *prepare(filler)]
+    df = scan(docs, pack, ["doc_id"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<doc_id:bigint,text:string>") == 1
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted(df.collect()) == sorted(scan(docs, extended, ["doc_id"]).collect())
+
+
+def test_gates_and_odd_letters_in_the_join_plan(spark, make_rules, texts):
+    rules = [
+        {"name": "gated", "f_regex": r"secret\d+", "loaded": True, "engine": "nfa"},
+        {"name": "free", "f_regex": r"number\d+", "loaded": True, "engine": "nfa"},
+    ]
+    pack = rule_pack(compile_rules(make_rules(("G", rules)), gates={r"secret\d+": ["secret", "ecre"]}))
+    docs = texts("SECRET12 number34", "\u017fecret56", "nothing", "", None, "number78")
+    joined = scan(docs, pack, ["id"], plan="join")
+    assert found(joined, "id", "match") == [(0, "SECRET12"), (0, "number34"), (1, "\u017fecret56"), (5, "number78")]
+    assert sorted(joined.collect()) == sorted(scan(docs, pack, ["id"]).collect())
+
+
 @pytest.mark.parametrize("n", [150, 400])
 def test_large_packs(make_rules, texts, n):
     rules = [{"name": f"r{i}", "f_regex": f"value{i:05d}", "loaded": True} for i in range(n)]

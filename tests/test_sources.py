@@ -209,3 +209,29 @@ def test_position_points_at_the_match(texts, one_rule, values):
 def test_sizes_of_table_texts(texts):
     small = files.limit_size(texts("é" * 10, "é" * 11), 20 / 1024 / 1024, F.octet_length("text"))
     assert [r["id"] for r in small.collect()] == [0]
+
+
+def test_charsets_without_a_mark(spark):
+    russian, chinese = "привет мир secret1\n", "密码在这里\n第二行"
+    cases = {
+        "le": ("é secret4 für".encode("utf-16-le"), "UTF-16LE"),
+        "be": ("é secret5 für".encode("utf-16-be"), "UTF-16BE"),
+        "russian le": (russian.encode("utf-16-le"), "UTF-16LE"),
+        "russian be": (russian.encode("utf-16-be"), "UTF-16BE"),
+        "chinese le": (chinese.encode("utf-16-le"), "UTF-16LE"),
+        "chinese be": (chinese.encode("utf-16-be"), "UTF-16BE"),
+        "emoji": ("a😀b 😀".encode("utf-16-le"), "UTF-16LE"),
+        "stray zero": (b"hello world\x00", "UTF-8"),
+        "odd length": (b"hello wo\x00rld\x00\x00", "UTF-8"),
+        "zeros": (b"\x00" * 6, "UTF-8"),
+        "latin": ("élève à l'école, été, garçon".encode("latin-1"), "ISO-8859-1"),
+        "gbk": ("密码在这里 secret".encode("gbk"), "GB18030"),
+        "utf8": ("élève 密码".encode(), "UTF-8"),
+        "empty": (b"", "UTF-8"),
+    }
+    names = {"UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be", "UTF-8": "utf-8", "ISO-8859-1": "latin-1", "GB18030": "gb18030"}
+    rows = spark.createDataFrame([(k, v[0]) for k, v in cases.items()] + [("null", None)], "path string, content binary")
+    got = {r["path"]: r for r in files.decode_text(rows, charsets=("GB18030", "ISO-8859-1")).collect()}
+    for name, (raw, charset) in cases.items():
+        assert (name, got[name]["charset"], got[name]["text"]) == (name, charset, raw.decode(names[charset]))
+    assert got["null"]["text"] is None

@@ -3,9 +3,9 @@
 The unrolled plan is one projection over the texts: an array with one
 ``regexp_extract_all`` per rule, exploded into matches. It needs no shuffle and
 no join, reads each text once and keeps every pattern a literal, compiled once.
-Packs of more than ``MAX_UNROLLED`` rules are unrolled block by block, and their
-findings put together. The join plan, which keeps the rules as rows of a
-broadcast table, is only used when asked for.
+Packs of more than ``MAX_UNROLLED`` rules take the join plan: an index from gate
+words to rules is looked up once per text, and the rules it names are joined by
+number from a broadcast table. The texts are read once, whatever the pack's size.
 
 Explodes are the *outer* kind on purpose: an inner one makes the optimizer test
 the array's size below the projection, which runs every regex twice.
@@ -88,7 +88,7 @@ def scan(
     preparing the same pack for every table. A table that is not compiled yet
     goes through ``select_rules`` and ``compile_rules`` first. ``offset_col`` and
     ``line_col`` name the byte offset and first line of each text inside a larger
-    one. ``plan`` is ``unrolled`` or ``join``.
+    one. ``plan`` is ``unrolled`` or ``join``; a pack too large to unroll is joined.
 
     ``own_cols`` names two columns of byte offsets: only matches that start
     between them are kept, and position, line and context are then those of the
@@ -97,19 +97,19 @@ def scan(
     pack = rules if isinstance(rules, list) else prepare(rules)
     exact = own_cols is not None
     if exact:
-        plan = "unrolled"
         texts = texts.withColumn(text_col, F.translate(text_col, _SET_OFF, _INSTEAD))
     keep = list(dict.fromkeys(c for c in (*id_cols, text_col, offset_col, line_col, *(own_cols or ())) if c))
     base = texts.select(*keep)
     if not pack:
         matches = _no_matches(base)
-    elif plan == "unrolled":
-        blocks = [pack[i : i + MAX_UNROLLED] for i in range(0, len(pack), MAX_UNROLLED)]
-        matches = reduce(DataFrame.unionByName, [_unrolled(base, block, text_col, exact) for block in blocks])
-    elif plan == "join":
-        matches = _joined(base, pack, text_col)
-    else:
+    elif plan not in ("unrolled", "join"):
         raise ValueError(f"unknown plan {plan!r}")
+    elif exact:
+        matches = _exact(base, pack, text_col)
+    elif plan == "unrolled" and len(pack) <= MAX_UNROLLED:
+        matches = _unrolled(base, pack, text_col)
+    else:
+        matches = _joined(base, pack, text_col)
     if own_cols:
         return _own(_placed(matches, text_col, own_cols), id_cols, offset_col, line_col, own_cols)
     return _locate(matches, id_cols, text_col, offset_col, line_col)
@@ -176,29 +176,40 @@ def _unrolled(
     )
 
 
+def _named_rules(pack: list[dict]) -> Column:
+    """The numbers of the rules that may match a text: those without a gate, and those a gate word names."""
+    index: dict[str, list[int]] = {}
+    for number, rule in enumerate(pack):
+        for word in rule["keyword_gate"] or []:
+            index.setdefault(word, []).append(number)
+    entries = F.from_json(
+        F.lit(json.dumps([{"word": word, "rules": rules} for word, rules in index.items()])),
+        "array<struct<word:string,rules:array<int>>>",
+    )
+    always = [number for number, rule in enumerate(pack) if not rule["keyword_gate"]]
+    free = F.from_json(F.lit(json.dumps(always)), "array<int>")
+    held = F.filter(entries, lambda e: F.contains(F.col("__lower"), e["word"]))
+    named = F.array_distinct(F.concat(free, F.flatten(F.transform(held, lambda e: e["rules"]))))
+    return F.when(F.col("__odd"), F.sequence(F.lit(0), F.lit(len(pack) - 1))).otherwise(named)
+
+
 def _joined(base: DataFrame, pack: list[dict], text_col: str) -> DataFrame:
     spark = base.sparkSession
-    rows = [
-        (r["pattern"], r["keyword_gate"], *(r[field] for field in _ATTRIBUTES))
-        for r in pack
-    ]
+    rows = [(i, r["pattern"], r["filter"], *(r[field] for field in _ATTRIBUTES)) for i, r in enumerate(pack)]
     schema = (
-        "__pattern string, __gate array<string>, `group` string, rule_name string, "
+        "__rule int, __pattern string, __filter string, `group` string, rule_name string, "
         "__left int, __right int, sensitive boolean"
     )
     # The pack is at most MAX_RULES rows.
     table = F.broadcast(spark.createDataFrame(rows, schema))
     text = F.col(text_col)
-    gate = (
-        F.col("__gate").isNull()
-        | F.col("__odd")
-        | F.exists("__gate", lambda word: F.contains(F.col("__lower"), word))
-    )
+    sieve = F.col("__filter").isNull() | F.rlike(text, F.concat(F.lit(JAVA_FLAGS), F.col("__filter")))
     # The one-element explode keeps the size test from moving the regex into a filter.
-    matches = F.array(F.regexp_extract_all(text, F.col("__pattern"), F.lit(0)))
+    matches = F.array(F.when(sieve, F.regexp_extract_all(text, F.col("__pattern"), F.lit(0))))
     return (
         _with_case_columns(base, text_col)
-        .join(table, gate)
+        .select(*base.columns, F.explode_outer(_named_rules(pack)).alias("__rule"))
+        .join(table, "__rule")
         .select(
             *base.columns,
             F.explode_outer(matches).alias("__matches"),

@@ -113,7 +113,7 @@ def scan_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join plan: rules as a broadcast table."""
+    """The join plan: texts look up which rules may match and join them by number."""
     texts = spread(documents(spark, sf_dir).select("doc_id", "text"))
     return scan(texts, full_pack(spark), ["doc_id"], plan="join")
 

@@ -16,6 +16,8 @@ DEFAULT_CHARSETS = ("GB18030",)
 
 # Byte order marks as hex digits, and what follows them.
 _MARKS = {"EFBBBF": "UTF-8", "FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
+# How the names of charsets with one byte a character start.
+_ONE_BYTE = ("ISO-8859-", "WINDOWS-125", "KOI8-", "CP125", "IBM8")
 _REPLACEMENT = "�"
 _DECODE_SETTINGS = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
 
@@ -97,13 +99,51 @@ def java_charsets(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+def _unmarked(content: Column) -> tuple[Column, Column]:
+    """Name and text of UTF-16 without a mark, null where the bytes do not look like it.
+
+    Text in UTF-16 has zero bytes, be it for line ends and blanks only, all on one
+    side of their units. Both readings are made where there is a zero byte; the one
+    with more ASCII letters, signs and blanks is taken if it is sound and holds no
+    zero character. Bytes that are valid UTF-8 must read as control characters there
+    by a quarter at least, as in plain text a stray zero byte is no second charset.
+    """
+    zero = F.contains(content, F.lit(b"\x00")) & (F.octet_length(content) % 2 == 0)
+    plain = F.try_validate_utf8(content.cast("string"))
+    controls = F.regexp_count(plain, F.lit(r"[\x00-\x08\x0E-\x1F]"))
+    likely = F.when(zero & (plain.isNull() | (4 * controls >= F.octet_length(content))), content)
+    readings = {name: F.decode(likely, name) for name in ("UTF-16LE", "UTF-16BE")}
+    ascii_count = {name: F.regexp_count(text, F.lit(r"[\t\n\r -~]")) for name, text in readings.items()}
+    little, big = ascii_count["UTF-16LE"], ascii_count["UTF-16BE"]
+    name = F.when(little > big, "UTF-16LE").when(big > little, "UTF-16BE")
+    text = F.when(little > big, readings["UTF-16LE"]).when(big > little, readings["UTF-16BE"])
+    sound = ~F.contains(text, F.lit(_REPLACEMENT)) & ~F.contains(text, F.lit("\x00"))
+    return F.when(sound, name), F.when(sound, text)
+
+
+def _single_bytes(content: Column) -> Column:
+    """Whether bytes above 127 mostly stand alone, as accented letters of a one-byte charset do.
+
+    In multi-byte charsets they come in pairs.
+    """
+    letters = F.decode(content, "ISO-8859-1")
+    alone = F.regexp_count(letters, F.lit("(?<![\x80-\xff])[\x80-\xff](?![\x80-\xff])"))
+    return alone > F.regexp_count(letters, F.lit("[\x80-\xff]{2}"))
+
+
+def _one_byte(charset: str) -> bool:
+    return charset.upper().startswith(_ONE_BYTE)
+
+
 def decode_text(
     files: DataFrame,
     content_col: str = "content",
     charsets: tuple[str, ...] = DEFAULT_CHARSETS,
 ) -> DataFrame:
-    """Add ``text`` and ``charset``: by the byte order mark if there is one, else UTF-8 when valid,
-    else the first charset that fits, else null. The mark is not part of the text.
+    """Add ``text`` and ``charset``: by the byte order mark if there is one, else UTF-16 if the bytes
+    look like it (:func:`_unmarked`), else UTF-8 when valid, else the first charset that fits, else
+    null. Where bytes above 127 mostly stand alone, charsets of one byte a character are tried before
+    the others. The mark is not part of the text.
     """
     content = F.col(content_col)
     with java_charsets(files.sparkSession):
@@ -115,17 +155,22 @@ def decode_text(
             here = mark.startswith(digits)
             named = F.when(here, name).otherwise(named)
             marked = F.when(here, F.decode(body, name)).otherwise(marked)
+        guess, guessed = _unmarked(F.when(F.col("__mark").isNull(), content))
         out = files.withColumn("__mark", named).withColumn("__marked", marked)
+        out = out.withColumn("__guess", guess).withColumn("__guessed", guessed)
         sound = F.when(~F.contains("__marked", F.lit(_REPLACEMENT)), F.col("__marked"))
         plain = F.when(F.col("__mark").isNull(), F.try_validate_utf8(content.cast("string")))
-        out = out.withColumn("__utf8", F.coalesce(sound, plain))
+        out = out.withColumn("__utf8", F.coalesce(sound, "__guessed", plain))
+        charset = F.when(F.col("__utf8").isNotNull(), F.coalesce("__mark", "__guess", F.lit("UTF-8")))
+        # Each charset once, or, if both kinds are listed, twice: one-byte charsets first where they are likely.
+        chain = [(name, F.lit(True)) for name in charsets]
+        if len({_one_byte(name) for name in charsets}) > 1:
+            first = F.when(F.col("__utf8").isNull(), _single_bytes(content))
+            out = out.withColumn("__first", F.coalesce(first, F.lit(False)))
+            chain = [(name, F.col("__first")) for name in charsets if _one_byte(name)] + chain
         text = F.col("__utf8")
-        charset = F.when(text.isNotNull(), F.coalesce("__mark", F.lit("UTF-8")))
-        for i, name in enumerate(charsets):
-            out = out.withColumn(
-                f"__text{i}",
-                F.when(text.isNull(), F.decode(content, name)),
-            )
+        for i, (name, when) in enumerate(chain):
+            out = out.withColumn(f"__text{i}", F.when(text.isNull() & when, F.decode(content, name)))
             decoded = F.when(~F.contains(f"__text{i}", F.lit(_REPLACEMENT)), F.col(f"__text{i}"))
             charset = F.coalesce(charset, F.when(decoded.isNotNull(), name))
             text = F.coalesce(text, decoded)

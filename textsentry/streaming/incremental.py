@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,30 +72,33 @@ class ScanStore:
         stored = self._read("findings", self.finding_schema).where(F.col("rules_hash") == pack_hash)
         return stored.join(finished, "run", "left_semi")
 
-    def append(self, keys: DataFrame, findings: DataFrame) -> None:
-        run = uuid.uuid4().hex
+    def finished(self, run: str) -> bool:
+        """Whether a run has written all it found; the manifest comes last."""
+        return _exists(self.spark, f"{self.path}/manifest/run={run}/_SUCCESS")
+
+    def append(self, keys: DataFrame, findings: DataFrame, run: str) -> None:
+        """Write a run's findings, then its manifest; what an earlier try of the run left is replaced."""
         # Spark fixes the time once per query, so it is that of the run.
         keys = keys.withColumn("done_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
         for table, rows in (("findings", findings), ("manifest", keys)):
-            rows.hint("rebalance").withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(
-                f"{self.path}/{table}"
-            )
+            rows.hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/{table}/run={run}")
 
     def clear(self) -> None:
         """Forget everything, as after a complete scan that need not be resumed."""
-        for table, schema in (("findings", self.finding_schema), ("manifest", self.manifest_schema)):
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("overwrite").parquet(f"{self.path}/{table}")
+        for table in ("findings", "manifest"):
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _fingerprint(text_col: str) -> Column:
-    return F.sha2(F.col(text_col).cast("binary"), 256)
+    return F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit(""))
 
 
 def _keep(texts: DataFrame, keys: DataFrame, on: list[str], how: str, limit: int) -> DataFrame:
-    """Semi or anti join that broadcasts ``keys`` while they are small and shuffles otherwise."""
+    """Semi or anti join that broadcasts ``keys`` while they are small and shuffles otherwise; null ids are ids."""
     side = F.broadcast(keys) if estimated_bytes(keys) <= limit else keys
-    return texts.join(side, on, how)
+    side = side.select(*[F.col(c).alias(f"_k_{c}") for c in on])
+    return texts.join(side, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on]), how)
 
 
 def resume_scan(
@@ -112,19 +117,29 @@ def resume_scan(
     written down first. Whole texts are shuffled only if both the done and the
     open list are too large to broadcast.
     """
-    spark = texts.sparkSession
     pack = rules if isinstance(rules, list) else prepare(rules)
-    pack_hash = rules_hash(pack)
-    store = ScanStore(spark, store_path, texts, id_cols)
+    store = ScanStore(texts.sparkSession, store_path, texts, id_cols)
+    current = _scan_open(store, texts, pack, text_col, uuid.uuid4().hex, broadcast_limit)
+    known = store.findings(rules_hash(pack))
+    return _keep(known, current, [*id_cols, "text_sha2"], "left_semi", broadcast_limit).select(
+        *id_cols, *FINDING_FIELDS.fieldNames()
+    )
+
+
+def _scan_open(
+    store: ScanStore, texts: DataFrame, pack: list[dict], text_col: str, run: str, broadcast_limit: int
+) -> DataFrame:
+    """Scan what no other run of the store has finished, as ``run``; the keys of all ``texts``."""
+    pack_hash, id_cols = rules_hash(pack), store.id_cols
     key = [*id_cols, "text_sha2"]
     stamped = texts.select(*id_cols, text_col).withColumn("text_sha2", _fingerprint(text_col))
     # Whole texts are read twice at most: here for their keys, below to be scanned.
     current = materialise(stamped.select(*key).distinct(), "keys")
-    done = store.manifest(pack_hash).select(*key)
+    done = store.manifest(pack_hash).where(F.col("run") != run).select(*key)
     if done.isEmpty():
         todo, open_texts = current, stamped
     else:
-        todo = materialise(current.join(done, key, "left_anti"), "todo")
+        todo = materialise(_keep(current, done, key, "left_anti", broadcast_limit), "todo")
         if estimated_bytes(done) < estimated_bytes(todo):
             open_texts = _keep(stamped, done, key, "left_anti", broadcast_limit)
         else:
@@ -132,11 +147,8 @@ def resume_scan(
     pack_column = F.lit(pack_hash).alias("rules_hash")
     # The finding carries the hash of the very text it was found in.
     fresh = scan(open_texts, pack, key, text_col).select("*", pack_column)
-    store.append(todo.select(*key, pack_column), fresh)
-    known = store.findings(pack_hash)
-    return _keep(known, current, key, "left_semi", broadcast_limit).select(
-        *id_cols, *FINDING_FIELDS.fieldNames()
-    )
+    store.append(todo.select(*key, pack_column), fresh, run)
+    return current
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -177,5 +189,57 @@ def stream_scan(
     )
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a streaming query keeps over restarts, from its checkpoint."""
+    stored = spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata")
+    return stored.first()["id"]
+
+
+def stream_to_store(
+    stream: DataFrame,
+    rules: DataFrame | list[dict],
+    store_path: str,
+    checkpoint: str,
+    id_cols: list[str],
+    text_col: str = "text",
+    *,
+    broadcast_limit: int = BROADCAST_BYTES,
+) -> StreamingQuery:
+    """Scan a stream into the store :func:`resume_scan` uses, processing what is available now.
+
+    Each micro-batch is a run named by the query's id and the batch's number. A
+    batch that Spark runs again, because its commit was lost, is left alone if its
+    manifest is there and replaces its own findings if not: no finding is stored
+    twice. Texts any run or stream has finished with these rules are not scanned
+    again. Findings are rebalanced into few files; texts stay where they are
+    unless both id lists are too large to broadcast.
+    """
+    pack = rules if isinstance(rules, list) else prepare(rules)
+    schema = stream.select(*id_cols, text_col)
+
+    def scan_batch(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        store = ScanStore(spark, store_path, schema, id_cols)
+        run = f"{_stream_id(spark, checkpoint)}-{number}"
+        if not store.finished(run):
+            _scan_open(store, batch, pack, text_col, run, broadcast_limit)
+
+    return (
+        schema.writeStream.foreachBatch(scan_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stored_findings(
+    spark: SparkSession, store_path: str, rules: DataFrame | list[dict], texts: DataFrame, id_cols: list[str]
+) -> DataFrame:
+    """All findings the store holds for these rules; ``texts`` gives the types of the ids."""
+    pack = rules if isinstance(rules, list) else prepare(rules)
+    found = ScanStore(spark, store_path, texts, id_cols).findings(rules_hash(pack))
+    return found.select(*id_cols, *FINDING_FIELDS.fieldNames())
+
+
 def read_stream_output(spark: SparkSession, out_path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(out_path)
