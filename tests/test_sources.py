@@ -33,13 +33,18 @@ def test_tree_filters_and_guards(spark, tmp_path, one_rule):
 
     every, errors = matches()
     assert every == [f"secret0{i}" for i in range(1, 6)]
-    # Spark's file source leaves empty files out by itself.
-    assert errors == []
+    def named(rows):
+        return sorted((r["path"].rsplit("/", 1)[1], r["error"]) for r in rows)
+
+    # Spark's file source leaves empty files out; the listing has them.
+    assert named(errors) == [("empty.txt", "is empty")]
+    assert errors[0]["path"] == f"file:{tmp_path}/empty.txt"
+    assert matches(exclude_ext=["txt"])[1] == []
     assert matches(exclude_ext=["txt", ".MD"])[0] == ["secret03"]
     assert matches(exclude_path=["sub", "skip"])[0] == ["secret01", "secret05"]
     kept, errors = matches(limit_mb=1)
     assert kept == [f"secret0{i}" for i in range(1, 5)]
-    assert [(r["path"].rsplit("/", 1)[1], r["error"]) for r in errors] == [("big.txt", "is above the size limit")]
+    assert named(errors) == [("big.txt", "is above the size limit"), ("empty.txt", "is empty")]
     assert matches(limit_mb=0)[0] == every
     found, _ = scan_tree(spark, str(tmp_path / "sub"), rules, exclude_ext=["js"])
     row = found.first()
@@ -48,6 +53,30 @@ def test_tree_filters_and_guards(spark, tmp_path, one_rule):
         scan_tree(spark, str(tmp_path), rules, exclude_path=["/"])
 
 
+def test_listing_walks_every_folder_once(spark, tmp_path, monkeypatch):
+    from textsentry.sources import listing
+
+    want = []
+    for i in range(40):
+        folder = tmp_path / f"d{i % 7}" / f"e{i % 3}" / f"f={i}"
+        folder.mkdir(parents=True)
+        (folder / f"x{i}").write_bytes(b"x" * (i % 4))
+        want.append((f"file:{folder}/x{i}", i % 4, None))
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / ".hidden" / "x").write_bytes(b"x")
+    (tmp_path / "_log").write_bytes(b"x")
+    got = sorted(tuple(r) for r in listing.list_files(spark, str(tmp_path)).collect())
+    assert got == sorted(want)
+    # The driver opens folders until there are enough; the rest is walked by tasks.
+    parts = [p.value for p in listing._Reader([f"file:{tmp_path}"]).partitions()]
+    assert len(parts) >= listing.FOLDERS and {deep for _, deep in parts} == {True, False}
+    assert sorted(tuple(r) for r in listing.list_files(spark, f"{tmp_path}/d[01]").collect()) == sorted(
+        w for w in want if "/d0/" in w[0] or "/d1/" in w[0]
+    )
+    gone = list(listing._Reader([f"file:{tmp_path}/gone"]).read(listing.InputPartition((f"file:{tmp_path}/gone", True))))
+    assert gone == [(f"file:{tmp_path}/gone", None, "cannot be listed")]
+
+
 def test_size_limit_reaches_the_listing(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     plan = files.read_files(spark, str(tmp_path), limit_mb=5)._jdf.queryExecution().executedPlan().toString()

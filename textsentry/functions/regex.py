@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +100,54 @@ def match_groups(text: Column, pattern: Column, groups: int) -> Column:
     parts = [F.regexp_extract_all(text, pattern, F.lit(i)) for i in range(groups + 1)]
     zipped = F.arrays_zip(*parts).cast(f"array<struct<{fields}>>")
     return F.when(match_any(text, pattern), zipped)
+
+
+# What a pattern is cut into to find its groups: quoted text, escapes, classes, brackets, repeats.
+_TOKENS = re.compile(
+    r"\\Q.*?(?:\\E|\Z)|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|(?P<open>\((?!\?)|\(\?P?<[A-Za-z]\w*>)"
+    r"|(?P<plain>\()|(?P<close>\))(?P<repeat>(?:[*+]|\{\d+(?:,\d*)?\})[+?]?)?|.",
+    re.DOTALL,
+)
+_NAME = re.compile(r"\((?:\?P?<[A-Za-z]\w*>)")
+
+
+def repeated_part(pattern: str, group: int) -> tuple[str, str, int]:
+    """How to find all captures of a group within a repeat.
+
+    Returns the pattern with a group around the innermost repeat that holds
+    ``group`` (or is it), one round of that repeat, and how many groups come
+    before it. Backreferences are refused, as groups are renumbered.
+    """
+    if re.search(r"\\(?:[1-9]|k)|\(\?P=", pattern):
+        raise ValueError("a pattern with backreferences has no capture history")
+    stack, number, path = [], 0, None
+    loops = []
+    for token in _TOKENS.finditer(pattern):
+        if token["open"] or token["plain"]:
+            stack.append((token.start(), number))
+            number += bool(token["open"])
+            if token["open"] and number == group:
+                path = {start for start, _ in stack}
+        elif token["close"] and stack:
+            start, before = stack.pop()
+            if path is not None and start in path and token["repeat"]:
+                loops.append((start, token.end("close"), token.end(), before))
+    if not loops:
+        raise ValueError(f"group {group} of {pattern!r} is not repeated")
+    start, body, end, before = loops[0]
+    bare = _NAME.sub("(", pattern[start:body])
+    around = f"{_NAME.sub('(', pattern[:start])}({bare}{pattern[body:end]}){_NAME.sub('(', pattern[end:])}"
+    return around, bare, before
+
+
+def capture_history(match: Column, pattern: str, group: int = 1, flags: str = JAVA_FLAGS) -> Column:
+    """All captures of a repeated group in ``match``, in order, for a match of ``pattern``.
+
+    Java keeps the last capture only. The span of the repeat is cut out of the
+    match first; its rounds are then matched one by one, each from where the last
+    ended and so that the rest can still be filled with rounds.
+    """
+    around, round_, before = repeated_part(pattern, group)
+    span = F.regexp_extract(match, f"{flags}\\A(?:{around})\\z", before + 1)
+    each = f"{flags}\\G(?:{round_})(?=(?:{round_})*\\z)"
+    return F.regexp_extract_all(span, F.lit(each), F.lit(group - before))

@@ -197,6 +197,20 @@ def _chunked() -> str:
       {edges} SELECT * FROM findings"""
 
 
+def _histories() -> str:
+    """Matches split at what lies between the captures."""
+    pieces = {
+        "labels": "string_split(match[2:], '.')[:-2]",
+        "numbers": "string_split(match, '.')[:-2]",
+        "hyphens": "string_split(match, '-')[2:]",
+    }
+    return " UNION ALL ".join(
+        f"""SELECT doc_id, '{kind}' AS kind, match, array_to_string({cut}, ',') AS captures FROM (
+          SELECT doc_id, unnest(regexp_extract_all(text, {s('(?mi)' + q.HISTORIES[kind][0])})) AS match FROM documents)"""
+        for kind, cut in pieces.items()
+    )
+
+
 def _union() -> str:
     return """SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS id, text AS txt FROM documents
       UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages
@@ -281,11 +295,16 @@ def statements() -> dict[str, str]:
               {s('(?mi)' + q.DOMAIN)})) AS match FROM documents),
             l AS (SELECT *, string_split(substr(match, 2), '.') AS parts FROM m)
           SELECT doc_id, match, array_to_string(parts[1:len(parts) - 1], ',') AS labels FROM l""",
+        "capture_history": _histories(),
         "findings_min_len": f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text,
               '(?mi)[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]\\p{{Nd}}+[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]')) AS match
               FROM documents)
           SELECT * FROM m WHERE {_TRIMMED}""",
         "rules_flatten": f"{_CAT} SELECT {fields}, {texts} FROM cat",
+        "rules_ordinals": f"""{_CAT} SELECT
+            CAST(dense_rank() OVER (PARTITION BY rule_ord // 100 ORDER BY "group") - 1 AS INT) AS group_ord,
+            CAST(row_number() OVER (PARTITION BY rule_ord // 100, "group" ORDER BY rule_ord) - 1 AS INT) AS rule_ord,
+            "group", name, f_regex FROM cat""",
         "rules_default": _scan(
             _DOCS,
             ["doc_id"],
@@ -345,6 +364,11 @@ def statements() -> dict[str, str]:
           md5(text) AS md5 FROM documents""",
         "scan_errors": """SELECT doc_id, CASE WHEN lang = 'fr' THEN 'cannot be decoded'
           ELSE 'is empty' END AS error FROM documents WHERE lang = 'fr' OR strlen(text) = 0""",
+        "decode_unmarked": """SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 'UTF-8' WHEN lang = 'es' THEN 'UTF-16LE'
+          WHEN lang = 'fr' THEN 'UTF-16BE' WHEN lang <> 'de' OR strlen(text) = length(text) THEN 'UTF-8'
+          ELSE 'ISO-8859-1' END AS charset, md5(text) AS md5 FROM documents""",
+        "errors_by_kind": """SELECT doc_id, CASE WHEN lang = 'fr' THEN 'cannot be decoded'
+          ELSE 'is empty' END AS error FROM documents WHERE lang IN ('fr', 'de') OR strlen(text) = 0""",
         "docs_skipped": f"""SELECT doc_id, 'is above the size limit' AS error FROM documents
           WHERE strlen(text) > {limit}""",
         "rules_verdict": _VERDICT,
@@ -385,5 +409,6 @@ def statements() -> dict[str, str]:
         "files_with_findings": _doc_full("SELECT DISTINCT doc_id FROM findings"),
         "resume_scan": _doc_core(),
         "stream_scan": _doc_core(),
+        "stream_store": _doc_core(),
         "scalar_text": _scalar(),
     }

@@ -69,10 +69,13 @@ def scan_tree(
     chunk_threshold_mb: float = 0,
     charsets: tuple[str, ...] = files.DEFAULT_CHARSETS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Findings and errors of all files below ``path``; a file above the size limit is an error."""
+    """Findings and errors of all files below ``path``; a file above the size limit or without content is an error."""
     chosen = {"exclude_ext": exclude_ext, "exclude_path": exclude_path}
-    rows = files.require_files(files.read_files(spark, path, limit_mb=limit_mb, **chosen))
+    rows = files.read_files(spark, path, limit_mb=limit_mb, **chosen)
+    unread = files.listing_errors(spark, path, **chosen)
+    files.require_files(rows.select("path").unionByName(unread.select("path")))
     found, errors = scan_rows(rows, rules, charsets=charsets, chunk_threshold_mb=chunk_threshold_mb)
+    errors = errors.unionByName(unread)
     if limit_mb > 0:
         listed = files.read_files(spark, path, limit_mb=0, **chosen)
         errors = errors.unionByName(files.size_errors(listed, ["path"], limit_mb))

@@ -17,12 +17,18 @@ from textsentry.operators.scan import long_enough, prepare, scan, scan_large
 from textsentry.operators.sqlfunction import register_scan
 from textsentry.plans.catalogue import nested_catalogue, part_catalogue
 from textsentry.plans.pipeline import scan_table, scan_tree
-from textsentry.schemas import FINDING_COLUMNS, FINDING_FIELDS
+from textsentry.schemas import FINDING_COLUMNS, FINDING_FIELDS, RULE_FIELDS
 from textsentry.session import spread, work_path
 from textsentry.sources import files
 from textsentry.sources.catalogue import catalogue_frame, flatten_catalogue
 from textsentry.sources.packs import default_rules
-from textsentry.streaming.incremental import read_stream_output, resume_scan, stream_scan, stream_table
+from textsentry.streaming.incremental import (
+    read_stream_output,
+    resume_scan,
+    stream_scan,
+    stream_table,
+    stream_to_store,
+)
 
 BLOCK_WORDS = ["example.org", "/the", "0"]
 GROUP_WORDS = [" Brand#1 ", "#25", "  "]
@@ -32,6 +38,12 @@ CAPTURE_EMAIL = r"([a-z0-9._]+)@([a-z0-9-]+)\.([a-z.]+)"
 DOMAIN = r"@(?:([a-z0-9-]+)\.)+[a-z]{2,5}"
 # One round of its repeated group; mail domains are short, so the loop is harmless.
 LABEL = r"([a-z0-9-]+)\."
+# Repeated groups of three kinds, and the number of the group.
+HISTORIES = {
+    "labels": (DOMAIN, 1),
+    "numbers": (r"(?:([0-9]{1,3})\.){2,}[0-9]{1,3}", 1),
+    "hyphens": (r"([a-z]+)(?:-([a-z]+))+", 2),
+}
 # A conditional group, which Java does not have, and the same without it.
 CONDITIONAL = r"(\()?[0-9]{3}(?(1)\)|-) ?[0-9]{3}-[0-9]{4}"
 UNCONDITIONAL = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}- ?[0-9]{3}-[0-9]{4}"
@@ -232,6 +244,27 @@ def match_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All captures of repeated groups, with the pattern of a round taken from the rule itself."""
+    docs = _documents_text(spark, sf_dir)
+    found = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.transform(
+                regex.match_all(F.col("text"), F.lit(regex.JAVA_FLAGS + pattern)),
+                lambda m, pattern=pattern, group=group: F.struct(m.alias("match"), regex.capture_history(m, pattern, group).alias("captures")),
+            ).alias("found"),
+        )
+        for kind, (pattern, group) in HISTORIES.items()
+    ]
+    return (
+        docs.select("doc_id", F.explode(F.array(*found)).alias("k"))
+        .select("doc_id", "k.kind", F.explode_outer("k.found").alias("f"))
+        .where("f IS NOT NULL")
+        .select("doc_id", "kind", "f.match", F.concat_ws(",", "f.captures").alias("captures"))
+    )
+
+
 def findings_min_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = regex.match_all(F.col("text"), F.lit(regex.JAVA_FLAGS + DIGITS))
     return (
@@ -249,6 +282,20 @@ def rules_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_catalogue(nested).drop("rule_ord", "group_ord")
 
 
+def rules_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of groups in a catalogue and of rules in their group, many catalogues of many groups."""
+    rule = F.struct("rule_ord", F.struct(*RULE_FIELDS.fieldNames()).alias("r"))
+    groups = (
+        part_catalogue(spark, sf_dir)
+        .groupBy("group", F.expr("rule_ord DIV 100").alias("entry"))
+        .agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+        .select("entry", F.struct("group", F.transform("rules", lambda x: x["r"]).alias("rule")).alias("g"))
+    )
+    nested = groups.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct(F.col("g.group").alias("k"), "g"))).alias("gs"))
+    flat = flatten_catalogue(nested.select(F.transform("gs", lambda x: x["g"]).alias("rules")))
+    return flat.select("group_ord", "rule_ord", "group", "name", "f_regex")
+
+
 def rules_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruleops.usable(part_catalogue(spark, sf_dir))
 
@@ -378,6 +425,31 @@ def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "charset", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
+def decode_unmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes without a mark: Spanish and French in UTF-16, German in Latin-1, others in UTF-8."""
+    docs = spread(documents(spark, sf_dir).select("doc_id", "lang", "text"))
+    charset = {"es": "UTF-16LE", "fr": "UTF-16BE", "de": "ISO-8859-1"}
+    with files.java_charsets(spark):
+        content = F.col("text").cast("binary")
+        for lang, name in charset.items():
+            content = F.when(F.col("lang") == lang, F.encode("text", name)).otherwise(content)
+        stored = docs.select("doc_id", content.alias("content"))
+    decoded = files.decode_text(stored, charsets=("GB18030", "ISO-8859-1"))
+    return decoded.select("doc_id", "charset", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+def errors_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the German ones empty, the French ones not decodable."""
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    content = (
+        F.when(F.col("lang") == "de", F.lit(b""))
+        .when(F.col("lang") == "fr", F.concat(body, F.unhex(F.lit("FF"))))
+        .otherwise(body)
+    )
+    stored = documents(spark, sf_dir).select("doc_id", content.alias("content"))
+    return files.scan_errors(files.decode_text(stored), ["doc_id"])
+
+
 def scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files, the French ones with a byte at the end that no charset of the chain has."""
     body = F.coalesce("text", F.lit("")).cast("binary")
@@ -524,6 +596,15 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over the documents, then a batch run that finds them done, from one store."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    store, checkpoint = work_path(spark, "store"), work_path(spark, "stream-checkpoint")
+    stream = stream_table(spark, f"{sf_dir}/documents.parquet", schema)
+    stream_to_store(stream, full_pack(spark), store, checkpoint, ["doc_id"]).awaitTermination()
+    return resume_scan(_documents_text(spark, sf_dir), full_pack(spark), store, ["doc_id"])
+
+
 # Scalars ----------------------------------------------------------------------
 
 
@@ -559,8 +640,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_all_n": match_all_n,
     "match_groups": match_groups,
     "match_history": match_history,
+    "capture_history": capture_history,
     "findings_min_len": findings_min_len,
     "rules_flatten": rules_flatten,
+    "rules_ordinals": rules_ordinals,
     "rules_default": rules_default,
     "rules_usable": rules_usable,
     "rules_by_group": rules_by_group,
@@ -579,7 +662,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_test_summary": rule_test_summary,
     "file_scan": file_scan,
     "decode_text": decode_text,
+    "decode_unmarked": decode_unmarked,
     "scan_errors": scan_errors,
+    "errors_by_kind": errors_by_kind,
     "docs_skipped": docs_skipped,
     "rules_verdict": rules_verdict,
     "files_by_ext": files_by_ext,
@@ -604,5 +689,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "files_with_findings": files_with_findings,
     "resume_scan": resumed,
     "stream_scan": streamed,
+    "stream_store": stream_store,
     "scalar_text": scalar_text,
 }

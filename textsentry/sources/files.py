@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textsentry.functions.text import extension, megabytes
 from textsentry.schemas import FILE_SCHEMA
+from textsentry.sources.listing import list_files
 
 # Tried on content that is not UTF-8, in this order.
 DEFAULT_CHARSETS = ("GB18030",)
@@ -62,8 +63,7 @@ def read_files(
 ) -> DataFrame:
     """All files below ``path`` as binaryFile rows; the size limit is pushed into the listing.
 
-    Spark's file source never yields a row for an empty file, so those are
-    neither scanned nor reported.
+    Spark's file source never yields a row for an empty file; :func:`listing_errors` reports those.
     """
     files = (
         spark.read.format("binaryFile")
@@ -75,6 +75,15 @@ def read_files(
     return exclude_paths(exclude_extensions(files, exclude_ext or []), exclude_path or [])
 
 
+def listing_errors(
+    spark: SparkSession, path: str, *, exclude_ext: list[str] | None = None, exclude_path: list[str] | None = None
+) -> DataFrame:
+    """``path, error`` of empty files and of folders that cannot be listed."""
+    listed = exclude_paths(exclude_extensions(list_files(spark, path), exclude_ext or []), exclude_path or [])
+    error = F.coalesce("error", F.when(F.col("length") == 0, "is empty"))
+    return listed.select("path", error.alias("error")).where("error IS NOT NULL")
+
+
 def require_files(files: DataFrame) -> DataFrame:
     """Raise when no file is left to scan."""
     if files.select("path").isEmpty():
