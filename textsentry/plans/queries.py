@@ -246,17 +246,14 @@ def match_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All captures of repeated groups, with the pattern of a round taken from the rule itself."""
+
+    def history(kind: str, pattern: str, group: int) -> Column:
+        found = regex.match_all(F.col("text"), F.lit(regex.JAVA_FLAGS + pattern))
+        pairs = F.transform(found, lambda m: F.struct(m.alias("match"), regex.capture_history(m, pattern, group).alias("captures")))
+        return F.struct(F.lit(kind).alias("kind"), pairs.alias("found"))
+
     docs = _documents_text(spark, sf_dir)
-    found = [
-        F.struct(
-            F.lit(kind).alias("kind"),
-            F.transform(
-                regex.match_all(F.col("text"), F.lit(regex.JAVA_FLAGS + pattern)),
-                lambda m, pattern=pattern, group=group: F.struct(m.alias("match"), regex.capture_history(m, pattern, group).alias("captures")),
-            ).alias("found"),
-        )
-        for kind, (pattern, group) in HISTORIES.items()
-    ]
+    found = [history(kind, *rule) for kind, rule in HISTORIES.items()]
     return (
         docs.select("doc_id", F.explode(F.array(*found)).alias("k"))
         .select("doc_id", "k.kind", F.explode_outer("k.found").alias("f"))

@@ -108,8 +108,8 @@ def java_charsets(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-def _unmarked(content: Column) -> tuple[Column, Column]:
-    """Name and text of UTF-16 without a mark, null where the bytes do not look like it.
+def _guess_utf16(files: DataFrame, content: Column) -> DataFrame:
+    """Add ``__guess`` and ``__guessed``: name and text of UTF-16 without a mark, null where bytes do not look like it.
 
     Text in UTF-16 has zero bytes, be it for line ends and blanks only, all on one
     side of their units. Both readings are made where there is a zero byte; the one
@@ -120,14 +120,20 @@ def _unmarked(content: Column) -> tuple[Column, Column]:
     zero = F.contains(content, F.lit(b"\x00")) & (F.octet_length(content) % 2 == 0)
     plain = F.try_validate_utf8(content.cast("string"))
     controls = F.regexp_count(plain, F.lit(r"[\x00-\x08\x0E-\x1F]"))
-    likely = F.when(zero & (plain.isNull() | (4 * controls >= F.octet_length(content))), content)
-    readings = {name: F.decode(likely, name) for name in ("UTF-16LE", "UTF-16BE")}
-    ascii_count = {name: F.regexp_count(text, F.lit(r"[\t\n\r -~]")) for name, text in readings.items()}
-    little, big = ascii_count["UTF-16LE"], ascii_count["UTF-16BE"]
-    name = F.when(little > big, "UTF-16LE").when(big > little, "UTF-16BE")
-    text = F.when(little > big, readings["UTF-16LE"]).when(big > little, readings["UTF-16BE"])
-    sound = ~F.contains(text, F.lit(_REPLACEMENT)) & ~F.contains(text, F.lit("\x00"))
-    return F.when(sound, name), F.when(sound, text)
+    likely = F.when(zero, plain.isNull() | (4 * controls >= F.octet_length(content)))
+
+    def ascii_count(column: str) -> Column:
+        return F.regexp_count(column, F.lit(r"[\t\n\r -~]"))
+
+    # Step by step, so that no reading is made twice.
+    tried = files.withColumn("__likely", F.coalesce(likely, F.lit(False)))
+    tried = tried.withColumns({f"__{x}": F.when(F.col("__likely"), F.decode(content, f"UTF-16{x}")) for x in ("LE", "BE")})
+    tried = tried.withColumn("__lead", ascii_count("__LE") - ascii_count("__BE"))
+    tried = tried.withColumn("__read", F.when(F.col("__lead") > 0, F.col("__LE")).when(F.col("__lead") < 0, F.col("__BE")))
+    sound = ~F.contains("__read", F.lit(_REPLACEMENT)) & ~F.contains("__read", F.lit("\x00"))
+    tried = tried.withColumn("__guessed", F.when(sound, F.col("__read")))
+    name = F.when(F.col("__guessed").isNotNull(), F.when(F.col("__lead") > 0, "UTF-16LE").otherwise("UTF-16BE"))
+    return tried.withColumn("__guess", name).drop("__likely", "__LE", "__BE", "__lead", "__read")
 
 
 def _single_bytes(content: Column) -> Column:
@@ -150,7 +156,7 @@ def decode_text(
     charsets: tuple[str, ...] = DEFAULT_CHARSETS,
 ) -> DataFrame:
     """Add ``text`` and ``charset``: by the byte order mark if there is one, else UTF-16 if the bytes
-    look like it (:func:`_unmarked`), else UTF-8 when valid, else the first charset that fits, else
+    look like it (:func:`_guess_utf16`), else UTF-8 when valid, else the first charset that fits, else
     null. Where bytes above 127 mostly stand alone, charsets of one byte a character are tried before
     the others. The mark is not part of the text.
     """
@@ -164,9 +170,8 @@ def decode_text(
             here = mark.startswith(digits)
             named = F.when(here, name).otherwise(named)
             marked = F.when(here, F.decode(body, name)).otherwise(marked)
-        guess, guessed = _unmarked(F.when(F.col("__mark").isNull(), content))
         out = files.withColumn("__mark", named).withColumn("__marked", marked)
-        out = out.withColumn("__guess", guess).withColumn("__guessed", guessed)
+        out = _guess_utf16(out, F.when(F.col("__mark").isNull(), content))
         sound = F.when(~F.contains("__marked", F.lit(_REPLACEMENT)), F.col("__marked"))
         plain = F.when(F.col("__mark").isNull(), F.try_validate_utf8(content.cast("string")))
         out = out.withColumn("__utf8", F.coalesce(sound, "__guessed", plain))
@@ -183,9 +188,9 @@ def decode_text(
             decoded = F.when(~F.contains(f"__text{i}", F.lit(_REPLACEMENT)), F.col(f"__text{i}"))
             charset = F.coalesce(charset, F.when(decoded.isNotNull(), name))
             text = F.coalesce(text, decoded)
-        return out.withColumns({"text": text, "charset": charset}).select(
-            *files.columns, "text", "charset"
-        )
+        # Exploded, so that a test of the text does not move the whole decoding into a filter.
+        read = F.explode_outer(F.array(F.struct(text.alias("text"), charset.alias("charset"))))
+        return out.select(*files.columns, read.alias("__read")).select(*files.columns, "__read.text", "__read.charset")
 
 
 def scan_errors(decoded: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
