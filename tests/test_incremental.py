@@ -61,6 +61,72 @@ def test_joins_beyond_the_broadcast_limit_agree(tmp_path, texts, one_rule):
     assert rows(resumed) == rows(scan(docs, pack, ["id"]))
 
 
+def test_large_lists_move_no_text(spark, tmp_path, texts, one_rule):
+    from textsentry.streaming.incremental import _open_texts, _probable
+
+    keys = ["id", "text_sha2"]
+    docs = texts(*[f"secret{i}" for i in range(3000)]).withColumn("text_sha2", F.sha2(F.col("text").cast("binary"), 256))
+    docs = docs.union(spark.createDataFrame([(None, "secret", "a"), (-1, None, "")], docs.schema))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    half = F.coalesce(F.col("id") % 2 != 0, F.lit(True))
+    todo, done = docs.where(half).select(*keys), docs.where(~half).select(*keys)
+    want = {r["text"] for r in docs.where(half).collect()}
+    for bits, most in ((1 << 29, 1650), (1, 3002)):
+        got, vague = _open_texts(docs, done, todo, keys, 0, bits)
+        assert vague and want <= {r["text"] for r in got.collect()} and got.count() <= most
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+        above = plan.split("BroadcastExchange")[0]  # the side of the texts comes first
+        assert "Exchange" not in above
+    # Every map of a bit per key, also the smallest, holds all keys; no keys, no texts.
+    assert _probable(docs, todo.limit(0), keys, 1).count() == 0
+
+
+def test_files_that_are_done_are_not_opened(spark, tmp_path, texts, one_rule):
+    import os
+
+    from textsentry import resume_files
+
+    pack = prepare(one_rule(r"secret\d+"))
+    where, store = tmp_path / "a%20 d", str(tmp_path / "store")
+    schema = texts("x").schema
+
+    def run():
+        found = rows(resume_files(spark, str(where), pack, store, ["id"], schema=schema))
+        return found, spark.read.parquet(f"{store}/manifest").count()
+
+    first = texts(*[f"secret{i}" for i in range(20)], "none", None)
+    first.repartition(3).write.parquet(str(where))
+    want = rows(scan(first, pack, ["id"]))
+    assert len(want) == 20 and run() == (want, 22)
+    # Made unreadable without a trace: opening them would fail.
+    done = sorted(where.glob("part-*"))
+    kept = {}
+    for file in done:
+        kept[file], stat = file.read_bytes(), file.stat()
+        file.write_bytes(b"\0" * stat.st_size)
+        os.utime(file, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    assert run() == (want, 22)
+    more = texts("secret1", "secret2").selectExpr("id + 50 AS id", "text")
+    more.coalesce(1).write.mode("append").parquet(str(where))
+    want = rows(scan(first.union(more), pack, ["id"]))
+    assert run() == (want, 24)
+    # A file gone takes its findings along; one touched is read, but its texts are known.
+    for file, data in kept.items():
+        file.write_bytes(data)
+        (where / f".{file.name}.crc").unlink(missing_ok=True)
+        os.utime(file, ns=(1, 10**18))
+    assert run() == (want, 24)
+    gone = spark.read.parquet(str(where)).where(F.col("_metadata.file_name") != done[0].name).select("id", "text")
+    want = rows(scan(gone, pack, ["id"]))
+    done[0].unlink()
+    assert 0 < len(want) < 22 and run() == (want, 24)
+    # Other rules open all files again.
+    other = prepare(one_rule(r"secret\d"))
+    assert rows(resume_files(spark, str(where), other, store, ["id"])) == rows(scan(spark.read.parquet(str(where)), other, ["id"]))
+
+
 def test_stream_picks_up_new_files_once(spark, tmp_path, texts, one_rule):
     pack = prepare(one_rule(r"secret\d+"))
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))

@@ -15,7 +15,7 @@ from textsentry.plans.pipeline import (
 )
 from textsentry.sources.catalogue import load_rules
 from textsentry.sources.packs import default_rules
-from textsentry.streaming.incremental import resume_scan, stream_scan
+from textsentry.streaming.incremental import resume_files, resume_scan, stream_scan
 
 __all__ = [
     "Output",
@@ -28,6 +28,7 @@ __all__ = [
     "process_results",
     "register_scan",
     "require_valid",
+    "resume_files",
     "resume_scan",
     "rule_report",
     "scan",

@@ -408,6 +408,7 @@ def statements() -> dict[str, str]:
         ),
         "files_with_findings": _doc_full("SELECT DISTINCT doc_id FROM findings"),
         "resume_scan": _doc_core(),
+        "resume_files": _doc_core(),
         "stream_scan": _doc_core(),
         "stream_store": _doc_core(),
         "scalar_text": _scalar(),

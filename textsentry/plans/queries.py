@@ -24,6 +24,7 @@ from textsentry.sources.catalogue import catalogue_frame, flatten_catalogue
 from textsentry.sources.packs import default_rules
 from textsentry.streaming.incremental import (
     read_stream_output,
+    resume_files,
     resume_scan,
     stream_scan,
     stream_table,
@@ -578,6 +579,17 @@ def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume_scan(docs, rules, store, ["doc_id"])
 
 
+def resumed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of files, scanned; then files of the labelled documents join it, and only those are opened."""
+    store, where = work_path(spark, "store"), work_path(spark, "texts")
+    docs, rules = _documents_text(spark, sf_dir), full_pack(spark)
+    labelled = table(spark, sf_dir, "labels").select("doc_id")
+    for how in ("left_anti", "left_semi"):
+        docs.join(labelled, "doc_id", how).write.mode("append").parquet(where)
+        found = resume_files(spark, where, rules, store, ["doc_id"])
+    return found
+
+
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]
@@ -685,6 +697,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stats_top_rules": stats_top_rules,
     "files_with_findings": files_with_findings,
     "resume_scan": resumed,
+    "resume_files": resumed_files,
     "stream_scan": streamed,
     "stream_store": stream_store,
     "scalar_text": scalar_text,
