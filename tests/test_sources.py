@@ -186,6 +186,21 @@ def test_only_rules_that_run_over_a_cut_are_matched_again(texts, make_rules, mon
     assert [(r["id"], r["__only"]) for r in seen[1].collect()] == [(0, [0])]
 
 
+def test_pieces_keep_only_matches_that_are_used(texts, make_rules, monkeypatch):
+    """Of a rule that is matched again, and of what lies in the overlap alone, nothing is written."""
+    written = {}
+    write = scanning.materialise
+    monkeypatch.setattr(scanning, "materialise", lambda df, name: written.setdefault(name, write(df, name)))
+    rules = [{"name": n, "f_regex": p, "loaded": True, "engine": "nfa"} for n, p in (("Tile", "[ab]{9}"), ("Lone", r"secret\d\d"))]
+    rows = texts("ab" * 200 + " secret11 " + "ab" * 200, " ".join(f"secret{i}" for i in range(10, 90)))
+    got = scan_large(rows, prepare(make_rules(("G", rules))), ["id"], threshold_mb=0.0001, chunk_bytes=100, overlap=50).collect()
+    assert len([r for r in got if r["rule_name"] == "Tile"]) == 88 and len(got) == 88 + 81
+    held = written["chunks"].where("NOT __over").select(F.explode("__found.start").alias("at"), "own_from", "own_to").collect()
+    assert held and all(h["own_from"] <= h["at"] < h["own_to"] for h in held)
+    assert not written["chunks"].where("__over").isEmpty()
+    assert written["chunks"].where("__over AND size(__found) > 0").isEmpty()
+
+
 def test_matches_of_one_text_take_linear_time(texts, one_rule):
     page = "\n".join(f'<a href="/path/{i:07d}/index">text {i}</a>' for i in range(20_000))
     start = time.time()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,29 +35,36 @@ def count_newlines(col: Column) -> Column:
     return (F.octet_length(col) - F.octet_length(F.replace(col, F.lit("\n"), F.lit("")))).cast("long")
 
 
-def running_totals(values: Column, block: int = 128) -> Column:
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value worked out once however often, and in whichever lambda, it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_totals(values: Column, block: int = 32, levels: int = 3) -> Column:
     """For each entry of an array of longs the sum of those before it.
 
     Folded by blocks, and over the blocks' sums: a plain fold copies all it has for every entry.
     """
-    zero = F.array(F.lit(0).cast("long"))
 
-    def fold(xs: Column) -> Column:
-        return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    def fold(xs: Column, start: Column) -> Column:
+        sums = F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.slice(sums, F.lit(1), F.size(xs))
 
     def total(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(values) - 1).cast("int")), F.lit(block)),
-        lambda at: F.slice(values, at + 1, F.lit(block)),
-    )
-    before = fold(F.transform(blocks, total))
-    sums = F.zip_with(
-        blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda xs, b: F.transform(fold(xs), lambda x: x + b)
-    )
-    # Each block's last entry is the next one's first.
-    return F.flatten(F.transform(sums, lambda xs: F.slice(xs, F.lit(1), F.size(xs) - 1)))
+    def cut(xs: Column) -> Column:
+        last = F.greatest(F.lit(0), (F.size(xs) - 1).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last, F.lit(block)), lambda at: F.slice(xs, at + 1, F.lit(block)))
+
+    def sums(xs: Column, level: int) -> Column:
+        if level == 1:
+            return fold(xs, F.lit(0).cast("long"))
+        return with_value(
+            cut(xs), lambda blocks: F.flatten(F.zip_with(blocks, sums(F.transform(blocks, total), level - 1), fold))
+        )
+
+    return with_value(values, lambda xs: sums(xs, levels))
 
 
 def before_first(text: Column, needle: Column) -> Column:

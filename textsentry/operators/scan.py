@@ -30,6 +30,7 @@ from textsentry.functions.text import (
     running_totals,
     sql_string,
     trim_space,
+    with_value,
 )
 from textsentry.operators.rules import compile_rules, rule_pack, select_rules
 from textsentry.schemas import FINDING_COLUMNS
@@ -111,7 +112,7 @@ def scan(
     else:
         matches = _joined(base, pack, text_col)
     if own_cols:
-        return _own(_placed(matches, text_col, own_cols), id_cols, offset_col, line_col, own_cols)
+        return _own(_placed(matches, text_col, own_cols), id_cols, offset_col, line_col)
     return _locate(matches, id_cols, text_col, offset_col, line_col)
 
 
@@ -139,14 +140,16 @@ def _gate_sql(words: list[str]) -> str:
 def _extract_sql(rule: dict, text_col: str, exact: bool = False, only: str = "") -> str:
     """The matches of a rule; if ``exact``, the whole text cut at both ends of each, matches at odd places."""
     pattern = sql_string(rule["pattern"])
+    tests = [only] if only else []
     found = f"regexp_extract_all(`{text_col}`, {pattern}, 0)"
     if exact:
         found = f"split(regexp_replace(`{text_col}`, {pattern}, '{_SET_OFF}$0{_SET_OFF}'), '{_SET_OFF}')"
-    tests = [only] if only else []
     if rule["keyword_gate"]:
         tests.append(f"({_gate_sql(rule['keyword_gate'])})")
     if rule["filter"]:
         tests.append(f"rlike(`{text_col}`, {sql_string(JAVA_FLAGS + rule['filter'])})")
+    if exact:  # most rules match few texts, and only those are written anew
+        tests.append(f"rlike(`{text_col}`, {pattern})")
     return f"CASE WHEN {' AND '.join(tests)} THEN {found} END" if tests else found
 
 
@@ -223,59 +226,74 @@ def _joined(base: DataFrame, pack: list[dict], text_col: str) -> DataFrame:
     )
 
 
-def _placed(matches: DataFrame, text_col: str, own_cols: tuple[str, str]) -> DataFrame:
-    """Add ``__found``, the matches with their own places, and ``__over``: whether one runs over an end of the own bytes.
+def _placed(matches: DataFrame, text_col: str, own_cols: tuple[str, str], sound: bool = False) -> DataFrame:
+    """Add ``__found``, the matches that start in the own bytes, with their own places, and ``__over``.
 
     Texts come cut at both ends of each match. Places are running totals over the
-    pieces, so the cost is linear in the text and its matches.
+    pieces, so the cost is linear in the text and its matches. With ``sound`` a rule
+    one of whose matches runs over an end of the own bytes is ``__over``, without ``__found``.
     """
     text, cut = F.col(text_col), F.col("__matches")
     first, last = (F.col(c).cast("long") for c in own_cols)
-    sizes = F.transform(cut, lambda x: F.octet_length(x).cast("long"))
     left, right = F.greatest("__left", F.lit(0)), F.greatest("__right", F.lit(0))
     bare = (F.col("__left") <= 0) & (F.col("__right") <= 0)
 
-    def place(match: Column, start: Column, lines: Column) -> Column:
-        end = start + F.octet_length(match)
-        around = byte_slice(text, F.greatest(F.lit(0).cast("long"), start - left), F.least(F.octet_length(text), end + right))
-        return F.struct(
-            match.alias("match"),
-            start.alias("start"),
-            lines.alias("lines"),
-            F.when(bare, match).otherwise(around).alias("context"),
-        )
+    def extent(x: Column) -> Column:
+        """Bytes and line ends in one number; a text has fewer than 2**31 of either."""
+        return F.octet_length(x) + F.shiftleft(count_newlines(x), 32)
 
-    # Entries are walked, not looked up by number: a lookup would work out all totals for each.
-    totals = F.arrays_zip(
-        cut.alias("m"), running_totals(sizes).alias("s"), running_totals(F.transform(cut, count_newlines)).alias("l")
+    # Each match, what lies before it and itself: one entry of the totals for both.
+    numbers = F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2))
+    pairs = F.transform(
+        numbers,
+        lambda i: F.struct(F.get(cut, i).alias("m"), extent(F.get(cut, i - 1)).alias("gap"), extent(F.get(cut, i)).alias("own")),
     )
-    found = F.transform(F.filter(totals, lambda x, i: i % 2 == 1), lambda x: place(x["m"], x["s"], x["l"]))
 
-    def over(m: Column) -> Column:
-        end = m["start"] + F.octet_length(m["match"])
-        return ((m["start"] < first) & (first < end)) | ((m["start"] < last) & (last < end))
+    def spots(ps: Column) -> Column:
+        # Entries are walked, not looked up by number: a lookup would work out all totals for each.
+        totals = running_totals(F.transform(ps, lambda p: p["gap"] + p["own"]))
+        return F.zip_with(ps, totals, lambda p, before: spot(p["m"], before + p["gap"]))
 
-    kept = matches.withColumn("__found", found).drop("__matches")
-    return kept.withColumn("__over", F.exists("__found", over))
+    def spot(match: Column, at: Column) -> Column:
+        start = at.bitwiseAND(F.lit((1 << 32) - 1))
+        end = start + F.octet_length(match)
+        return F.struct(match.alias("match"), start.alias("start"), end.alias("end"), F.shiftright(at, 32).alias("lines"))
 
+    def place(m: Column) -> Column:
+        around = byte_slice(text, F.greatest(F.lit(0).cast("long"), m["start"] - left), F.least(F.octet_length(text), m["end"] + right))
+        return F.struct(m["match"], m["start"], m["lines"], F.when(bare, m["match"]).otherwise(around).alias("context"))
 
-def _own(
-    placed: DataFrame, id_cols: list[str], offset_col: str | None, line_col: str | None, own_cols: tuple[str, str]
-) -> DataFrame:
-    """Findings of the matches that start in the text's own bytes, with their own places."""
+    def own(ms: Column) -> Column:
+        return F.transform(F.filter(ms, lambda m: (m["start"] >= first) & (m["start"] < last)), place)
+
+    def step(at: Column, i: Column) -> Column:
+        """The end of match ``i`` if the one before ended ``at``; -1 from the first that runs over on."""
+        start = at + F.octet_length(F.get(cut, i - 1))
+        end = start + F.octet_length(F.get(cut, i))
+        over = ((start < first) & (first < end)) | ((start < last) & (last < end))
+        return F.when(at < 0, at).when(over, F.lit(-1).cast("long")).otherwise(end)
+
+    # Told before anything is placed, as the matches of such a rule are not wanted.
+    over = F.aggregate(numbers, F.lit(0).cast("long"), step) < 0 if sound else F.lit(False)
+    held = F.when(over, F.lit(None)).otherwise(with_value(with_value(pairs, spots), own))
+    carried = [c for c in matches.columns if c != "__matches"]
+    return matches.select(*carried, held.alias("__found")).withColumn("__over", F.col("__found").isNull())
+
+
+def _own(placed: DataFrame, id_cols: list[str], offset_col: str | None, line_col: str | None) -> DataFrame:
+    """Findings of the matches found, with their own places."""
     offset = F.col(offset_col) if offset_col else F.lit(0).cast("long")
     line = F.col(line_col) if line_col else F.lit(1).cast("long")
-    start = F.col("__m.start")
     return (
         placed.withColumn("__m", F.explode_outer("__found"))
-        .where((start >= F.col(own_cols[0])) & (start < F.col(own_cols[1])) & long_enough(F.col("__m.match")))
+        .where(long_enough(F.col("__m.match")))
         .select(
             *id_cols,
             "group",
             "rule_name",
             "__m.match",
             "__m.context",
-            (offset + start).cast("long").alias("position"),
+            (offset + F.col("__m.start")).cast("long").alias("position"),
             (line + F.col("__m.lines")).alias("line_number"),
             "sensitive",
         )
@@ -312,12 +330,12 @@ def scan_large(
     )
     base = pieces.select(*id_cols, "start_offset", "start_line", *own, "text")
     if not pack:
-        return _own(_placed(_no_matches(base).withColumn("__rule", F.lit(0)), "text", own), id_cols, "start_offset", "start_line", own)
-    placed = _placed(_exact(base, pack, "text"), "text", own).drop("text")
+        return _own(_placed(_no_matches(base), "text", own), id_cols, "start_offset", "start_line")
+    placed = _placed(_exact(base, pack, "text"), "text", own, sound=True).drop("text")
     placed = materialise(placed.withColumn("__key", key), "chunks")
     broken = materialise(placed.where("__over").groupBy("__key").agg(F.array_sort(F.collect_set("__rule")).alias("__only")), "broken")
     broken_rules = broken.select("__key", F.explode("__only").alias("__rule"))
-    sound = placed.join(broken_rules, ["__key", "__rule"], "left_anti")
+    sound = placed.where(F.size("__found") > 0).join(broken_rules, ["__key", "__rule"], "left_anti")
     again = (
         plain.withColumn("__key", key)
         .join(broadcast_if_small(broken), "__key")
@@ -325,7 +343,7 @@ def scan_large(
         .withColumns({"own_from": F.lit(0), "own_to": F.octet_length(text_col)})
     )
     whole = _placed(_exact(again, pack, text_col, "__only"), text_col, own)
-    return _own(sound, id_cols, "start_offset", "start_line", own).unionByName(_own(whole, id_cols, None, None, own))
+    return _own(sound, id_cols, "start_offset", "start_line").unionByName(_own(whole, id_cols, None, None))
 
 
 def _exact(base: DataFrame, pack: list[dict], text_col: str, only_col: str | None = None) -> DataFrame:
