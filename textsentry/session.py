@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Whether the shuffle files of a query go when it ends, not when the driver happens to collect garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Largest estimated size of a side that may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -62,8 +65,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     Several consumers of one scan read the written table, and a lost executor
-    costs a re-read, not a re-scan.
+    costs a re-read, not a re-scan. Nothing reads the shuffles behind it again, so
+    their files go at once: steps in a row need the disk of the largest one.
     """
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = work_path(spark, name), spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
