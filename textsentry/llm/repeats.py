@@ -208,7 +208,9 @@ def repeated_runs(keyed: DataFrame, scheme: S.Scheme, spare_first: bool) -> Data
         counted = materialise(counted.where("NOT _all AND (_multi OR _first != _last)"), "counted")
         found = windows.where("NOT multi").join(counted.select("w1", "w2"), ["w1", "w2"], "left_semi")
     single = found.select(F.col("place.key").alias("_key"), F.col("place.at").alias("lo"), F.lit(1).alias("n"))
-    return whole.unionByName(single).groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("lo", "n"))).alias("runs"))
+    runs = whole.unionByName(single).groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("lo", "n"))).alias("runs"))
+    # Written, so that the windows' shuffle is gone before the texts are shuffled to meet their runs.
+    return materialise(runs, "runs")
 
 
 def with_runs(keyed: DataFrame, runs: DataFrame) -> DataFrame:
