@@ -250,3 +250,47 @@ def test_components_of_chains_and_stars(spark):
     links = spark.createDataFrame([*chain, *star, (30, 29), (7, 7)], "u long, v long")
     got = {r.u: r.root for r in components(links).collect()}
     assert got == {**{i: 100 for i in range(101, 141)}, **{i: 5 for i in range(10, 31)}}
+
+
+def test_rounds_of_components_with_few_edges_and_many(spark, monkeypatch):
+    """Few edges are merged in one task, whatever the number of shuffle partitions; more are shuffled; both agree."""
+    from textsentry.llm import components as stars
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    links = minhash.materialise(spark.createDataFrame([*edges, (900, 901), (901, 900)], "u long, v long").repartition(7), "links")
+    plan = stars._round(links.where("u > v"), 260)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Broadcast" not in plan
+    got = sorted(tuple(r) for r in stars.components(links).collect())
+    monkeypatch.setattr(stars, "FEW_EDGES", 10)
+    assert "hashpartitioning" in stars._round(links.where("u > v"), 260)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in stars.components(links).collect()) == got
+    root = {i: i for pair in edges for i in pair} | {900: 900, 901: 900}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == sorted((k, r) for k, r in root.items() if k != r)
+
+
+def test_signatures_are_no_driver_table(spark, documents, monkeypatch):
+    """Broadcasting them changes no link; more than a small table is joined by shuffle."""
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(5)]
+    docs = [" ".join([*t[:at], f"x{at}", *t[at + 1 :]]) for t in base for at in range(12)]
+    found, plans = {}, []
+    whole = minhash.materialise
+
+    def seen(df, name):
+        if name == "pairs":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return whole(df, name)
+
+    monkeypatch.setattr(minhash, "materialise", seen)
+    assert minhash.SIGNATURE_BYTES <= 4 << 20
+    for limit in (minhash.SIGNATURE_BYTES, 0):
+        monkeypatch.setattr(minhash, "SIGNATURE_BYTES", limit)
+        plans.clear()
+        got = minhash.near_duplicates(documents(list(enumerate(docs))), "doc_id", "text")
+        found[limit] = sorted(tuple(r) for r in got.collect())
+        assert all(("strategy=broadcast" in p) == (limit > 0) for p in plans) and len(plans) == 2
+    assert len({str(v) for v in found.values()}) == 1

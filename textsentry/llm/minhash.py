@@ -44,6 +44,8 @@ MATCHES = 34
 HUBS = 4
 # Keys of at most this size are broadcast to pick out texts; more are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+# Signatures of at most this size are broadcast; the driver holds several times as much while it builds the table.
+SIGNATURE_BYTES = 2 << 20
 
 # Bits of a set's parity bitmap.
 PARITY_BITS = 1024
@@ -184,7 +186,7 @@ def _close(a, b):
 def confirm(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, size: int) -> DataFrame:
     """The links among ``pairs`` (``u``, ``v``): by signature first, then on the full sets."""
     sig = reps.select("rep", "sig")
-    if isinstance(reps.schema["rep"].dataType, (T.LongType, T.IntegerType)) and reps.count() * (4 * COORDINATES + 24) <= BROADCAST_BYTES:
+    if isinstance(reps.schema["rep"].dataType, (T.LongType, T.IntegerType)) and reps.count() * (4 * COORDINATES + 24) <= SIGNATURE_BYTES:
         sig = F.broadcast(sig)
     agree = F.expr("size(filter(zip_with(_a, _b, (x, y) -> x = y), z -> z))")
     likely = (
